@@ -1,0 +1,19 @@
+"""Number texts that must equal Python's formatting.
+
+Python rounds the exact binary value, ``format_string`` rounds the shortest decimal text, and they
+differ on ties such as 12.35. No built-in reproduces the former, hence an Arrow-batched function.
+"""
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+
+def fixed(col: Column | str, digits: int) -> Column:
+    """Number with a fixed number of decimals, null for null."""
+
+    def render(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if pd.isna(v) else f"{v:.{digits}f}")
+
+    return F.pandas_udf(render, StringType())(col)

@@ -30,8 +30,13 @@ def word_windows(words_col: Column, size: int = CHUNK_WORDS, overlap: int = CHUN
     reaches the last word, so window i exists when i = 0 or window i-1 stopped short of the end.
     """
     step = max(size - overlap, 1)
-    n = F.size(words_col)
-    count = F.greatest(F.lit(0), F.ceil((n - size) / step)).cast("int") + 1
-    starts = F.transform(F.sequence(F.lit(0), count - 1), lambda i: i * step)
-    windows = F.transform(starts, lambda s: F.array_join(F.slice(words_col, s + 1, size), " "))
-    return F.when(n > 0, windows).otherwise(F.array().cast("array<string>"))
+
+    def windows(w: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((F.size(w) - size) / step)).cast("int")
+        cut = F.transform(
+            F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(w, i * step + 1, size), " ")
+        )
+        return F.when(F.size(w) > 0, cut).otherwise(F.array().cast("array<string>"))
+
+    # A one-element transform binds the words to a name: split once, not once per window.
+    return F.transform(F.array(words_col), windows)[0]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.numbers import to_timestamp
+from ..functions.pyformat import fixed
 
 
 def kpi_summary(claims: DataFrame, approx: bool = False) -> DataFrame:
@@ -73,9 +74,9 @@ def history_latest(
 
 def history_display(history: DataFrame, is_admin: bool = False) -> DataFrame:
     """History rows as shown to people: percent, status and minute-precision time as text."""
-    pct = F.format_string("%.1f%%", F.col("denial_probability") * 100)
+    pct = F.concat(fixed(F.col("denial_probability") * 100, 1), F.lit("%"))
     shown = history.withColumns({
-        "denial_probability": F.coalesce(F.when(F.col("denial_probability").isNotNull(), pct), F.lit(K.NO_PROBABILITY_TEXT)),
+        "denial_probability": F.coalesce(pct, F.lit(K.NO_PROBABILITY_TEXT)),
         "is_denied": F.when(F.col("is_denied"), K.DENIED_TEXT).otherwise(K.CLEAN_TEXT),
         "submitted_at": F.coalesce(F.date_format("submitted_at", "yyyy-MM-dd HH:mm"), F.lit("")),
     })
