@@ -111,7 +111,7 @@ CTES: dict[str, str] = {
     "request_scores": """
       SELECT *, (missing + high::INT * 2 + CASE WHEN missing > 0 OR high THEN 0.85::DOUBLE ELSE 0.1::DOUBLE END) / 8.0 AS raw FROM requests""",
     "decided": """
-      SELECT *, CASE WHEN hit THEN CASE WHEN high THEN greatest(base, 0.92) ELSE base END ELSE round_even(least(1.0, raw), 4) END::DOUBLE AS probability,
+      SELECT *, CASE WHEN hit THEN CASE WHEN high THEN greatest(base, 0.92) ELSE base END ELSE printf('%.4f', least(1.0, raw))::DOUBLE END::DOUBLE AS probability,
              CASE WHEN hit OR raw >= 0.37 THEN 1 ELSE 0 END::INT AS predicted_label,
              CASE WHEN hit OR raw >= 0.70 THEN 'HIGH' WHEN raw >= 0.40 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level,
              concat_ws('|', CASE WHEN coalesce(diagnosis_code, '') = '' THEN 'WARN_MISSING_DIAGNOSIS' END,
@@ -155,7 +155,7 @@ CTES: dict[str, str] = {
       FROM distances JOIN chunks ON source_file = concat('doc', vec_id, '.txt')""",
     "rule_labels": "SELECT * FROM " + values([(label, i) for i, (_, label, _) in enumerate(K.RULES)], "t(flag, label)"),
     "evidence": f"""
-      SELECT flag AS reason_title, source_file AS source_name, round_even(distance, 4) AS similarity_score, concat(substr({strip('text')}, 1, 100), '...') AS policy_preview,
+      SELECT flag AS reason_title, source_file AS source_name, printf('%.4f', distance)::DOUBLE AS similarity_score, concat(substr({strip('text')}, 1, 100), '...') AS policy_preview,
              concat({q(K.EVIDENCE_TEMPLATE.split('{flag}')[0])}, flag, {q(K.EVIDENCE_TEMPLATE.split('{flag}')[1].split('{source_file}')[0])}, source_file,
                     {q(K.EVIDENCE_TEMPLATE.split('{source_file}')[1].split('{policy_text}')[0])}, {strip('text')}, {q(K.EVIDENCE_TEMPLATE.split('{policy_text}')[1])}) AS block
       FROM chunk_distances JOIN rule_labels ON query_id = label::VARCHAR WHERE rank = 1""",
@@ -270,7 +270,7 @@ for _flag, _, _ in K.RULES:
 ORACLE["validation_flags"] = sql("SELECT claim_id, validation_flags FROM validated", "validated")
 ORACLE["flagged_count"] = sql("SELECT count(*) FILTER (WHERE validation_flags <> '') AS flagged, count(*) AS total FROM validated", "validated")
 ORACLE["validation_summary"] = sql(" UNION ALL ".join(
-    f"SELECT '{label}' AS rule, count(*) FILTER (WHERE {cond}) AS claims, round(count(*) FILTER (WHERE {cond}) * 100.0 / count(*), 1)::DOUBLE AS pct_of_claims FROM validated"
+    f"SELECT '{label}' AS rule, count(*) FILTER (WHERE {cond}) AS claims, printf('%.1f', count(*) FILTER (WHERE {cond})::DOUBLE / count(*) * 100)::DOUBLE AS pct_of_claims FROM validated"
     for label, cond in [(label, f) for f, label, _ in K.RULES] + [("CLEAN", "validation_flags = ''")]), "validated")
 ORACLE["request_flags"] = sql("SELECT claim_id, flags FROM decided", "decided")
 
@@ -307,7 +307,7 @@ ORACLE["profile_shape"] = f"""
   SELECT 'lineitem' AS table_name, count(*) AS row_count, {len(_LINEITEM)}::INT AS column_count, '{', '.join(_LINEITEM)}' AS column_names FROM lineitem"""
 _CLAIM_COLUMNS = ("claim_id", "provider_id", "diagnosis_code", "procedure_code", "billed_amount", "date")
 ORACLE["profile_missing"] = sql("SELECT * FROM (" + " UNION ALL ".join(
-    f"SELECT '{c}' AS column_name, count(*) - count({c}) AS missing, round_even((count(*) - count({c})) * 100.0::DOUBLE / count(*), 2) AS missing_pct FROM bronze"
+    f"SELECT '{c}' AS column_name, count(*) - count({c}) AS missing, round_even((count(*) - count({c}))::DOUBLE / count(*) * 100, 2) AS missing_pct FROM bronze"
     for c in _CLAIM_COLUMNS) + ") WHERE missing > 0", "bronze")
 ORACLE["profile_duplicates"] = sql("SELECT count(*) - count(DISTINCT claim_id) AS duplicates FROM bronze", "bronze")
 ORACLE["profile_date_range"] = sql(" UNION ALL ".join(f"""
@@ -317,9 +317,9 @@ ORACLE["profile_date_range"] = sql(" UNION ALL ".join(f"""
 ORACLE["profile_cardinality"] = sql(" UNION ALL ".join(
     f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS distinct_values FROM bronze" for c in _CLAIM_COLUMNS), "bronze")
 ORACLE["profile_numeric"] = " UNION ALL ".join(f"""
-  SELECT '{c}' AS column_name, count({c})::DOUBLE AS count, round(avg({c}), 2) AS mean, round(stddev_samp({c}), 2) AS std, round(min({c})::DOUBLE, 2) AS min,
-         round(quantile_cont({c}::DOUBLE, 0.25), 2) AS "25%", round(quantile_cont({c}::DOUBLE, 0.5), 2) AS "50%",
-         round(quantile_cont({c}::DOUBLE, 0.75), 2) AS "75%", round(max({c})::DOUBLE, 2) AS max FROM lineitem""" for c in _LINEITEM[:8])
+  SELECT '{c}' AS column_name, count({c})::DOUBLE AS count, round_even(avg({c}), 2) AS mean, round_even(stddev_samp({c}), 2) AS std, round_even(min({c})::DOUBLE, 2) AS min,
+         round_even(quantile_cont({c}::DOUBLE, 0.25), 2) AS "25%", round_even(quantile_cont({c}::DOUBLE, 0.5), 2) AS "50%",
+         round_even(quantile_cont({c}::DOUBLE, 0.75), 2) AS "75%", round_even(max({c})::DOUBLE, 2) AS max FROM lineitem""" for c in _LINEITEM[:8])
 _PROFILED = {
     "bronze": ("bronze_claims", _CLAIM_COLUMNS),
     "raw_providers": ("bronze_providers", ("provider_id", "doctor_name", "specialty", "location")),
@@ -337,13 +337,13 @@ ORACLE["profile_all"] = sql(" UNION ALL ".join(
 ORACLE["quality_check"] = sql("""
   SELECT 'bronze_claims' AS table_name, 'patient_id' AS column_name, 'COLUMN MISSING' AS issue, NULL::DOUBLE AS null_pct
   UNION ALL SELECT * FROM (""" + " UNION ALL ".join(f"""
-  SELECT 'bronze_claims' AS table_name, '{c}' AS column_name, 'HIGH NULLS' AS issue, round((count(*) - count({c})) * 100.0::DOUBLE / count(*), 1) AS null_pct FROM bronze
-  HAVING (count(*) - count({c})) * 100.0::DOUBLE / count(*) > 10.0""" for c in _CLAIM_COLUMNS[:5]) + ")", "bronze")
+  SELECT 'bronze_claims' AS table_name, '{c}' AS column_name, 'HIGH NULLS' AS issue, printf('%.1f', (count(*) - count({c}))::DOUBLE / count(*) * 100)::DOUBLE AS null_pct FROM bronze
+  HAVING (count(*) - count({c}))::DOUBLE / count(*) * 100 > 10.0""" for c in _CLAIM_COLUMNS[:5]) + ")", "bronze")
 
 
 def _summary(name: str, table: str, columns, expected, absent: int) -> str:
     nulls = " + ".join(f"count(*) - count({c})" for c in columns)
-    issues = " + ".join(f"((count(*) - count({c})) * 100.0::DOUBLE / count(*) > 10.0)::INT" for c in expected)
+    issues = " + ".join(f"((count(*) - count({c}))::DOUBLE / count(*) * 100 > 10.0)::INT" for c in expected)
     return (f"SELECT '{name}' AS table_name, count(*) AS row_count, {len(columns)}::INT AS column_count, ({nulls})::BIGINT AS total_nulls, "
             f"({issues} + {absent})::BIGINT AS issues FROM {table}")
 
@@ -416,7 +416,7 @@ ORACLE["classification_report"] = sql("""
            UNION ALL SELECT 'weighted avg', (p0 * s0 + p1 * s1) / (s0 + s1), (r0 * s0 + r1 * s1) / (s0 + s1), (f0 * s0 + f1 * s1) / (s0 + s1), s0 + s1 FROM m)
   SELECT class, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1_score, s::BIGINT AS support FROM rows""", "rule_scores")
 ORACLE["risk_level"] = sql("""
-  SELECT claim_id, round_even(least(p, 1.0), 4) AS probability, (least(p, 1.0) >= 0.37)::INT AS predicted_label,
+  SELECT claim_id, printf('%.4f', least(p, 1.0))::DOUBLE AS probability, (least(p, 1.0) >= 0.37)::INT AS predicted_label,
          CASE WHEN p >= 0.70 THEN 'HIGH' WHEN p >= 0.40 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level, 0.37::DOUBLE AS threshold
   FROM (SELECT claim_id, (risk_score * 2 + provider_denial_rate) / 12.0 AS p FROM gold)""", "gold")
 ORACLE["explanation_text"] = sql(f"""
@@ -424,8 +424,8 @@ ORACLE["explanation_text"] = sql(f"""
          CASE WHEN v > 0 THEN '+' ELSE '' END, printf('%.2f', v), ' risk)') AS line
   FROM (SELECT claim_id, 1::INT AS rank, {q(K.FEATURE_LABELS['missing_fields_count'])} AS label, missing_fields_count::DOUBLE AS value,
                missing_fields_count * 0.25::DOUBLE - 0.25::DOUBLE AS v FROM gold
-        UNION ALL SELECT claim_id, 2, {q(K.FEATURE_LABELS['claim_amount_ratio'])}, round_even(coalesce(claim_amount_ratio, 1.0::DOUBLE), 4),
-               round_even(coalesce(claim_amount_ratio, 1.0::DOUBLE) / 10 - 0.2::DOUBLE, 4) FROM gold)
+        UNION ALL SELECT claim_id, 2, {q(K.FEATURE_LABELS['claim_amount_ratio'])}, printf('%.4f', coalesce(claim_amount_ratio, 1.0::DOUBLE))::DOUBLE,
+               printf('%.4f', coalesce(claim_amount_ratio, 1.0::DOUBLE) / 10 - 0.2::DOUBLE)::DOUBLE FROM gold)
   WHERE abs(v) >= 0.01""", "gold")
 
 ORACLE["serving_features"] = sql("""

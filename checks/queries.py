@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlens import constants as K
+from claimlens.functions.numbers import py_round
 from claimlens.functions.vector import cosine_from_l2
 from claimlens.ml import evaluate, prepare, score, train
 from claimlens.operators import (
@@ -741,8 +742,8 @@ def explanation_text(spark, sf):
     given = F.array(
         F.struct(F.lit(1).alias("rank"), F.lit("missing_fields_count").alias("feature_name"), F.col("missing_fields_count").cast("double").alias("feature_value"),
                  (F.col("missing_fields_count") * 0.25 - 0.25).alias("shap_value")),
-        F.struct(F.lit(2).alias("rank"), F.lit("claim_amount_ratio").alias("feature_name"), F.bround(F.coalesce("claim_amount_ratio", F.lit(1.0)), 4).alias("feature_value"),
-                 F.bround(F.coalesce("claim_amount_ratio", F.lit(1.0)) / 10 - 0.2, 4).alias("shap_value")),
+        F.struct(F.lit(2).alias("rank"), F.lit("claim_amount_ratio").alias("feature_name"), py_round(F.coalesce("claim_amount_ratio", F.lit(1.0)), 4).alias("feature_value"),
+                 py_round(F.coalesce("claim_amount_ratio", F.lit(1.0)) / 10 - 0.2, 4).alias("shap_value")),
     )
     labels = F.create_map(*[F.lit(x) for pair in K.FEATURE_LABELS.items() for x in pair])
     attributed = rows.select("claim_id", F.inline(given)).withColumns({
@@ -838,8 +839,8 @@ def evaluate_claims_model(spark, sf):
 @query
 def stream_claims(spark, sf):
     """Order lines read as a stream, scored in micro-batches and read back from the history."""
-    source = f"{sf}/lineitem.parquet"
-    lines = spark.readStream.schema(star.table(spark, sf, "lineitem").schema).parquet(source)
+    schema = star.table(spark, sf, "lineitem").schema
+    lines = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf)
     batch = star.lines_to_claims(lines).withColumn("patient_id", F.lit("P0"))
     path = scratch_path(spark, "history")
     stream_score_claims(batch, rule_scorer, path, scratch_path(spark, "stream-state")).awaitTermination()

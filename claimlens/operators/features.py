@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.numbers import true_or_false, unit_hash
+from ..functions.numbers import np_round, true_or_false, unit_hash
 from ..session import broadcast_if_small, stage
 from .rules import billed_over
 
@@ -28,7 +28,7 @@ def provider_stats(df: DataFrame) -> DataFrame:
         .groupBy("provider_id")
         .agg(
             F.count("claim_id").alias("provider_claim_count"),
-            F.bround(F.avg(flagged), 4).alias("provider_denial_rate"),
+            np_round(F.avg(flagged), 4).alias("provider_denial_rate"),
         )
     )
 

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.numbers import to_timestamp
-from ..functions.pyformat import fixed
+from ..functions.numbers import fixed, to_timestamp
 
 
 def kpi_summary(claims: DataFrame, approx: bool = False) -> DataFrame:
@@ -74,7 +73,9 @@ def history_latest(
 
 def history_display(history: DataFrame, is_admin: bool = False) -> DataFrame:
     """History rows as shown to people: percent, status and minute-precision time as text."""
-    pct = F.concat(fixed(F.col("denial_probability") * 100, 1), F.lit("%"))
+    pct = F.when(
+        F.col("denial_probability").isNotNull(), F.concat(fixed(F.col("denial_probability") * 100, 1), F.lit("%"))
+    )
     shown = history.withColumns({
         "denial_probability": F.coalesce(pct, F.lit(K.NO_PROBABILITY_TEXT)),
         "is_denied": F.when(F.col("is_denied"), K.DENIED_TEXT).otherwise(K.CLEAN_TEXT),

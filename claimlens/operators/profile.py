@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
-from ..functions.numbers import to_timestamp
+from ..functions.numbers import np_round, to_timestamp
 from .quantiles import exact_quantiles
 
 NUMERIC_STATS = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
@@ -45,7 +45,7 @@ def profile_missing(df: DataFrame) -> DataFrame:
     return null_counts(df).where("missing > 0").select(
         "column_name",
         "missing",
-        F.bround(F.col("missing") * 100.0 / F.col("_rows"), 2).alias("missing_pct"),
+        np_round(F.col("missing") / F.col("_rows") * 100, 2).alias("missing_pct"),
     )
 
 
@@ -122,7 +122,7 @@ def profile_numeric(df: DataFrame) -> DataFrame:
     )
     # one row per column on either side
     joined = moments.join(F.broadcast(quartiles), "column_name", "left")
-    return joined.select("column_name", *[F.round(F.col(f"`{s}`"), 2).alias(s) for s in NUMERIC_STATS])
+    return joined.select("column_name", *[np_round(F.col(f"`{s}`"), 2).alias(s) for s in NUMERIC_STATS])
 
 
 def profile_lines(df: DataFrame, name: str, date_format: str = "yyyy-MM-dd") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .. import constants as K
+from ..functions.numbers import py_round
 from .profile import null_counts
 
 _ISSUES = "table_name string, column_name string, issue string, null_pct double"
@@ -23,12 +24,12 @@ def quality_check(
     absent = [(table, c, "COLUMN MISSING", None) for c in expected if c not in df.columns]
     issues = df.sparkSession.createDataFrame(absent, _ISSUES)
     if present:
-        pct = F.col("missing") * 100.0 / F.nullif(F.col("_rows"), F.lit(0))
+        pct = F.col("missing") / F.nullif(F.col("_rows"), F.lit(0)) * 100
         high = null_counts(df.select(*present)).where(pct > threshold_pct).select(
             F.lit(table).alias("table_name"),
             "column_name",
             F.lit("HIGH NULLS").alias("issue"),
-            F.round(pct, 1).alias("null_pct"),
+            py_round(pct, 1).alias("null_pct"),
         )
         issues = issues.unionByName(high)
     return issues
@@ -53,7 +54,7 @@ def quality_summary(
     for name, df in tables.items():
         wanted = list(expected.get(name, ()))
         absent = len([c for c in wanted if c not in df.columns])
-        pct = F.col("missing") * 100.0 / F.nullif(F.col("_rows"), F.lit(0))
+        pct = F.col("missing") / F.nullif(F.col("_rows"), F.lit(0)) * 100
         parts.append(null_counts(df).agg(
             F.max("_rows").alias("row_count"),
             F.sum("missing").alias("total_nulls"),

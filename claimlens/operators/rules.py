@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.numbers import true_or_false
+from ..functions.numbers import py_round, true_or_false
 
 
 @dataclass(frozen=True)
@@ -101,5 +101,5 @@ def validation_summary(validated: DataFrame, rules: tuple[Rule, ...] = BATCH_RUL
         F.count_if(F.col("validation_flags") == "").alias("CLEAN"),
     )
     rows = counts.unpivot("_total", [*[r.label for r in present], "CLEAN"], "rule", "claims")
-    pct = F.when(F.col("_total") > 0, F.round(F.col("claims") * 100.0 / F.nullif("_total", F.lit(0)), 1))
+    pct = F.when(F.col("_total") > 0, py_round(F.col("claims") / F.nullif("_total", F.lit(0)) * 100, 1))
     return rows.select("rule", "claims", pct.alias("pct_of_claims"))

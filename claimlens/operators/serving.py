@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.numbers import true_or_false
+from ..functions.numbers import py_round, true_or_false
 
 
 def _blank(column: str) -> Column:
@@ -55,13 +55,13 @@ def risk_level(probability: Column | str = "probability") -> Column:
 
 def decide(scored: DataFrame, threshold: float, raw: str = "raw_probability") -> DataFrame:
     """Label and level from the clamped probability, which is rounded only afterwards."""
-    p = F.least(F.greatest(F.col(raw), F.lit(0.0)), F.lit(1.0))
-    return scored.withColumns({
-        "predicted_label": (p >= threshold).cast("int"),
-        "risk_level": risk_level(p),
-        "probability": F.bround(p, 4),
+    clamped = F.least(F.greatest(F.col(raw), F.lit(0.0)), F.lit(1.0))
+    return scored.withColumn("_p", clamped).withColumns({
+        "predicted_label": (F.col("_p") >= threshold).cast("int"),
+        "risk_level": risk_level("_p"),
+        "probability": py_round("_p", 4),
         "threshold": F.lit(float(threshold)),
-    })
+    }).drop("_p")
 
 
 def canned_contributions(scored: DataFrame) -> DataFrame:

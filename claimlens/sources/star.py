@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions.numbers import np_round
 from ..operators.serving import risk_level
 
 
@@ -105,7 +106,7 @@ def bronze(spark: SparkSession, sf_dir: str, patient: bool = False) -> dict[str,
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A prediction history from the event stream: one scored claim per event."""
-    p = F.bround(F.col("value") / 500.0, 4)
+    p = np_round(F.col("value") / 500.0, 4)
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("id"),
         F.concat(F.lit("user"), "user_id").alias("username"),
