@@ -1,0 +1,183 @@
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from claimlens import constants as K
+from claimlens.errors import GoldError, ModelError
+from claimlens.ml import evaluate, prepare, score, train
+from claimlens.plans import training
+from claimlens.session import stage
+from claimlens.sources import artifacts, tables
+
+GOLD = ("claim_id string, claim_amount_ratio double, provider_claim_count long, provider_denial_rate double, diagnosis_severity_flag int, "
+        "missing_fields_count int, is_high_biller int, claim_month int, denial_label int")
+
+
+@pytest.fixture(scope="module")
+def gold(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(3000):
+        missing, high = rng.randint(0, 3), rng.randint(0, 1)
+        label = int(missing + high >= 2) ^ int(rng.random() < 0.05)
+        rows.append((f"C{i}", None if missing == 3 else rng.uniform(0, 6), rng.randint(1, 90), rng.random(), rng.randint(0, 1), missing, high,
+                     rng.randint(1, 12), label))
+    return stage(spark.createDataFrame(rows, GOLD), "gold")
+
+
+@pytest.fixture(scope="module")
+def trained(gold, spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("model"))
+    return training.train_model(gold, path, params={"maxDepth": 3, "stepSize": 0.3, "maxIter": 5}), path
+
+
+def scores(spark, pairs):
+    return spark.createDataFrame(pairs, "label int, score double")
+
+
+def test_threshold_facts(spark):
+    r = evaluate.best_f1_threshold(scores(spark, [(0, .2), (1, .8), (0, .3), (1, .9)])).first()
+    assert 0.10 <= r["best_threshold"] <= 0.90 and r["best_f1"] == 1.0
+    assert tuple(evaluate.best_f1_threshold(scores(spark, [(0, .1), (0, .2), (0, .3), (0, .4)])).first()) == (0.5, 0.0)
+    assert evaluate.best_f1_threshold(scores(spark, [(0, .1), (0, .2), (1, .8), (1, .9)])).first()["best_f1"] >= 0.9
+    assert tuple(evaluate.best_f1_threshold(scores(spark, [])).first()) == (0.5, 0.0)
+
+
+def test_threshold_and_auc_equal_brute_force(spark):
+    rng = random.Random(2)
+    pairs = [(rng.randint(0, 1), rng.choice([0.15, 0.5, 0.1, 0.9, round(rng.random(), 2), rng.random()])) for _ in range(700)]
+    best = (0.5, 0.0)
+    for t in evaluate.THRESHOLDS:
+        tp = sum(y and p >= t for y, p in pairs)
+        wrong = sum((p >= t) != bool(y) for y, p in pairs)
+        f1 = 2 * tp / (2 * tp + wrong) if tp else 0.0
+        if f1 > best[1]:
+            best = (round(t, 2), f1)
+    got = evaluate.best_f1_threshold(scores(spark, pairs).repartition(5)).first()
+    assert got["best_threshold"] == best[0] and math.isclose(got["best_f1"], best[1])
+    pos, neg = [p for y, p in pairs if y], [p for y, p in pairs if not y]
+    auc = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / len(pos) / len(neg)
+    assert math.isclose(evaluate.score_auc(scores(spark, pairs)).first()["auc"], auc)
+
+
+def test_report(spark):
+    df = spark.createDataFrame([(1, 1)] * 3 + [(1, 0)] + [(0, 0)] * 5 + [(0, 1)], "label int, prediction int")
+    r = {x["class"]: x for x in evaluate.classification_report(df).collect()}
+    assert (r["Denied"]["precision"], r["Denied"]["recall"], r["Denied"]["support"]) == (0.75, 0.75, 4)
+    assert r["accuracy"]["f1_score"] == 0.8 and math.isclose(r["macro avg"]["precision"], (0.75 + 5 / 6) / 2)
+
+
+def test_medians_and_imputation(spark):
+    df = spark.createDataFrame([("a", 1.0, 50, 0.1, 0, 0, 0, 3, 0), ("b", None, None, None, None, None, None, None, 1)], GOLD)
+    medians = prepare.medians_dict(prepare.feature_medians(df))
+    assert set(medians) == set(K.FEATURES) and medians["provider_claim_count"] == 50.0
+    out = prepare.prepare_features(df)
+    assert out.columns == ["claim_id", *K.FEATURES, K.TARGET] and out.count() == 2
+    assert out.na.drop().count() == 2
+    assert set(prepare.medians_dict(prepare.feature_medians(df, approx=True))) == set(K.FEATURES)
+
+
+def test_split_is_exact_per_label_and_stable(spark):
+    df = spark.range(5003).select(F.concat(F.lit("C"), "id").alias("claim_id"), (F.col("id") % 10 < 3).cast("int").alias(K.TARGET))
+    sets = []
+    for n in (1, 9):
+        out = prepare.stratified_split(df.repartition(n))
+        counts = {(r[K.TARGET], r["is_test"]): r["count"] for r in out.groupBy(K.TARGET, "is_test").count().collect()}
+        for label, size in df.groupBy(K.TARGET).count().collect():
+            assert counts[label, True] == math.floor(size * 0.2 + 0.5) and sum(v for k, v in counts.items() if k[0] == label) == size
+        sets.append({r["claim_id"] for r in out.where("is_test").collect()})
+    assert sets[0] == sets[1]
+    tiny = prepare.stratified_split(df.limit(2)).collect()
+    assert len(tiny) == 2 and all(r["is_test"] is not None for r in tiny)
+
+
+def test_folds_are_balanced(gold):
+    counts = [r["count"] for r in prepare.add_fold(gold).groupBy("fold").count().collect()]
+    assert len(counts) == 3 and min(counts) > 900
+
+
+def test_training_rows_keep_all_weight(gold):
+    prepared = prepare.prepare_features(gold)
+    bins = train.fit_bins(prepared)
+    rows = train.training_rows(prepared, bins, 1.0)
+    assert rows.agg(F.sum("weight")).first()[0] == 3000.0
+    assert rows.count() <= 3000
+    weight = train.class_weight(prepared)
+    r = prepare.scale_pos_weight(gold).first()
+    assert math.isclose(weight, r["negatives"] / r["positives"]) and math.isclose(weight, r["scale_pos_weight"])
+
+
+def test_model_learns_and_its_artifacts_survive(spark, trained, gold):
+    t, path = trained
+    assert t.auc > 0.85 and 0.10 <= t.threshold <= 0.90 and 0 < t.best_f1 <= 1
+    loaded = artifacts.read_artifacts(spark, path)
+    assert loaded.medians == t.medians and loaded.threshold == t.threshold
+    a = score.score_claims(gold, t.model, t.medians, t.threshold).orderBy("claim_id").collect()
+    b = score.score_claims(gold, loaded.model, loaded.medians, loaded.threshold).orderBy("claim_id").collect()
+    assert a == b
+    assert all(0 <= r["probability"] <= 1 and r["risk_level"] in ("HIGH", "MEDIUM", "LOW") for r in a)
+    importance = train.feature_importance(t.model, spark).collect()
+    assert importance[0]["feature"] == "missing_fields_count" and math.isclose(sum(r["importance"] for r in importance), 1.0)
+    assert train.importance_sorted(train.feature_importance(t.model, spark), ascending=True).collect()[-1] == importance[0]
+
+
+def test_scoring_fills_absent_features(spark, trained):
+    t, _ = trained
+    row = score.score_claims(spark.createDataFrame([("C1",)], "claim_id string"), t.model, t.medians, t.threshold).first()
+    assert 0 <= row["probability"] <= 1
+
+
+def test_missing_or_corrupt_artifacts(spark, trained, tmp_path):
+    with pytest.raises(ModelError) as info:
+        artifacts.read_artifacts(spark, str(tmp_path))
+    assert info.value.error_code == "ML-4001"
+    (tmp_path / "threshold").mkdir()
+    (tmp_path / "threshold" / "part.json").write_text('{"threshold": 0.3')
+    with pytest.raises(ModelError):
+        artifacts._read_json(spark, str(tmp_path / "threshold"), "threshold double")
+    with pytest.raises(GoldError):
+        tables.load_gold(spark, str(tmp_path / "gold"))
+
+
+def test_attributions_add_up_to_the_score(spark, trained, gold):
+    t, _ = trained
+    some = gold.where(F.pmod(F.xxhash64("claim_id"), F.lit(50)) == 0)
+    some = some.unionByName(some.limit(1))  # a repeated row must not change its claim's values
+    rows = score.attribute_claims(some, t.model, t.medians).collect()
+    claims = {r["claim_id"] for r in rows}
+    assert len(rows) == 7 * len(claims)
+    base = spark.createDataFrame([("base",)], "claim_id string")
+    f0 = score._predicted(prepare.impute(base, t.medians), t.model).first()["log_odds"]
+    fx = {r["claim_id"]: r["log_odds"] for r in score._predicted(prepare.impute(some, t.medians), t.model).collect()}
+    for c in claims:
+        mine = sorted((r for r in rows if r["claim_id"] == c), key=lambda r: r["rank"])
+        assert abs(sum(r["shap_value"] for r in mine) - (fx[c] - f0)) < 1e-3
+        sizes = [abs(r["shap_value"]) for r in mine]
+        assert sizes == sorted(sizes, reverse=True) and [r["rank"] for r in mine] == list(range(1, 8))
+        assert all((r["direction"] == "INCREASES_RISK") == (r["shap_value"] > 0) for r in mine if abs(r["shap_value"]) > 1e-3)
+
+
+def test_explanations(spark):
+    df = spark.createDataFrame([
+        ("C1", 1, "A", 3.8, 0.35, "INCREASES_RISK"), ("C1", 2, "B", 2.0, -0.08, "REDUCES_RISK"), ("C1", 3, "C", 1.0, 0.0099, "INCREASES_RISK"),
+        ("C1", 4, "D", 12345678.0, 0.5, "INCREASES_RISK"), ("C1", 5, "E", 0.0005, 0.145, "INCREASES_RISK"),
+    ], "claim_id string, rank int, feature_label string, feature_value double, shap_value double, direction string")
+    lines = [r["line"] for r in score.explanation_text(df).orderBy("rank").collect()]
+    assert lines == ["⚠ A is 3.8 (+0.35 risk)", "✓ B is 2.0 (-0.08 risk)", "⚠ D is 12345678.0 (+0.50 risk)", f"⚠ E is 0.0005 (+{0.145:.2f} risk)"]
+
+
+def test_trials_stay_in_range():
+    drawn = train.draw_trials(50)
+    assert drawn == train.draw_trials(50)
+    for p in drawn:
+        assert 3 <= p["maxDepth"] <= 6 and 0.01 <= p["stepSize"] <= 0.2 and 100 <= p["maxIter"] <= 300
+        assert 0.6 <= p["subsamplingRate"] <= 1 and 0.6 <= float(p["featureSubsetStrategy"]) <= 1
+
+
+def test_tuning_picks_the_best_trial(gold):
+    best, table = train.tune_random_cv(prepare.prepare_features(gold), trials=2, trees=(2, 3))
+    rows = table.collect()
+    top = max(rows, key=lambda r: r["mean_auc"])
+    assert len(rows) == 2 and top["mean_auc"] > 0.8 and best["maxDepth"] == top["max_depth"]
