@@ -781,7 +781,11 @@ def canned_contributions(spark, sf):
 
 
 def _flagged(spark, sf):
-    """Claims with their flags as an array."""
+    """Claims with their flags as an array, as a written table."""
+    return stage(_with_flags(spark, sf), "flagged")
+
+
+def _with_flags(spark, sf):
     return validated(spark, sf).select("claim_id", F.filter(F.split("validation_flags", r"\|"), lambda f: f != "").alias("flags"))
 
 
@@ -793,7 +797,7 @@ def _report_output(df):
 
 @query
 def action_steps(spark, sf):
-    return _flagged(spark, sf).select("claim_id", F.md5(remediate.action_steps("flags")).alias("steps_md5"))
+    return _with_flags(spark, sf).select("claim_id", F.md5(remediate.action_steps("flags")).alias("steps_md5"))
 
 
 @query

@@ -12,10 +12,16 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.numbers import np_round
 from ..operators.serving import risk_level
+from ..session import spread
+
+
+# Tables that heavy row work starts from, with the key to spread them by when they have few splits.
+_SPREAD = {"lineitem": ("l_orderkey", "l_linenumber"), "documents": ("doc_id",)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, *_SPREAD[name]) if name in _SPREAD else df
 
 
 # Raw claim fields as expressions over lineitem.
