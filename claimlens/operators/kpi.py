@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.numbers import fixed, to_timestamp
+from ..session import broadcast_if_small
 
 
 def kpi_summary(claims: DataFrame, approx: bool = False) -> DataFrame:
@@ -23,7 +24,7 @@ def join_claims_providers(claims: DataFrame, providers: DataFrame) -> DataFrame:
     shared = [c for c in providers.columns if c in claims.columns and c != "provider_id"]
     left = claims.withColumnsRenamed({c: f"{c}_x" for c in shared})
     right = providers.withColumnsRenamed({c: f"{c}_y" for c in shared})
-    return left.join(right, "provider_id", "left")
+    return left.join(broadcast_if_small(right), "provider_id", "left")
 
 
 def provider_activity(claims: DataFrame, providers: DataFrame, limit: int = 10) -> DataFrame:
