@@ -634,18 +634,18 @@ def _retrieved(spark, sf):
 
 
 @lru_cache(maxsize=2)
-def _trained_once(application: str, sf: str):
-    spark = SparkSession.getActiveSession()
+def _trained_once(spark, sf):
+    """Gold table and model, shared by the queries that need them."""
     table = stage(gold(spark, sf), "gold")
     return table, training.train_model(table, params=CHECK_PARAMS)
 
 
 def _trained(spark, sf):
-    return _trained_once(spark.sparkContext.applicationId, sf)[1]
+    return _trained_once(spark, sf)[1]
 
 
 def _gold_table(spark, sf):
-    return _trained_once(spark.sparkContext.applicationId, sf)[0]
+    return _trained_once(spark, sf)[0]
 
 
 @query

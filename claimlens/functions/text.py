@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from ..constants import CHUNK_OVERLAP, CHUNK_WORDS, WHITESPACE, WHITESPACE_CLASS
 
 
+def normal_name(header: str) -> str:
+    """Column name of a file header: stripped, lower case, blanks as underscores."""
+    return header.strip().lower().replace(" ", "_")
+
+
 def strip(col: Column | str) -> Column:
     """Remove Unicode whitespace from both ends (SQL ``trim`` knows only the blank)."""
     return F.btrim(F.col(col) if isinstance(col, str) else col, F.lit(WHITESPACE))

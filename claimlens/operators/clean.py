@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import numbers, text
+from ..functions.text import normal_name
 
 # Which of several rows with one claim_id is "first". Rows have no position once partitioned, so
 # the order is by value; every remaining column follows, which makes the survivor unambiguous.
@@ -17,9 +18,12 @@ CLAIM_ORDER = (
 )
 
 
+CODES = ("diagnosis_code", "procedure_code")
+
+
 def normalize_columns(df: DataFrame) -> DataFrame:
     """Header names stripped, lower case, blanks as underscores."""
-    return df.toDF(*[c.strip().lower().replace(" ", "_") for c in df.columns])
+    return df.toDF(*map(normal_name, df.columns))
 
 
 def dedup_keep_first(
@@ -44,7 +48,7 @@ def parse_date(df: DataFrame, fmt: str = "yyyy-MM-dd") -> DataFrame:
 
 
 def standardize_codes(
-    df: DataFrame, columns: Sequence[str] = ("diagnosis_code", "procedure_code"), empty_as_null: bool = False
+    df: DataFrame, columns: Sequence[str] = CODES, empty_as_null: bool = False
 ) -> DataFrame:
     """Codes stripped and upper case. With ``empty_as_null`` a blank code counts as missing."""
     present = [c for c in columns if c in df.columns]
@@ -54,9 +58,9 @@ def standardize_codes(
     return df.withColumns(fixed) if fixed else df
 
 
-def strip_strings(df: DataFrame) -> DataFrame:
-    """Every string column stripped of Unicode whitespace."""
-    strings = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
+def strip_strings(df: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
+    """Every string column stripped of Unicode whitespace, but for those in ``skip``."""
+    strings = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType) and f.name not in skip]
     return df.withColumns({c: text.strip(c) for c in strings}) if strings else df
 
 
@@ -74,8 +78,8 @@ def clean_claims(df: DataFrame, date_format: str = "yyyy-MM-dd", empty_as_null:
         df.transform(normalize_columns)
         .transform(dedup_keep_first)
         .transform(parse_date, date_format)
-        .transform(standardize_codes, empty_as_null=empty_as_null)
-        .transform(strip_strings)
+        .transform(standardize_codes, CODES, empty_as_null)
+        .transform(strip_strings, CODES)
     )
 
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
-from pyspark.errors import AnalysisException
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import errors
 from ..constants import RAW_FILES
+from ..functions.text import normal_name
 from ..schemas import RAW_SCHEMAS
 
 # Text is written and read as it is: no trimming, empty field = null.
@@ -26,12 +27,20 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def ingest_csv(spark: SparkSession, path: str, schema: StructType, multiline: bool = False) -> DataFrame | None:
     """Raw CSV with its two metadata columns; None when the file is missing.
 
-    With an explicit schema the file is read once and splits freely; only files with line breaks
+    Columns keep the file's names and order; a column of ``schema`` gets its type, any other stays
+    text. Only the header line is read for that, and the file splits freely. Files with line breaks
     inside fields need ``multiline``, which reads a file in one task.
     """
     if not path_exists(spark, path):
         return None
-    raw = spark.read.schema(schema).options(**_CSV).option("multiLine", multiline).csv(path)
+    reader = spark.read.options(**_CSV).option("multiLine", multiline)
+    try:
+        header = reader.csv(path).columns
+    except AnalysisException as exc:
+        raise errors.IngestionError(errors.FILE_NOT_FOUND, f"cannot read CSV file: {path}") from exc
+    types = {f.name: f.dataType for f in schema.fields}
+    found = StructType([StructField(c, types.get(normal_name(c), StringType())) for c in header])
+    raw = reader.schema(found).csv(path)
     return stamp(raw, path.rstrip("/").rsplit("/", 1)[-1])
 
 
@@ -39,10 +48,10 @@ def stamp(df: DataFrame, source_file: str) -> DataFrame:
     return df.withColumns({"ingestion_timestamp": F.current_timestamp(), "source_file": F.lit(source_file)})
 
 
-def write_layer(df: DataFrame, path: str, partition_by: str | None = None) -> str:
-    """Overwrite a layer table as Parquet."""
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+def write_layer(df: DataFrame, path: str, partition_by: str | None = None, fmt: str = "parquet") -> str:
+    """Overwrite a layer table, as Parquet or in any other format the session has (ORC, Delta, ...)."""
+    writer = df.write.mode("overwrite").format(fmt)
+    (writer.partitionBy(partition_by) if partition_by else writer).save(path)
     return path
 
 
@@ -53,7 +62,7 @@ def write_csv(df: DataFrame, path: str) -> str:
 
 def save_bronze(df: DataFrame, base: str, table: str, fmt: str = "parquet") -> str:
     path = f"{base}/{table}"
-    return write_csv(df, path) if fmt == "csv" else write_layer(df, path)
+    return write_csv(df, path) if fmt == "csv" else write_layer(df, path, fmt=fmt)
 
 
 def read_layer(

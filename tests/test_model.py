@@ -118,6 +118,7 @@ def test_model_learns_and_its_artifacts_survive(spark, trained, gold):
     b = score.score_claims(gold, loaded.model, loaded.medians, loaded.threshold).orderBy("claim_id").collect()
     assert a == b
     assert all(0 <= r["probability"] <= 1 and r["risk_level"] in ("HIGH", "MEDIUM", "LOW") for r in a)
+    assert " in {" not in t.model.stages[-1].toDebugString  # bins are split by order
     importance = train.feature_importance(t.model, spark).collect()
     assert importance[0]["feature"] == "missing_fields_count" and math.isclose(sum(r["importance"] for r in importance), 1.0)
     assert train.importance_sorted(train.feature_importance(t.model, spark), ascending=True).collect()[-1] == importance[0]

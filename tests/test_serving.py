@@ -129,6 +129,18 @@ def test_ingestion(spark, tmp_path):
     assert tables.read_claims_batch(spark, str(raw / "claims_1000.csv"), RAW_SCHEMAS["bronze_claims"]).count() == 3
 
 
+def test_csv_columns_go_by_name(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("Billed Amount,extra,claim_id\n7.5,x,C1\noops,y,C2\n")
+    df = tables.ingest_csv(spark, str(tmp_path / "c.csv"), RAW_SCHEMAS["bronze_claims"])
+    assert df.columns == ["Billed Amount", "extra", "claim_id", "ingestion_timestamp", "source_file"]
+    assert [tuple(r)[:3] for r in df.orderBy("claim_id").collect()] == [(7.5, "x", "C1"), (None, "y", "C2")]
+
+
+def test_other_layer_formats(spark, tmp_path):
+    path = tables.save_bronze(spark.range(3), str(tmp_path), "t", fmt="orc")
+    assert spark.read.orc(path).count() == 3
+
+
 def test_csv_keeps_padding(spark, tmp_path):
     df = spark.createDataFrame([(" a\t", 'q"x'), (None, "b")], "x string, y string")
     path = tables.write_csv(df, str(tmp_path / "t"))
