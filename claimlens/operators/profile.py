@@ -84,6 +84,18 @@ def profile_date_range(df: DataFrame, date_format: str = "yyyy-MM-dd") -> DataFr
     return df.agg(*aggs).select(F.inline(F.array(*[F.col(f"`{c}`") for c in columns])))
 
 
+def _identity(df: DataFrame, column: str) -> Column:
+    """What distinct counting compares: the value, or for long text its digest.
+
+    Whole documents would otherwise be shuffled to be counted. A digest is longer than any text that
+    is compared as it is, so the two kinds never meet.
+    """
+    value = F.col(f"`{column}`")
+    if not isinstance(df.schema[column].dataType, StringType):
+        return value
+    return F.when(F.length(value) > 64, F.concat(F.lit("#"), F.sha2(value, 256))).otherwise(value)
+
+
 def profile_cardinality(df: DataFrame, approx: bool = False) -> DataFrame:
     """Distinct non-null values per column.
 
@@ -91,7 +103,7 @@ def profile_cardinality(df: DataFrame, approx: bool = False) -> DataFrame:
     fixed-size sketches.
     """
     count = F.approx_count_distinct if approx else F.count_distinct
-    counts = df.agg(F.count(F.lit(1)).alias("_rows"), *[count(F.col(f"`{c}`")).alias(c) for c in df.columns])
+    counts = df.agg(F.count(F.lit(1)).alias("_rows"), *[count(_identity(df, c)).alias(c) for c in df.columns])
     return _unpivot(counts, df.columns, "long", "distinct_values").drop("_rows")
 
 
@@ -170,7 +182,7 @@ def profile_all(tables: Mapping[str, DataFrame]) -> DataFrame:
         counts = df.agg(
             F.count(F.lit(1)).alias("_rows"),
             *[
-                F.struct(F.count_if(F.col(f"`{c}`").isNull()).alias("missing"), F.count_distinct(F.col(f"`{c}`")).alias("distinct_values")).alias(c)
+                F.struct(F.count_if(F.col(f"`{c}`").isNull()).alias("missing"), F.count_distinct(_identity(df, c)).alias("distinct_values")).alias(c)
                 for c in columns
             ],
         )

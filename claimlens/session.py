@@ -13,6 +13,7 @@ BROADCAST_ROWS = 200_000
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 _local_scratch: str | None = None
+_staged: list[str] = []
 
 
 def get_spark(app_name: str = "claimlens", **conf: str) -> SparkSession:
@@ -58,10 +59,24 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     loss, later reads prune columns, and Catalyst plans joins with its true size.
     """
     path = scratch_path(df.sparkSession, name)
+    _staged.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession) -> int:
+    """Delete the tables ``stage`` wrote in this process; returns their number.
+
+    To be called when no DataFrame that reads one of them is used any more.
+    """
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    dropped = 0
+    while _staged:
+        target = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        dropped += target.getFileSystem(conf).delete(target, True)
+    return dropped
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-repartition a scan that has fewer splits than the session has cores.
 

@@ -1,3 +1,5 @@
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from claimlens.constants import WHITESPACE
@@ -104,6 +106,29 @@ def test_large_reference_is_not_broadcast(spark):
     assert "ResolvedHint" in hinted and "ResolvedHint" not in plain
 
 
+def test_staged_tables_can_be_dropped(spark, monkeypatch):
+    from claimlens import session
+
+    monkeypatch.setattr(session, "_staged", [])
+    staged = session.stage(spark.range(5), "five")
+    path = session._staged[0]
+    assert staged.count() == 5 and session.drop_staged(spark) == 1
+    with pytest.raises(AnalysisException):
+        spark.read.parquet(path)
+
+
+def test_shuffled_join_gives_the_same_rows(spark, monkeypatch):
+    claims = spark.range(2000).select(
+        F.concat(F.lit("C"), "id").alias("claim_id"),
+        F.when(F.col("id") % 3 == 0, "PR0").when(F.col("id") % 3 == 1, F.concat(F.lit("PR"), F.col("id") % 50)).alias("provider_id"))
+    ref = spark.range(40).select(F.concat(F.lit("PR"), "id").alias("provider_id"), *[F.lit(c).alias(c) for c in enrich.PROVIDER_COLUMNS])
+    small = sorted(enrich.enrich_providers(claims, ref).collect(), key=str)
+    monkeypatch.setattr(enrich, "broadcast_if_small", lambda df: df.hint("merge"))
+    large = enrich.enrich_providers(claims, ref)
+    assert "SortMergeJoin" in large._jdf.queryExecution().executedPlan().toString()
+    assert sorted(large.collect(), key=str) == small and len(small) == 2000
+
+
 RULE_INPUT = "claim_id string, diagnosis_code string, procedure_code string, billed_amount double, expected_cost double"
 
 

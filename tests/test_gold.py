@@ -134,6 +134,12 @@ def test_profile(spark):
     assert "2 duplicate(s) found" in text and "PROFILING REPORT: t" in text
 
 
+def test_long_texts_are_counted_by_digest(spark):
+    texts = ["a" * 64, "a" * 65, "a" * 65, "b" * 5000, "b" * 5001, None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert profile.profile_cardinality(df).first()["distinct_values"] == 4
+
+
 def test_quality(spark):
     df = spark.createDataFrame([("C1", None), ("C2", "x")], "claim_id string, b string")
     issues = {(r["column_name"], r["issue"], r["null_pct"]) for r in quality.quality_check(df, "t", ("claim_id", "b", "c")).collect()}
