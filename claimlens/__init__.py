@@ -1,3 +1,3 @@
-"""Claim-denial analytics as Spark DataFrame operators."""
+"""Claim-quality analytics as Spark DataFrame operators."""
 
 __version__ = "0.1.0"
