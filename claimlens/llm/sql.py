@@ -28,4 +28,34 @@ cut AS (
 SELECT doc_id, source, size::BIGINT AS size, source_size, target,
        (epochs * size + greatest(0, least(size, floor(target)::BIGINT - epochs * source_size - before)))::BIGINT AS taken
 FROM cut""",
+    # Every window that a common shingle lays, compared with every item of its length: no fingerprints.
+    "op4_decontaminate": r"""
+WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS words FROM documents),
+i AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS words FROM benchmark),
+items AS (
+    SELECT item_id, words, len(words) AS n, least(len(words), 5) AS k,
+           list_transform(range(0, greatest(0, len(words) - least(len(words), 5)) + 1), lambda j: array_to_string(words[j + 1:j + least(len(words), 5)], ' ')) AS shingles
+    FROM i WHERE len(words) > 0),
+wanted AS (SELECT DISTINCT n, k, unnest(shingles) AS shingle, unnest(range(0, len(shingles))) AS at FROM items),
+each AS (
+    SELECT doc_id, words, k, pos, array_to_string(words[pos + 1:pos + k], ' ') AS shingle
+    FROM (SELECT doc_id, words, k, unnest(range(0, greatest(0, len(words) - k + 1))) AS pos FROM d, (SELECT DISTINCT k FROM items))),
+windows AS (
+    SELECT DISTINCT e.doc_id, e.words, e.k, w.n, greatest(0, least(e.pos - w.at, len(e.words) - w.n)) AS start
+    FROM each e JOIN wanted w USING (k, shingle)),
+own AS (
+    SELECT doc_id, n, start, k, words[start + 1:start + n] AS w FROM windows),
+pairs AS (
+    SELECT doc_id, item_id, o.n, start, shingles,
+           list_transform(range(0, greatest(0, len(w) - o.k) + 1), lambda j: array_to_string(w[j + 1:j + o.k], ' ')) AS own
+    FROM own o JOIN items USING (n, k)),
+scored AS (
+    SELECT doc_id, item_id, n, start, len(own) + len(shingles) AS total,
+           list_sum(list_transform(list_distinct(own), lambda s: least(len(list_filter(own, lambda x: x = s)), len(list_filter(shingles, lambda x: x = s))))) AS common
+    FROM pairs),
+best AS (
+    SELECT *, common::DOUBLE / (total - common) AS similarity,
+           row_number() OVER (PARTITION BY doc_id, item_id ORDER BY common::DOUBLE / (total - common) DESC, start) AS place
+    FROM scored WHERE common::DOUBLE / (total - common) >= 0.8)
+SELECT doc_id, item_id, n::INT AS n_words, start::INT AS start, similarity FROM best WHERE place = 1""",
 }
