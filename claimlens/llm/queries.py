@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm import decontaminate, mixing, simhash, token_files
+from claimlens.llm import decontaminate, language, mixing, simhash, token_files
 from claimlens.llm.common import read_table
 from claimlens.llm.sql import ORACLE
 from claimlens.session import scratch_path
@@ -48,6 +48,27 @@ def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", "text", F.col("lang").alias("declared"), F.col("source").alias("host"))
+    found = language.identify(rows, language.fit(docs, "text", "lang"))
+    return found.select("doc_id", "language", "posterior", "text_language", "accepted")
+
+
+@query
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for web pages: markup language, host and address suffix of each page are evidence."""
+    markup = r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->|<[^>]*>"
+    rows = read_table(spark, sf_dir, "pages").select(
+        "page_id", F.regexp_replace("html", markup, " ").alias("text"),
+        F.nullif(F.regexp_extract("html", r"(?i)<html[^>]*\blang\s*=\s*[\"']?([A-Za-z-]+)", 1), F.lit("")).alias("declared"),
+        F.expr("try_parse_url(url, 'HOST')").alias("host"),
+    )
+    model = language.fit(read_table(spark, sf_dir, "documents"), "text", "lang")
+    return language.identify(rows, model).select("page_id", "language", "posterior", "text_language", "accepted")
+
+
 @query
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
