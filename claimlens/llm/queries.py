@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm import decontaminate, language, mixing, simhash, token_files
+from claimlens.llm import decontaminate, language, mixing, simhash, token_counts, token_files
 from claimlens.llm.common import read_table
 from claimlens.llm.sql import ORACLE
 from claimlens.session import scratch_path
@@ -75,3 +75,9 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = Path(tokenizer_file("word_bpe_49k.json")).read_text()
     token_files.write_token_files(read_table(spark, sf_dir, "documents"), path, tokenizer)
     return token_files.with_crc32(token_files.token_spans(spark, path).drop("part"))
+
+
+@query
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = Path(tokenizer_file("byte_bpe_50k.json")).read_text()
+    return token_counts.token_counts(read_table(spark, sf_dir, "documents"), tokenizer)
