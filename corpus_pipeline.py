@@ -1,10 +1,65 @@
-"""A corpus in five stages. Each takes the documents that its predecessor kept."""
+"""A training corpus in five stages: known language, no near-duplicates, no benchmark items, mixed sources, token ids.
+
+Each stage takes the documents that its predecessor kept, from Parquet, and returns a DataFrame. All but the last return
+the columns of ``documents``; the last writes token files and returns doc_id, start, n_tokens and ids read from them.
+Documents that the mixture takes in several epochs appear as often from there on.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from claimlens.llm import decontaminate, language, mixing, simhash, token_files
+from claimlens.llm.common import read_table
+from claimlens.llm.queries import tokenizer_file
+from claimlens.session import scratch_path, stage
+
+TOKENIZER = "word_bpe_49k.json"
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents of a known language, by text, catalogue entry and source."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select("text", F.col("lang").alias("declared"), F.col("source").alias("host"), row)
+    return language.identify(rows, language.fit(docs, "text", "lang")).where("accepted").select("row.*")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of every group of near-duplicates."""
+    return simhash.keep_one(docs, words=3, most_bits=3)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents without an item of the benchmark."""
+    return decontaminate.without_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes the words of each source up to its target."""
+    return mixing.mixture(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes token files and reads them back."""
+    path = scratch_path(spark, "pipeline-tokens")
+    token_files.write_token_files(docs, path, Path(tokenizer_file(TOKENIZER)).read_text())
+    return token_files.token_spans(spark, path).drop("part")
+
+
+STAGES = [
+    ("language_id", language_id), ("near_dedup", near_dedup), ("without_benchmark", without_benchmark), ("mix", mix),
+    ("tokens", tokens),
+]
+
+# Language models and XXH64 fingerprints are not SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for name, apply in STAGES:
+        docs = stage(apply(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

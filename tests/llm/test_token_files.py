@@ -10,7 +10,7 @@ from claimlens.llm import token_files as tf
 from claimlens.llm.queries import tokenizer_file
 from claimlens.session import scratch_path
 
-TEXTS = ["Hello, world! it's", "", None, "<|endoftext|>x <|startoftext|> y<|endoftext|>", "Ça  va bien　 ?", "é ΣΑΣ ΑΣ", "a\x1cb\x1fc\x0bd\x85e", "日本語のテキスト 👍🏽 12345", "x" * 5000, "don't ́ 'LL we'Re"]
+TEXTS = ["Hello, world! it's", "", None, "<|endoftext|>x <|startoftext|> y<|endoftext|>", "Ça  va bien　 ?", "é ΣΑΣ ΑΣ", "a\x1cb\x1fc\x0bd\x85e", "日本語のテキスト 👍🏽 12345", "x" * 5000, "don't ́ 'LL we'Re", "<|EndOfText|> A", "İI İ ſK"]
 
 
 @pytest.fixture(scope="module")
