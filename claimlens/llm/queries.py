@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm import decontaminate, language, mixing, simhash, token_counts, token_files
+from claimlens.llm import decontaminate, language, mixing, phrase_dedup, simhash, token_counts, token_files
 from claimlens.llm.common import read_table
 from claimlens.llm.sql import ORACLE
 from claimlens.session import scratch_path
@@ -36,6 +36,15 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents")).drop("weight")
 
 
+@query
+def op3_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrase_dedup.dedup_spans(read_table(spark, sf_dir, "documents"))
+    removed = F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.begin)")
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
