@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm import decontaminate, html_text, language, mixing, phrase_dedup, simhash, token_counts, token_files
+from claimlens.llm import decontaminate, html_text, language, mixing, order_minhash, phrase_dedup, simhash, token_counts, token_files
 from claimlens.llm.common import read_table
 from claimlens.llm.sql import ORACLE
 from claimlens.session import scratch_path
@@ -95,3 +95,8 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = Path(tokenizer_file("byte_bpe_50k.json")).read_text()
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"), tokenizer)
+
+
+@query
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprints(read_table(spark, sf_dir, "documents"))
