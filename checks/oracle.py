@@ -149,16 +149,42 @@ CTES: dict[str, str] = {
       GROUP BY label""",
     "distances": """
       SELECT c.label::VARCHAR AS query_id, vec_id, list_distance(embedding::DOUBLE[], center) ** 2 AS distance FROM embeddings e, centroids c""",
+    # lexical vectors, sparse: md5 bucket of each word, count times ln((n + 1) / (df + 1)), length one as 32-bit floats
+    "chunk_buckets": r"""
+      SELECT chunk_id, bucket, count(*) AS tf
+      FROM (SELECT chunk_id, (('0x' || substr(md5(w), 1, 6))::INT % 384)::INT AS bucket
+            FROM (SELECT chunk_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM chunks)) GROUP BY ALL""",
+    "idf": """
+      SELECT bucket, ln(((SELECT count(*) FROM chunks) + 1)::DOUBLE / (count(*) + 1)) AS idf FROM chunk_buckets GROUP BY bucket""",
+    "chunk_vectors": """
+      SELECT chunk_id, bucket, (tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY chunk_id)))::FLOAT::DOUBLE AS v
+      FROM chunk_buckets JOIN idf USING (bucket) QUALIFY sum(tf * idf * tf * idf) OVER (PARTITION BY chunk_id) > 0""",
+    "asked": """
+      SELECT flag, coalesce(known, concat('healthcare claim validation rule remediation ', flag)) AS query FROM (
+        SELECT DISTINCT unnest(string_split(validation_flags, '|')) AS flag FROM validated WHERE validation_flags <> ''
+        UNION SELECT DISTINCT upper(event_type) FROM events
+        UNION SELECT flag FROM rule_labels) LEFT JOIN flag_queries USING (flag)""",
+    "flag_queries": "SELECT * FROM " + values(list(K.FLAG_QUERIES.items()), "t(flag, known)"),
+    "query_vectors": r"""
+      SELECT flag, bucket, (w / sqrt(sum(w * w) OVER (PARTITION BY flag)))::FLOAT::DOUBLE AS v
+      FROM (SELECT flag, bucket, count(*) * coalesce(any_value(idf), ln((SELECT count(*) FROM chunks) + 1)) AS w
+            FROM (SELECT flag, (('0x' || substr(md5(w), 1, 6))::INT % 384)::INT AS bucket
+                  FROM (SELECT flag, unnest(regexp_extract_all(lower(query), '[\p{L}\p{N}]+')) AS w FROM asked))
+            LEFT JOIN idf USING (bucket) GROUP BY flag, bucket)""",
     "chunk_distances": """
-      SELECT query_id, chunk_id, source_file, text, distance,
-             row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 12), chunk_id) AS rank
-      FROM distances JOIN chunks ON source_file = concat('doc', vec_id, '.txt')""",
+      SELECT flag, chunk_id, source_file, text, distance, row_number() OVER (PARTITION BY flag ORDER BY round(distance, 11), chunk_id) AS rank
+      FROM (SELECT q.flag, c.chunk_id, any_value(q.sq) + any_value(c.sq) - 2 * coalesce(sum(a.v * b.v), 0) AS distance
+            FROM (SELECT flag, sum(v * v) AS sq FROM query_vectors GROUP BY flag) q
+            CROSS JOIN (SELECT chunk_id, sum(v * v) AS sq FROM chunk_vectors GROUP BY chunk_id) c
+            LEFT JOIN query_vectors a ON a.flag = q.flag
+            LEFT JOIN chunk_vectors b ON b.chunk_id = c.chunk_id AND b.bucket = a.bucket
+            GROUP BY q.flag, c.chunk_id) JOIN chunks USING (chunk_id)""",
     "rule_labels": "SELECT * FROM " + values([(label, i) for i, (_, label, _) in enumerate(K.RULES)], "t(flag, label)"),
     "evidence": f"""
       SELECT flag AS reason_title, source_file AS source_name, printf('%.4f', distance)::DOUBLE AS similarity_score, concat(substr({strip('text')}, 1, 100), '...') AS policy_preview,
              concat({q(K.EVIDENCE_TEMPLATE.split('{flag}')[0])}, flag, {q(K.EVIDENCE_TEMPLATE.split('{flag}')[1].split('{source_file}')[0])}, source_file,
                     {q(K.EVIDENCE_TEMPLATE.split('{source_file}')[1].split('{policy_text}')[0])}, {strip('text')}, {q(K.EVIDENCE_TEMPLATE.split('{policy_text}')[1])}) AS block
-      FROM chunk_distances JOIN rule_labels ON query_id = label::VARCHAR WHERE rank = 1""",
+      FROM chunk_distances JOIN rule_labels USING (flag) WHERE rank = 1""",
     "steps": "SELECT * FROM " + values(list(K.ACTION_STEPS.items()), "t(flag, steps)"),
     # flag texts of every distinct flag list
     "lists": "SELECT DISTINCT validation_flags, string_split(validation_flags, '|') AS flags FROM {flag_source} WHERE validation_flags <> ''",
@@ -177,7 +203,8 @@ _DEPENDS = {
     "silver": ["claims", "providers", "diagnosis", "cost"], "flagged": ["silver"], "validated": ["flagged"], "stats": ["validated"],
     "scored": ["validated"], "labelled": ["scored"], "gold": ["labelled", "stats"], "rule_scores": ["gold"], "batch": ["bronze"],
     "strict_batch": ["bronze"], "requests": [], "request_scores": ["requests"], "decided": ["request_scores"], "doc_chunks": ["doc_words"],
-    "chunks": ["doc_chunks"], "distances": ["centroids"], "chunk_distances": ["distances", "chunks"],
+    "chunks": ["doc_chunks"], "distances": ["centroids"], "chunk_buckets": ["chunks"], "idf": ["chunks", "chunk_buckets"], "chunk_vectors": ["chunk_buckets", "idf"],
+    "asked": ["validated", "rule_labels", "flag_queries"], "query_vectors": ["asked", "idf", "chunks"], "chunk_distances": ["query_vectors", "chunk_vectors", "chunks"],
     "evidence": ["consts", "chunk_distances", "rule_labels"], "lists": [], "list_flags": ["lists"],
     "list_texts": ["list_flags", "steps"], "list_evidence": ["list_flags", "evidence"],
 }
@@ -227,8 +254,10 @@ ORACLE["load_gold"] = sql("SELECT denial_label, risk_score, count(*) AS claims F
 ORACLE["read_text_docs"] = r"""
   SELECT count(*)::BIGINT AS documents, sum(length(regexp_replace(text, '[\r\n]+', ' ', 'g')))::BIGINT AS characters FROM documents
   WHERE regexp_replace(text, '[\r\n]+', ' ', 'g') <> ''"""
-ORACLE["write_index"] = sql("SELECT chunk_id, source_file, md5(text) AS text_md5, chunk_index, total_chunks, 384::INT AS dim FROM chunks", "chunks")
-ORACLE["build_index"] = sql("SELECT count(*) AS chunks, count(DISTINCT source_file) AS files, 384::INT AS dim FROM chunks", "chunks")
+_RAMP = """(SELECT {key}, 384::INT AS dim, round(sum(v * (bucket + 1)), 3) AS ramp, round(max(v), 5) AS largest FROM {table} GROUP BY {key})"""
+_CHUNK_RAMP = _RAMP.format(key="chunk_id", table="chunk_vectors")
+ORACLE["write_index"] = sql(f"SELECT chunk_id, source_file, md5(text) AS text_md5, chunk_index, total_chunks, dim, ramp, largest FROM chunks JOIN {_CHUNK_RAMP} USING (chunk_id)", "chunks", "chunk_vectors")
+ORACLE["build_index"] = sql(f"SELECT * FROM {_CHUNK_RAMP}", "chunk_vectors")
 ORACLE["append_history"] = sql("""
   SELECT username, risk_level, predicted_label AS is_denied, flags, count(*) AS claims, round(sum(probability), 2) AS probability
   FROM decided, (VALUES ('clerk'), ('admin')) u(username) GROUP BY ALL""", "decided")
@@ -373,8 +402,21 @@ ORACLE["knn_l2"] = sql("""
 ORACLE["cosine_from_l2"] = sql("""
   SELECT query_id, vec_id, round(1.0 - distance / 2.0, 4) AS cosine FROM distances
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) <= 3""", "distances")
-ORACLE["topk_chunks"] = sql("""
-  SELECT query_id, rank::INT AS rank, chunk_id, source_file, md5(text) AS text_md5, round(distance, 4) AS distance FROM chunk_distances WHERE rank <= 3""", "chunk_distances")
+_OCCURRING = "flag IN (SELECT unnest(string_split(validation_flags, '|')) FROM validated UNION SELECT upper(event_type) FROM events)"
+ORACLE["topk_chunks"] = sql(f"""
+  SELECT flag AS query_id, rank::INT AS rank, chunk_id, source_file, md5(text) AS text_md5, round(distance, 4) AS distance
+  FROM chunk_distances WHERE rank <= 3 AND {_OCCURRING}""", "validated", "chunk_distances")
+ORACLE["retrieve"] = sql(f"""
+  SELECT flag, query, count(chunk_id)::INT AS n_chunks, coalesce(string_agg(chunk_id, ',' ORDER BY rank), '') AS chunk_ids,
+         coalesce(arg_min(source_file, rank), '') AS source_file, md5(coalesce(arg_min(text, rank), '')) AS text_md5, count(chunk_id) > 0 AS found
+  FROM asked LEFT JOIN (SELECT * FROM chunk_distances WHERE rank <= 3) USING (flag) WHERE {_OCCURRING} GROUP BY flag, query""", "validated", "asked", "chunk_distances")
+ORACLE["retrieve_multiple"] = sql(f"""
+  SELECT flag, coalesce(source_file, '') AS source_file, round(distance, 4) AS distance, chunk_id IS NOT NULL AS found
+  FROM asked LEFT JOIN (SELECT * FROM chunk_distances WHERE rank = 1) USING (flag) WHERE {_OCCURRING}""", "validated", "asked", "chunk_distances")
+# whole documents instead of chunks
+_WHOLE = "chunks AS (SELECT concat('doc', doc_id, '.txt') AS chunk_id, text FROM documents)"
+ORACLE["embed_text"] = f"""WITH {_WHOLE}, chunk_buckets AS ({CTES['chunk_buckets']}), idf AS ({CTES['idf']}), chunk_vectors AS ({CTES['chunk_vectors']})
+  SELECT chunk_id AS source_file, dim, ramp, largest FROM {_CHUNK_RAMP}"""
 _ASKED = """asked AS (
   SELECT DISTINCT unnest(string_split(validation_flags, '|')) AS flag FROM validated WHERE validation_flags <> ''
   UNION SELECT DISTINCT upper(event_type) FROM events)"""

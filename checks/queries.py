@@ -167,8 +167,8 @@ def write_index(spark, sf):
     path = scratch_path(spark, "index")
     policies.write_index(index, path)
     return policies.read_index(spark, path).select(
-        "chunk_id", "source_file", F.md5("text").alias("text_md5"), "metadata.chunk_index", "metadata.total_chunks",
-        F.size("embedding").alias("dim"))
+        "chunk_id", "source_file", F.md5("text").alias("text_md5"), "metadata.chunk_index", "metadata.total_chunks", "embedding").transform(
+        lambda df: df.join(_vector_output(df, "chunk_id"), "chunk_id").drop("embedding"))
 
 
 @query
@@ -551,18 +551,21 @@ def _lexical_index(spark, sf):
     return stage(index, "index"), model
 
 
+def _vector_output(df, key):
+    """A vector as its length, its weight along a ramp and its largest element."""
+    ramp = F.aggregate(F.transform("embedding", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return df.select(key, F.size("embedding").alias("dim"), F.round(ramp, 3).alias("ramp"), F.round(F.array_max("embedding").cast("double"), 5).alias("largest"))
+
+
 @query
 def embed_text(spark, sf):
     docs = star.documents(spark, sf)
-    model = embed.fit_embedder(docs)
-    return embed.embed(docs, model).select("source_file", F.size("embedding").alias("dim"), F.round(
-        F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 4).alias("squared_norm"))
+    return _vector_output(embed.embed(docs, embed.fit_embedder(docs)).where("embedding is not null"), "source_file")
 
 
 @query
 def build_index(spark, sf):
-    index, _ = _lexical_index(spark, sf)
-    return index.agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("source_file").alias("files"), F.max(F.size("embedding")).alias("dim"))
+    return _vector_output(_lexical_index(spark, sf)[0], "chunk_id")
 
 
 @query
@@ -580,16 +583,11 @@ def cosine_from_l2_query(spark, sf):
 REGISTRY["cosine_from_l2"] = REGISTRY.pop("cosine_from_l2_query")
 
 
-def _vector_index(spark, sf):
-    """Chunks of all documents that have a vector, with the document's vector."""
-    vectors = star.table(spark, sf, "embeddings").select(F.concat(F.lit("doc"), "vec_id", F.lit(".txt")).alias("source_file"), "embedding")
-    return chunking.chunk_documents(star.documents(spark, sf)).join(vectors, "source_file")
-
-
 @query
 def topk_chunks(spark, sf):
-    index = stage(_vector_index(spark, sf), "index")
-    nearest = stage(knn.knn_l2(index, star.label_centroids(spark, sf), 3), "neighbours")
+    index, model = _lexical_index(spark, sf)
+    asked = embed.embed(retrieval.expand_flag_query(_all_flags(spark, sf)), model, "query")
+    nearest = stage(knn.knn_l2(index, asked, 3, query_id="flag"), "neighbours")
     return knn.topk_chunks(index, nearest).select(
         "query_id", "rank", "chunk_id", "source_file", F.md5("text").alias("text_md5"), F.round("distance", 4).alias("distance"))
 
@@ -613,7 +611,8 @@ def _retrieved_lexical(spark, sf, top_k):
 @query
 def retrieve(spark, sf):
     return _retrieved_lexical(spark, sf, 3).select(
-        "flag", "query", F.size("chunks").alias("n_chunks"), "source_file", F.md5("top_text").alias("text_md5"), "found")
+        "flag", "query", F.size("chunks").alias("n_chunks"), F.array_join("chunks.chunk_id", ",").alias("chunk_ids"), "source_file",
+        F.md5("top_text").alias("text_md5"), "found")
 
 
 @query
@@ -623,11 +622,10 @@ def retrieve_multiple(spark, sf):
 
 
 def _retrieved(spark, sf):
-    """Retrieval over precomputed vectors: the query vector of the i-th rule is the mean of label i."""
-    labels = spark.createDataFrame([(label, i) for i, (_, label, _) in enumerate(K.RULES)], "flag string, label int")
-    # six rows, fixed
-    vectors = star.label_centroids(spark, sf).join(F.broadcast(retrieval.expand_flag_query(labels)), "label")
-    return retrieval.retrieve(stage(_vector_index(spark, sf), "index"), vectors.select("flag", "query", "embedding"), 1)
+    """Best chunk of the whole corpus for every flag of the rules."""
+    flags = spark.createDataFrame([(label,) for _, label, _ in K.RULES], "flag string")
+    index, model = _lexical_index(spark, sf)
+    return retrieval.retrieve_multiple(flags, index, model, 1)
 
 
 # --- model ---------------------------------------------------------------------------------------------

@@ -1,43 +1,22 @@
-"""Typed errors: every failure carries a searchable code next to the message."""
-
-
-class ClaimLensError(Exception):
-    def __init__(self, error_code: str, message: str) -> None:
-        self.error_code = error_code
-        self.message = message
-        super().__init__(f"[{error_code}] {message}")
-
-
-class IngestionError(ClaimLensError):
-    """Raw or Bronze input is missing or unreadable."""
-
-
-class SilverError(ClaimLensError):
-    """Cleaning, enrichment or validation cannot proceed."""
-
-
-class GoldError(ClaimLensError):
-    """Feature layer is missing or cannot be written."""
-
-
-class ModelError(ClaimLensError):
-    """Model or one of its side artifacts is missing or corrupt."""
-
-
-class RetrievalError(ClaimLensError):
-    """Policy documents or the vector table are missing."""
-
+"""One error type: a searchable code, whose first letters name the layer, next to the message."""
 
 # Codes shared with existing log searches.
 FILE_NOT_FOUND = "ING-1001"
-SCHEMA_MISMATCH = "ING-1002"
-WRITE_FAILED = "ING-1003"
 BRONZE_MISSING = "ING-1004"
-JOIN_NULLS = "SLV-2004"
 SILVER_MISSING = "GLD-3001"
-FEATURE_ALL_NULL = "GLD-3002"
-LABEL_IMBALANCE = "GLD-3003"
 MODEL_NOT_FOUND = "ML-4001"
 INSUFFICIENT_DATA = "ML-4005"
 NO_DOCUMENTS = "RAG-5001"
 INDEX_NOT_FOUND = "RAG-5002"
+
+_LAYERS = {"ING": "ingestion", "GLD": "features", "ML": "model", "RAG": "retrieval"}
+
+
+class ClaimLensError(Exception):
+    def __init__(self, code: str, message: str) -> None:
+        super().__init__(f"[{code}] {message}")
+        self.error_code, self.message = code, message
+
+    @property
+    def layer(self) -> str:
+        return _LAYERS[self.error_code.partition("-")[0]]

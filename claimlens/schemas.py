@@ -39,11 +39,6 @@ RAW_SCHEMAS = {
     "bronze_cost": RAW_COST,
 }
 
-SERVING_CLAIMS = _struct(
-    ("claim_id", _S), ("patient_id", _S), ("provider_id", _S), ("diagnosis_code", _S),
-    ("procedure_code", _S), ("billed_amount", _D),
-)
-
 CHUNK_METADATA = _struct(("source_file", _S), ("chunk_index", _I), ("total_chunks", _I))
 POLICY_CHUNK = StructType([
     StructField("chunk_id", _S), StructField("source_file", _S), StructField("text", _S),

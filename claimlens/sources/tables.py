@@ -37,7 +37,7 @@ def ingest_csv(spark: SparkSession, path: str, schema: StructType, multiline: bo
     try:
         header = reader.csv(path).columns
     except AnalysisException as exc:
-        raise errors.IngestionError(errors.FILE_NOT_FOUND, f"cannot read CSV file: {path}") from exc
+        raise errors.ClaimLensError(errors.FILE_NOT_FOUND, f"cannot read CSV file: {path}") from exc
     types = {f.name: f.dataType for f in schema.fields}
     found = StructType([StructField(c, types.get(normal_name(c), StringType())) for c in header])
     raw = reader.schema(found).csv(path)
@@ -67,14 +67,14 @@ def save_bronze(df: DataFrame, base: str, table: str, fmt: str = "parquet") -> s
 
 def read_layer(
     spark: SparkSession, path: str, schema: StructType | None = None,
-    error: type[errors.ClaimLensError] = errors.IngestionError, code: str = errors.BRONZE_MISSING,
+    code: str = errors.BRONZE_MISSING,
 ) -> DataFrame:
     """Read a Parquet layer; a missing table raises the layer's error."""
     try:
         reader = spark.read.schema(schema) if schema else spark.read
         return reader.parquet(path)
     except AnalysisException as exc:
-        raise error(code, f"table not found: {path}") from exc
+        raise errors.ClaimLensError(code, f"table not found: {path}") from exc
 
 
 def load_bronze(spark: SparkSession, base: str, table: str) -> DataFrame:
@@ -82,7 +82,7 @@ def load_bronze(spark: SparkSession, base: str, table: str) -> DataFrame:
 
 
 def load_gold(spark: SparkSession, path: str) -> DataFrame:
-    return read_layer(spark, path, error=errors.GoldError, code=errors.SILVER_MISSING)
+    return read_layer(spark, path, code=errors.SILVER_MISSING)
 
 
 def ingest_csv_table(spark: SparkSession, path: str, schema: StructType, base: str, table: str) -> int:
@@ -113,7 +113,7 @@ def read_claims_batch(spark: SparkSession, path: str, schema: StructType) -> Dat
     """An uploaded claims CSV, all rows of it."""
     df = ingest_csv(spark, path, schema)
     if df is None:
-        raise errors.IngestionError(errors.FILE_NOT_FOUND, f"claims file not found: {path}")
+        raise errors.ClaimLensError(errors.FILE_NOT_FOUND, f"claims file not found: {path}")
     return df.drop("ingestion_timestamp", "source_file")
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimlens import constants as K
-from claimlens.errors import GoldError, ModelError
+from claimlens.errors import ClaimLensError
 from claimlens.ml import evaluate, prepare, score, train
 from claimlens.plans import training
 from claimlens.session import stage
@@ -131,14 +131,14 @@ def test_scoring_fills_absent_features(spark, trained):
 
 
 def test_missing_or_corrupt_artifacts(spark, trained, tmp_path):
-    with pytest.raises(ModelError) as info:
+    with pytest.raises(ClaimLensError) as info:
         artifacts.read_artifacts(spark, str(tmp_path))
     assert info.value.error_code == "ML-4001"
     (tmp_path / "threshold").mkdir()
     (tmp_path / "threshold" / "part.json").write_text('{"threshold": 0.3')
-    with pytest.raises(ModelError):
+    with pytest.raises(ClaimLensError):
         artifacts._read_json(spark, str(tmp_path / "threshold"), "threshold double")
-    with pytest.raises(GoldError):
+    with pytest.raises(ClaimLensError):
         tables.load_gold(spark, str(tmp_path / "gold"))
 
 

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimlens import constants as K
-from claimlens.errors import IngestionError
+from claimlens.errors import ClaimLensError
 from claimlens.operators import serving
 from claimlens.plans import decisions, layers
 from claimlens.schemas import HISTORY, RAW_SCHEMAS
@@ -121,10 +121,10 @@ def test_ingestion(spark, tmp_path):
     report = {r["table_name"]: (r["status"], r["row_count"]) for r in tables.ingest_all(spark, str(raw), base).collect()}
     assert report == {"bronze_claims": ("LOADED", 3), "bronze_providers": ("MISSING", 0), "bronze_diagnosis": ("MISSING", 0), "bronze_cost": ("LOADED", 1)}
     assert tables.load_bronze(spark, base, "bronze_claims").count() == 3
-    with pytest.raises(IngestionError) as info:
+    with pytest.raises(ClaimLensError) as info:
         tables.load_bronze(spark, base, "bronze_diagnosis")
     assert info.value.error_code == "ING-1004" and "[ING-1004]" in str(info.value)
-    with pytest.raises(IngestionError):
+    with pytest.raises(ClaimLensError):
         tables.read_claims_batch(spark, str(raw / "none.csv"), RAW_SCHEMAS["bronze_claims"])
     assert tables.read_claims_batch(spark, str(raw / "claims_1000.csv"), RAW_SCHEMAS["bronze_claims"]).count() == 3
 
