@@ -41,11 +41,10 @@ CTES: dict[str, str] = {
                   ELSE concat('PROC', 1 + l_partkey % 6) END AS procedure_code,
              CASE WHEN l_orderkey % 3 = 0 THEN NULL ELSE l_extendedprice END AS billed_amount,
              CASE WHEN l_partkey % 50 = 7 THEN 'unknown' WHEN l_partkey % 50 = 8 THEN '2000-02-30'
-                  ELSE strftime(l_shipdate, '%Y-%m-%d') END AS date
-      FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+                  ELSE strftime(l_shipdate, '%Y-%m-%d') END AS date, position
+      FROM (SELECT *, row_number() OVER () AS position FROM lineitem) LEFT JOIN orders ON l_orderkey = o_orderkey""",
     "dedup": """
-      SELECT * FROM bronze QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY date NULLS LAST,
-        provider_id NULLS LAST, diagnosis_code NULLS LAST, procedure_code NULLS LAST, billed_amount NULLS LAST, patient_id NULLS LAST) = 1""",
+      SELECT * EXCLUDE (position) FROM bronze QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY position) = 1""",
     "claims": f"""
       SELECT claim_id, patient_id, {strip('provider_id')} AS provider_id, upper({strip('diagnosis_code')}) AS diagnosis_code,
              upper({strip('procedure_code')}) AS procedure_code, billed_amount,
@@ -252,15 +251,15 @@ ORACLE["write_gold"] = sql(f"SELECT {_GOLD} FROM gold", "gold")
 ORACLE["gold_features"] = ORACLE["write_gold"]
 ORACLE["load_gold"] = sql("SELECT denial_label, risk_score, count(*) AS claims FROM gold GROUP BY ALL", "gold")
 ORACLE["read_text_docs"] = r"""
-  SELECT count(*)::BIGINT AS documents, sum(length(regexp_replace(text, '[\r\n]+', ' ', 'g')))::BIGINT AS characters FROM documents
-  WHERE regexp_replace(text, '[\r\n]+', ' ', 'g') <> ''"""
+  SELECT doc_id, length(t) AS characters, md5(t) AS text_md5
+  FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\r\n]+', ' ', 'g') AS t FROM documents)"""
 _RAMP = """(SELECT {key}, 384::INT AS dim, round(sum(v * (bucket + 1)), 3) AS ramp, round(max(v), 5) AS largest FROM {table} GROUP BY {key})"""
 _CHUNK_RAMP = _RAMP.format(key="chunk_id", table="chunk_vectors")
 ORACLE["write_index"] = sql(f"SELECT chunk_id, source_file, md5(text) AS text_md5, chunk_index, total_chunks, dim, ramp, largest FROM chunks JOIN {_CHUNK_RAMP} USING (chunk_id)", "chunks", "chunk_vectors")
 ORACLE["build_index"] = sql(f"SELECT * FROM {_CHUNK_RAMP}", "chunk_vectors")
-ORACLE["append_history"] = sql("""
-  SELECT username, risk_level, predicted_label AS is_denied, flags, count(*) AS claims, round(sum(probability), 2) AS probability
-  FROM decided, (VALUES ('clerk'), ('admin')) u(username) GROUP BY ALL""", "decided")
+_HISTORY = "SELECT u.username, claim_id, probability AS denial_probability, risk_level, predicted_label AS is_denied, flags FROM decided CROSS JOIN (VALUES ({}), ({})) AS u(username)"
+ORACLE["append_history"] = " UNION ALL ".join(f"SELECT * FROM ({part})" for part in (
+    sql(_HISTORY.format("'clerk'", "'admin'"), "decided"), sql(_HISTORY.format("'stream a'", "'stream b'"), "decided", batch="strict_batch")))
 ORACLE["read_claims_batch"] = sql("""
   SELECT claim_id, patient_id, probability, risk_level, flags FROM decided""", "decided", batch="strict_batch")
 

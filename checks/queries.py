@@ -37,7 +37,7 @@ def query(fn: Query) -> Query:
 
 
 def claims(spark, sf, patient=False):
-    return clean.clean_claims(star.raw_claims(spark, sf, patient))
+    return clean.clean_claims(star.raw_claims(spark, sf, patient, position=True))
 
 
 def providers(spark, sf):
@@ -45,7 +45,7 @@ def providers(spark, sf):
 
 
 def silver(spark, sf, patient=False):
-    return layers.build_silver(star.bronze(spark, sf, patient))
+    return layers.build_silver(star.bronze(spark, sf, patient, position=True))
 
 
 def costed(spark, sf, patient=False):
@@ -117,7 +117,7 @@ def load_bronze(spark, sf):
 
 def _layers(spark, sf):
     base = scratch_path(spark, "layers")
-    for name, df in star.bronze(spark, sf, patient=True).items():
+    for name, df in star.bronze(spark, sf, patient=True, position=True).items():
         tables.save_bronze(df, base, name)
     return layers.run_layers(spark, base, base)
 
@@ -148,16 +148,14 @@ def load_gold(spark, sf):
 
 @query
 def read_text_docs(spark, sf):
-    """Documents written as text files, one per source and language, and read back whole."""
+    """Documents written as lines of text files, 500 to a file, read back file by file and cut into documents again."""
     docs = star.table(spark, sf, "documents")
     path = scratch_path(spark, "policies")
-    docs.select("doc_id", F.regexp_replace("text", r"[\r\n]+", " ").alias("value")).where("value <> ''").repartitionByRange(
-        16, "doc_id").select("value").write.option("compression", "none").text(path)
-    files = policies.read_text_docs(spark, path)
-    return files.agg(
-        F.sum(F.size(F.split("text", "\n")) - 1).alias("documents"),
-        F.sum(F.length(F.regexp_replace("text", "\n", "")).cast("long")).alias("characters"),
-    )
+    line = F.concat_ws("\t", F.col("doc_id").cast("string"), F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]+", " "))
+    docs.select(line.alias("value")).write.option("compression", "none").option("maxRecordsPerFile", 500).text(path)
+    lines = policies.read_text_docs(spark, path).select(F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
+    cut = F.split("line", "\t", 2)
+    return lines.select(cut[0].cast("long").alias("doc_id"), F.length(cut[1]).cast("long").alias("characters"), F.md5(cut[1]).alias("text_md5"))
 
 
 @query
@@ -181,12 +179,14 @@ def write_artifacts(spark, sf):
 
 @query
 def append_history(spark, sf):
+    """Two users' batches and two streams, read back row by row."""
     path = scratch_path(spark, "history")
     decided = decisions.decide_claims(_batch(spark, sf), rule_scorer)
     tables.append_history(serving.history_rows(decided, "clerk"), path)
     tables.append_history(serving.history_rows(decided, "admin"), path)
-    return spark.read.parquet(path).groupBy("username", "risk_level", "is_denied", "flags").agg(
-        F.count(F.lit(1)).alias("claims"), F.round(F.sum("denial_probability"), 2).alias("probability"))
+    for user in ("stream a", "stream b"):
+        stream_score_claims(_stream(spark, sf), rule_scorer, path, scratch_path(spark, "stream-state"), user).awaitTermination()
+    return tables.read_history(spark, path).select("username", "claim_id", "denial_probability", "risk_level", "is_denied", "flags")
 
 
 @query
@@ -215,7 +215,7 @@ def normalize_columns(spark, sf):
 
 @query
 def dedup_keep_first(spark, sf):
-    return clean.dedup_keep_first(star.raw_claims(spark, sf, patient=True))
+    return clean.dedup_keep_first(star.raw_claims(spark, sf, patient=True, position=True))
 
 
 @query
@@ -838,15 +838,18 @@ def evaluate_claims_model(spark, sf):
     return _decision_output(decisions.evaluate_claims(_batch(spark, sf), scorer, _retrieved(spark, sf)))
 
 
+def _stream(spark, sf):
+    schema = star.table(spark, sf, "lineitem").schema
+    lines = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf)
+    return star.lines_to_claims(lines).withColumn("patient_id", F.lit("P0"))
+
+
 @query
 def stream_claims(spark, sf):
     """Order lines read as a stream, scored in micro-batches and read back from the history."""
-    schema = star.table(spark, sf, "lineitem").schema
-    lines = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf)
-    batch = star.lines_to_claims(lines).withColumn("patient_id", F.lit("P0"))
     path = scratch_path(spark, "history")
-    stream_score_claims(batch, rule_scorer, path, scratch_path(spark, "stream-state")).awaitTermination()
-    return spark.read.parquet(path).select("claim_id", "username", "denial_probability", "risk_level", "is_denied", "flags")
+    stream_score_claims(_stream(spark, sf), rule_scorer, path, scratch_path(spark, "stream-state")).awaitTermination()
+    return tables.read_history(spark, path).select("claim_id", "username", "denial_probability", "risk_level", "is_denied", "flags")
 
 
 REGISTRY["stream_score_claims"] = REGISTRY.pop("stream_claims")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..operators.quantiles import exact_quantiles
-from ..session import broadcast_if_small, stage
+from ..session import stage
 
 
 def feature_medians(gold: DataFrame, approx: bool = False) -> DataFrame:
@@ -77,8 +77,8 @@ def stratified_split(
         .where((F.col("_end") >= F.col("_quota")) & (F.col("_end") - F.col("_n") < F.col("_quota")))
         .select(label, F.col("_bucket").alias("_edge"), (F.col("_quota") - F.col("_end") + F.col("_n")).alias("_take"))
     )
-    # one row per label; staged, so that counting it does not count the table again
-    edge = broadcast_if_small(stage(edge, "split-edges"))
+    # one row per label
+    edge = F.broadcast(stage(edge, "split-edges"))
     placed = df.join(edge, label, "left")
     at_edge = F.coalesce(F.col("_bucket") == F.col("_edge"), F.lit(False))
     clear = placed.where(~at_edge).withColumn("is_test", F.coalesce(F.col("_bucket") < F.col("_edge"), F.lit(False)))

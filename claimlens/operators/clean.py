@@ -11,8 +11,10 @@ from pyspark.sql.types import StringType
 from ..functions import numbers, text
 from ..functions.text import normal_name
 
-# Which of several rows with one claim_id is "first". Rows have no position once partitioned, so
-# the order is by value; every remaining column follows, which makes the survivor unambiguous.
+# Column with the place of a row in its source, a struct of file and row number, if the reader gave one.
+POSITION = "source_position"
+# Which of several rows with one claim_id is "first": the one that stands first in the source. Rows without a position
+# are ordered by value; every remaining column follows, which makes the survivor unambiguous.
 CLAIM_ORDER = (
     "claim_date", "date", "provider_id", "diagnosis_code", "procedure_code", "billed_amount",
 )
@@ -29,15 +31,16 @@ def normalize_columns(df: DataFrame) -> DataFrame:
 def dedup_keep_first(
     df: DataFrame, key: str = "claim_id", order: Sequence[str] = CLAIM_ORDER
 ) -> DataFrame:
-    """One row per key. A null key is a key like any other.
+    """One row per key: the first in the source, if ``source_position`` tells, else the first by value. The position is
+    dropped. A null key is a key like any other.
 
     Catalyst turns ``row_number() = 1`` into a group limit that also runs before the shuffle, so a
     key holding a large share of the table leaves each map task as a single row.
     """
-    leading = [c for c in order if c in df.columns]
+    leading = [c for c in (POSITION, *order) if c in df.columns]
     rest = sorted(c for c in df.columns if c != key and c not in leading)
     first = Window.partitionBy(key).orderBy(*[F.asc_nulls_last(c) for c in (*leading, *rest)])
-    return df.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
+    return df.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn", POSITION)
 
 
 def parse_date(df: DataFrame, fmt: str = "yyyy-MM-dd") -> DataFrame:

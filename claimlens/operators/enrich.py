@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small
-
 PROVIDER_COLUMNS = ("doctor_name", "specialty", "location")
 DIAGNOSIS_COLUMNS = ("category", "severity")
 COST_COLUMNS = ("average_cost", "expected_cost")
@@ -26,12 +24,11 @@ def left_lookup(
 
     A reference key that occurs twice repeats its claims, as a left join does; ``dedup_reference``
     keeps one reference row per key instead. ``null_safe`` lets a null key match a null key.
-    The reference is broadcast only when it was counted to be small.
+    Spark broadcasts the reference if its bytes are few enough by the session's threshold.
     """
     ref = reference.select(key, *columns)
     if dedup_reference:
         ref = ref.groupBy(key).agg(F.min(F.struct(*columns)).alias("_r")).select(key, "_r.*")
-    ref = broadcast_if_small(ref)
     if not null_safe:
         return claims.join(ref, key, "left")
     ref = ref.withColumnRenamed(key, "_key")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.numbers import np_round, true_or_false, unit_hash
-from ..session import broadcast_if_small, stage
+from ..session import stage
 from .rules import billed_over
 
 
@@ -36,11 +36,11 @@ def provider_stats(df: DataFrame) -> DataFrame:
 def add_provider_features(df: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """Every claim with its provider's totals, null where the claim names no provider.
 
-    The per-provider table is staged, so its size is known: it is broadcast when counted small and
+    The per-provider table is staged, so Spark knows its bytes: it is broadcast below the session's threshold and
     otherwise joined by a shuffle whose hot provider AQE splits on the claims side.
     """
     stats = stage(provider_stats(df), "provider-stats") if stats is None else stats
-    return df.join(broadcast_if_small(stats), "provider_id", "left")
+    return df.join(stats, "provider_id", "left")
 
 
 def add_diagnosis_severity_flag(df: DataFrame) -> DataFrame:

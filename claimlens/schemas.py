@@ -49,7 +49,7 @@ POLICY_INDEX = StructType([
 ])
 
 HISTORY = _struct(
-    ("username", _S), ("claim_id", _S), ("patient_id", _S), ("provider_id", _S),
+    ("id", _L), ("username", _S), ("claim_id", _S), ("patient_id", _S), ("provider_id", _S),
     ("billed_amount", _D), ("diagnosis_code", _S), ("procedure_code", _S),
     ("denial_probability", _D), ("risk_level", _S), ("is_denied", _I), ("flags", _S),
     ("submitted_at", _T),

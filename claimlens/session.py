@@ -1,4 +1,4 @@
-"""Session defaults, the shared scratch folder, staging and checked broadcasts."""
+"""Session defaults, the shared scratch folder and staging."""
 
 from __future__ import annotations
 
@@ -6,13 +6,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A table is broadcast only after it was measured to hold at most this many rows.
-BROADCAST_ROWS = 200_000
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
-_local_scratch: str | None = None
+_local_scratch: tempfile.TemporaryDirectory | None = None
 _staged: list[str] = []
 
 
@@ -34,8 +30,8 @@ def get_spark(app_name: str = "claimlens", **conf: str) -> SparkSession:
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables, taken from ``spark.checkpoint.dir``.
 
-    Only a local-mode session without that setting gets a private temporary folder: executors of a
-    cluster cannot see the driver's disk.
+    Only a local-mode session without that setting gets a private temporary folder, which goes when Python ends:
+    executors of a cluster cannot see the driver's disk.
     """
     global _local_scratch
     base = spark.conf.get(_CHECKPOINT_KEY, None)
@@ -44,12 +40,15 @@ def scratch_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {_CHECKPOINT_KEY} to a folder all executors can reach")
     if _local_scratch is None:
-        _local_scratch = tempfile.mkdtemp(prefix="claimlens-")
-    return _local_scratch
+        _local_scratch = tempfile.TemporaryDirectory(prefix="claimlens-")
+    return _local_scratch.name
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; ``drop_staged`` deletes what was written there."""
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _staged.append(path)
+    return path
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -59,13 +58,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     loss, later reads prune columns, and Catalyst plans joins with its true size.
     """
     path = scratch_path(df.sparkSession, name)
-    _staged.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_staged(spark: SparkSession) -> int:
-    """Delete the tables ``stage`` wrote in this process; returns their number.
+    """Delete what this process wrote to the shared folder; returns the number of paths.
 
     To be called when no DataFrame that reads one of them is used any more.
     """
@@ -75,23 +73,3 @@ def drop_staged(spark: SparkSession) -> int:
         target = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
         dropped += target.getFileSystem(conf).delete(target, True)
     return dropped
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-repartition a scan that has fewer splits than the session has cores.
-
-    A small file of one row group would otherwise be processed by one task. Tables with enough splits,
-    which is every large one, are returned as they are, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when ``df`` was counted to hold at most ``max_rows`` rows.
-
-    The count stops after ``max_rows + 1`` rows. A larger table is returned without a hint, so the
-    join becomes a shuffled one that AQE can split on skew.
-    """
-    seen = df.select(F.lit(1).alias("one")).limit(max_rows + 1).count()
-    return F.broadcast(df) if seen <= max_rows else df

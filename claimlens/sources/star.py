@@ -11,17 +11,12 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.numbers import np_round
+from ..operators.clean import POSITION
 from ..operators.serving import risk_level
-from ..session import spread
-
-
-# Tables that heavy row work starts from, with the key to spread them by when they have few splits.
-_SPREAD = {"lineitem": ("l_orderkey", "l_linenumber"), "documents": ("doc_id",)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df, *_SPREAD[name]) if name in _SPREAD else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 # Raw claim fields as expressions over lineitem.
@@ -52,14 +47,22 @@ def lines_to_claims(lines: DataFrame) -> DataFrame:
     return lines.selectExpr(*[f"{expr} AS {name}" for name, expr in RAW_FIELDS.items()])
 
 
-def raw_claims(spark: SparkSession, sf_dir: str, patient: bool = False) -> DataFrame:
-    """Raw claims; the patient comes from the order and costs a join, so it is added on request."""
+def raw_claims(spark: SparkSession, sf_dir: str, patient: bool = False, position: bool = False) -> DataFrame:
+    """Raw claims; the patient comes from the order and costs a join, so it is added on request.
+
+    ``position`` adds the place of the row in its file, by which the first of several rows is told. A line without an
+    order has no patient.
+    """
     lines = table(spark, sf_dir, "lineitem")
+    fields = dict(RAW_FIELDS)
+    if position:
+        lines = lines.withColumn(POSITION, F.struct("_metadata.file_path", "_metadata.row_index"))
+        fields[POSITION] = POSITION
     if not patient:
-        return lines_to_claims(lines)
+        return lines.selectExpr(*[f"{expr} AS {name}" for name, expr in fields.items()])
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    fields = dict(list(RAW_FIELDS.items())[:1]) | {"patient_id": "concat('P', o_custkey)"} | RAW_FIELDS
-    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    fields = {"claim_id": RAW_FIELDS["claim_id"], "patient_id": "concat('P', o_custkey)"} | fields
+    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     return joined.selectExpr(*[f"{expr} AS {name}" for name, expr in fields.items()])
 
 
@@ -101,9 +104,9 @@ def raw_part_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def bronze(spark: SparkSession, sf_dir: str, patient: bool = False) -> dict[str, DataFrame]:
+def bronze(spark: SparkSession, sf_dir: str, patient: bool = False, position: bool = False) -> dict[str, DataFrame]:
     return {
-        "bronze_claims": raw_claims(spark, sf_dir, patient),
+        "bronze_claims": raw_claims(spark, sf_dir, patient, position),
         "bronze_providers": raw_providers(spark, sf_dir),
         "bronze_diagnosis": diagnosis(spark),
         "bronze_cost": cost(spark),

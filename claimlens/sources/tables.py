@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
@@ -12,7 +13,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from .. import errors
 from ..constants import RAW_FILES
 from ..functions.text import normal_name
-from ..schemas import RAW_SCHEMAS
+from ..schemas import HISTORY, RAW_SCHEMAS
 
 # Text is written and read as it is: no trimming, empty field = null.
 _CSV = {"header": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "escape": '"'}
@@ -28,8 +29,9 @@ def ingest_csv(spark: SparkSession, path: str, schema: StructType, multiline: bo
     """Raw CSV with its two metadata columns; None when the file is missing.
 
     Columns keep the file's names and order; a column of ``schema`` gets its type, any other stays
-    text. Only the header line is read for that, and the file splits freely. Files with line breaks
-    inside fields need ``multiline``, which reads a file in one task.
+    text. Only a header line is read for that, and files split freely. All files of a folder need the same header: one
+    with other names or another order ends the read with an error. Files with line breaks inside fields need
+    ``multiline``, which reads a file in one task.
     """
     if not path_exists(spark, path):
         return None
@@ -40,7 +42,7 @@ def ingest_csv(spark: SparkSession, path: str, schema: StructType, multiline: bo
         raise errors.ClaimLensError(errors.FILE_NOT_FOUND, f"cannot read CSV file: {path}") from exc
     types = {f.name: f.dataType for f in schema.fields}
     found = StructType([StructField(c, types.get(normal_name(c), StringType())) for c in header])
-    raw = reader.schema(found).csv(path)
+    raw = reader.schema(found).option("enforceSchema", "false").csv(path)
     return stamp(raw, path.rstrip("/").rsplit("/", 1)[-1])
 
 
@@ -117,9 +119,26 @@ def read_claims_batch(spark: SparkSession, path: str, schema: StructType) -> Dat
     return df.drop("ingestion_timestamp", "source_file")
 
 
-def append_history(rows: DataFrame, path: str) -> None:
-    """Add a scored batch to the prediction history."""
-    rows.write.mode("append").parquet(path)
+def write_history(rows: DataFrame, path: str, run: str, batch_id: int = 0) -> None:
+    """Write one batch of the prediction history to its own partition; writing it again replaces it.
+
+    Every row gets an ``id`` that no other row of the history has. It is not a counter: ``submitted_at`` tells the order.
+    """
+    row = F.xxhash64(F.lit(run), F.lit(batch_id), "claim_id", "username", F.monotonically_increasing_id())
+    rows.withColumn("id", row).select(*[c for c in HISTORY.names if c in (*rows.columns, "id")]).write.mode("overwrite").parquet(
+        f"{path}/run={run}/batch_id={batch_id}")
+
+
+def append_history(rows: DataFrame, path: str) -> str:
+    """Add a scored batch to the prediction history as a run of its own; returns the run's name."""
+    run = f"batch-{uuid.uuid4().hex}"
+    write_history(rows, path, run)
+    return run
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """All runs, of batches and streams."""
+    return read_layer(spark, path, HISTORY).select(*HISTORY.names)
 
 
 def write_report(lines: DataFrame, path: str, order: tuple[str, ...] = ("position",)) -> str:

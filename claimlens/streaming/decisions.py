@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.serving import history_rows
 from ..plans.decisions import decide_claims
+from ..sources.tables import write_history
 
 
 def stream_score_claims(
@@ -21,13 +22,14 @@ def stream_score_claims(
 ) -> StreamingQuery:
     """Score a streaming table of claims and add each micro-batch to the history.
 
-    A micro-batch owns the partition of its id and overwrites it, so a batch that is replayed after
-    a failure leaves one copy. The decision keeps no state between batches.
+    A micro-batch owns the partition of its stream and its number and overwrites it, so a batch that is replayed after
+    a failure leaves one copy. A stream is known by the id that its checkpoint keeps; another stream, or one with a new
+    checkpoint, adds to the history. The decision keeps no state between batches.
     """
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        rows = history_rows(decide_claims(batch, scorer), username)
-        rows.write.mode("overwrite").parquet(f"{history_path}/batch_id={batch_id}")
+        stream = batch.sparkSession.read.json(f"{checkpoint}/metadata").first()["id"]
+        write_history(history_rows(decide_claims(batch, scorer), username), history_path, f"stream-{stream}", batch_id)
 
     writer = claims.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -97,13 +97,11 @@ def test_repeated_reference_key_fans_out_unless_deduplicated(spark):
     assert safe["C2"]["category"] == "n"
 
 
-def test_large_reference_is_not_broadcast(spark):
-    from claimlens.session import broadcast_if_small
-
-    df = spark.range(50)
-    hinted = broadcast_if_small(df, 50)._jdf.queryExecution().analyzed().toString()
-    plain = broadcast_if_small(df, 49)._jdf.queryExecution().analyzed().toString()
-    assert "ResolvedHint" in hinted and "ResolvedHint" not in plain
+def test_first_row_of_the_source_wins(spark):
+    rows = [("C1", "z", ("b.parquet", 0)), ("C1", "y", ("a.parquet", 7)), ("C1", "a", ("a.parquet", 12)), ("C2", "m", ("a.parquet", 1))]
+    df = spark.createDataFrame(rows, "claim_id string, provider_id string, source_position struct<file_path:string,row_index:long>")
+    got = sorted(tuple(r) for r in clean.dedup_keep_first(df).collect())
+    assert got == [("C1", "y"), ("C2", "m")]
 
 
 def test_staged_tables_can_be_dropped(spark, monkeypatch):
@@ -117,16 +115,19 @@ def test_staged_tables_can_be_dropped(spark, monkeypatch):
         spark.read.parquet(path)
 
 
-def test_shuffled_join_gives_the_same_rows(spark, monkeypatch):
+def test_shuffled_join_gives_the_same_rows(spark):
     claims = spark.range(2000).select(
         F.concat(F.lit("C"), "id").alias("claim_id"),
         F.when(F.col("id") % 3 == 0, "PR0").when(F.col("id") % 3 == 1, F.concat(F.lit("PR"), F.col("id") % 50)).alias("provider_id"))
     ref = spark.range(40).select(F.concat(F.lit("PR"), "id").alias("provider_id"), *[F.lit(c).alias(c) for c in enrich.PROVIDER_COLUMNS])
     small = sorted(enrich.enrich_providers(claims, ref).collect(), key=str)
-    monkeypatch.setattr(enrich, "broadcast_if_small", lambda df: df.hint("merge"))
-    large = enrich.enrich_providers(claims, ref)
-    assert "SortMergeJoin" in large._jdf.queryExecution().executedPlan().toString()
-    assert sorted(large.collect(), key=str) == small and len(small) == 2000
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = enrich.enrich_providers(claims, ref)
+        assert "SortMergeJoin" in large._jdf.queryExecution().executedPlan().toString()
+        assert sorted(large.collect(), key=str) == small and len(small) == 2000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 RULE_INPUT = "claim_id string, diagnosis_code string, procedure_code string, billed_amount double, expected_cost double"

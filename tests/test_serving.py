@@ -3,9 +3,9 @@ from pyspark.sql import functions as F
 
 from claimlens import constants as K
 from claimlens.errors import ClaimLensError
-from claimlens.operators import serving
+from claimlens.operators import kpi, serving
 from claimlens.plans import decisions, layers
-from claimlens.schemas import HISTORY, RAW_SCHEMAS
+from claimlens.schemas import HISTORY, RAW_CLAIMS, RAW_SCHEMAS
 from claimlens.sources import star, tables
 from claimlens.streaming.decisions import stream_score_claims
 
@@ -83,8 +83,39 @@ def test_history_grows(spark, tmp_path):
     rows = serving.history_rows(decisions.decide_claims(requests(spark), scorer), "ann")
     for _ in range(2):
         tables.append_history(rows, path)
-    back = spark.read.parquet(path)
-    assert back.count() == 14 and back.columns == HISTORY.names
+    back = tables.read_history(spark, path)
+    assert back.count() == 14 and back.columns == HISTORY.names and back.select("id").distinct().count() == 14
+    latest = kpi.history_latest(back, "ann", limit=5)
+    assert latest.count() == 5 and "submitted_by" in latest.columns
+    assert kpi.history_latest(back, "bob").count() == 0
+
+
+def test_streams_and_batches_share_one_history(spark, tmp_path):
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    requests(spark).repartition(3).write.parquet(src)
+
+    def stream(state, user):
+        rows = spark.readStream.schema(requests(spark).schema).option("maxFilesPerTrigger", 1).parquet(src)
+        stream_score_claims(rows, scorer, out, str(tmp_path / state), user).awaitTermination()
+
+    stream("one", "a")
+    stream("two", "b")
+    stream("one", "a")  # nothing new
+    tables.append_history(serving.history_rows(decisions.decide_claims(requests(spark), scorer), "c"), out)
+    back = tables.read_history(spark, out)
+    assert {r["username"]: r["count"] for r in back.groupBy("username").count().collect()} == {"a": 7, "b": 7, "c": 7}
+    assert back.select("id").distinct().count() == 21
+
+
+def test_csv_files_with_other_headers_are_an_error(spark, tmp_path):
+    folder = tmp_path / "raw"
+    folder.mkdir()
+    (folder / "a.csv").write_text("claim_id,patient_id,provider_id\nC1,P1,PR1\n")
+    (folder / "b.csv").write_text("provider_id,claim_id,patient_id\nPR2,C2,P2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        tables.ingest_csv(spark, str(folder), RAW_CLAIMS).collect()
+    (folder / "b.csv").write_text("claim_id,patient_id,provider_id\nC2,P2,PR2\n")
+    assert sorted(tuple(r)[:3] for r in tables.ingest_csv(spark, str(folder), RAW_CLAIMS).collect()) == [("C1", "P1", "PR1"), ("C2", "P2", "PR2")]
 
 
 def test_stream_equals_batch_and_resumes(spark, tmp_path):
