@@ -12,6 +12,8 @@ offset indexes, so a reader that wants a range of doc_ids, or only counters, ski
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
 from collections.abc import Iterator
 from hashlib import md5
@@ -23,73 +25,155 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimlens.llm.common import by_bytes, utf8
+from claimlens.llm.phrases import Rolling
 
 END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
-# Words a Python worker remembers the ids of; beyond that it starts anew. It changes time and memory, not results.
-REMEMBERED = 300_000
+# Units a Python worker remembers the ids of, twice over. It changes time and memory, not results.
+REMEMBERED = 1_500_000
+# Text encoded at once.
+BATCH_BYTES = 4 << 20
+# Marks that a tokenizer of words cuts off behind letters, whatever they are.
+MARKS = b".,;:!?*$%&#|"
+
+_SPACE, _MARK, _LETTER = (np.isin(np.arange(256), list(x)) for x in (b" \t\n\x0b\x0c\r", MARKS, b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+_encoders: dict[str, "WordEncoder"] = {}
 
-# Words looked up at once.
-BLOCK = 100_000
 
-_encoders: dict[str, "WordEncoder"] = {}
+class _Known:
+    """Ids of units by hash: hashes in ascending order with their places, and the ids of all places one after the other."""
+
+    def __init__(self):
+        self.hashes, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.ids, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.places[at], -1)
+
+    def add(self, hashes: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """New units: their hashes, the ids of all of them, and how many each has."""
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.places = np.insert(self.places, at, len(self.hashes) + order)
+        self.hashes = np.insert(self.hashes, at, hashes[order])
+        self.starts = np.r_[self.starts, len(self.ids) + np.cumsum(lengths, dtype=np.int64)]
+        self.ids = np.r_[self.ids, ids]
+
+    def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the places one after the other, and how many each has."""
+        first, n = self.starts[places], self.starts[places + 1] - self.starts[places]
+        return self.ids[np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)], n
+
+
+def units_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begins and ends of the units of all texts, and whether a unit is known to be letters only.
+
+    A unit is a word (a run without ASCII white space), or the letters of a word, or the marks behind them.
+    """
+    n = len(data)
+    edge = np.zeros(n + 1, bool)
+    edge[at] = True
+    inside = ~_SPACE[data]
+    begin = np.flatnonzero(inside & (np.r_[False, ~inside[:-1]] | edge[:-1]))
+    end = np.flatnonzero(inside & (np.r_[~inside[1:], True] | edge[1:])) + 1
+    letter = _LETTER[data]
+    two = np.flatnonzero(data[:-1] == 0xC3)  # Latin letters of two bytes, all but the signs of times and division
+    two = two[~np.isin(data[two + 1], (0x97, 0xB7))]
+    letter[two], letter[two + 1] = True, True
+    place = np.where(_MARK[data], np.int64(-1), np.arange(n))
+    core = np.maximum(np.maximum.accumulate(place)[end - 1] + 1, begin) if n else end
+    odd = np.r_[0, np.cumsum(~letter)]
+    pure = (odd[core] == odd[begin]) & (core > begin)
+    cut = pure & (core < end)
+    into = np.arange(len(begin)) + np.cumsum(cut) - cut
+    begins, ends, letters = (np.zeros(len(begin) + int(cut.sum()), kind) for kind in (np.int64, np.int64, bool))
+    begins[into], ends[into], letters[into] = begin, np.where(cut, core, end), pure
+    begins[into[cut] + 1], ends[into[cut] + 1] = core[cut], end[cut]
+    return begins, ends, letters
 
 
 class WordEncoder:
-    """Ids of whole texts, encoding each distinct word once.
+    """Ids of whole texts, encoding each distinct unit once.
 
-    Only for tokenizers whose ids of a text are those of its words one after the other (words as runs without ASCII
-    white space): their pre-tokenizer drops white space and no added token contains any, strips or needs neighbours.
+    Only for tokenizers whose ids of a text are those of its words one after the other: their pre-tokenizer drops white
+    space and cuts letters from other signs, the last token of a run of letters is one that ends words, and no added
+    token contains white space, strips or needs neighbours. Units are told apart by hashes of 64 bits. Those last used
+    long ago are forgotten, a whole generation at a time.
     """
 
     def __init__(self, text: str, remembered: int = REMEMBERED):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use all cores
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(text)
+        self.tokenizer, spec = Tokenizer.from_str(text), json.loads(text)
+        suffix = spec["model"]["end_of_word_suffix"]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        steps = (spec["normalizer"] or {}).get("normalizers", [spec["normalizer"]])
+        self.lowers = {"type": "Lowercase"} in steps
+        self.added = [t["content"].encode() for t in spec["added_tokens"]]
         self.remembered = remembered
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids, self.starts = np.zeros(1 << 20, np.int32), np.zeros(self.remembered + BLOCK + 1, np.int64)
-        self.used = 0
-
-    def learn(self, words: list[bytes]) -> None:
-        for encoded, word in zip(self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), words):
-            ids, k = encoded.ids, len(self.known)
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.known[word], self.starts[k + 1] = k, self.used
-
-    def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, each with ``end`` appended, and the n + 1 offsets of the texts in them."""
-        pieces, counts = [], []
-        for text in texts:
-            words = text.split()
-            parts = []
-            for begin in range(0, len(words), BLOCK):
-                parts.append(self._encode(words[begin : begin + BLOCK]))
-            pieces += [*parts, np.array([end], np.int32)]
-            counts.append(sum(map(len, parts)) + 1)
-        return (np.concatenate(pieces) if pieces else np.zeros(0, np.int32)), np.r_[0, np.cumsum(counts, dtype=np.int64)]
-
-    def _encode(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        at = [known.get(w, -1) for w in words]
-        if -1 in at:
-            new = list({w for w, k in zip(words, at) if k < 0})
-            if len(known) + len(new) > self.remembered:
-                self.clear()
-                known, new = self.known, list(set(words))
-            self.learn(new)
-            at = [known[w] for w in words]
-        k = np.array(at, np.int64)
-        first, n = self.starts[k], self.starts[k + 1] - self.starts[k]
-        into = np.cumsum(n) - n
-        return self.ids[np.arange(int(n.sum())) + np.repeat(first - into, n)]
+        self.young, self.old = _Known(), _Known()
+
+    def _singly(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        return np.array([i for ids in found for i in ids], np.int32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _runs(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Runs of letters, many in one call: their ids are told apart by the tokens that end words."""
+        ids, lengths = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(words), 1000):
+            part = words[at : at + 1000]
+            own = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, np.int32)
+            ends = np.flatnonzero(self.ends_word[own]) + 1
+            n = np.diff(ends, prepend=0)
+            if len(ends) != len(part):
+                own, n = self._singly(part)
+            ids.append(own)
+            lengths.append(n)
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def _lowered(self, raw: bytes, at: np.ndarray) -> bytes:
+        """A-Z lower-cased, as the tokenizer does it, but not where that would make an added token."""
+        low = raw.lower()
+        if any(a in low for a in self.added):
+            texts = [(low[a:b], raw[a:b]) for a, b in zip(at[:-1], at[1:])]
+            return b"".join(own if any(a in text for a in self.added) else text for text, own in texts)
+        return low
+
+    def encode(self, data: np.ndarray, at: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts that lie in ``data`` between the n + 1 offsets ``at``, each with ``end`` appended, and the
+        n + 1 offsets of the texts in the ids."""
+        raw = data.tobytes()
+        raw = self._lowered(raw, at) if self.lowers else raw
+        data = np.frombuffer(raw, np.uint8)
+        begins, ends, letters = units_of(data, at)
+        hashes, first, of = np.unique(Rolling(data)(0, begins, ends), return_index=True, return_inverse=True)
+        if len(self.young.hashes) > self.remembered:
+            self.old, self.young = self.young, _Known()
+        places = self.young.find(hashes)
+        missing = np.flatnonzero(places < 0)
+        before = self.old.find(hashes[missing])
+        again = before >= 0
+        new = missing[~again]
+        pure = letters[first[new]]
+        groups = [(missing[again], *self.old.gather(before[again]))]
+        for which, encode in ((new[pure], self._runs), (new[~pure], self._singly)):
+            k = first[which]
+            groups.append((which, *encode([raw[a:b] for a, b in zip(begins[k].tolist(), ends[k].tolist())])))
+        if len(missing):
+            self.young.add(hashes[np.concatenate([g[0] for g in groups])], np.concatenate([g[1] for g in groups]), np.concatenate([g[2] for g in groups]))
+            places = self.young.find(hashes)
+        ids, n = self.young.gather(places[of])
+        starts = np.r_[0, np.cumsum(n)][np.searchsorted(begins, at, "left")] + np.arange(len(at))
+        out = np.full(int(starts[-1]), end, np.int32)
+        out[np.arange(len(ids)) + np.repeat(np.arange(len(at) - 1), np.diff(starts) - 1)] = ids
+        return out, starts
 
 
 def _encoder(text: str) -> WordEncoder:
@@ -116,10 +200,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, before = _encoder(shared.value), 0
-        for batch in by_bytes(batches, "text"):
-            data, at = utf8(batch.column("text"))
-            data = data.tobytes()
-            ids, starts = encoder.encode([data[a:b] for a, b in zip(at[:-1], at[1:])], end_id)
+        for batch in by_bytes(batches, "text", BATCH_BYTES):
+            ids, starts = encoder.encode(*utf8(batch.column("text")), end_id)
             lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))
             columns = [batch.column("part"), batch.column("doc_id"), pa.array(starts[:-1] + before), pa.array(np.diff(starts)), lists]
             yield pa.RecordBatch.from_arrays(columns, names=["part", "doc_id", "before", "n_tokens", "ids"])
