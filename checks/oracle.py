@@ -526,3 +526,4 @@ ORACLE["join_null_check"] = sql(" UNION ALL ".join(
     for c, k in (("doctor_name", "provider_id"), ("category", "diagnosis_code"), ("expected_cost", "procedure_code"))), "silver")
 ORACLE["all_null_check"] = sql(" UNION ALL ".join(
     f"SELECT '{c}' AS column_name, count(*) - count({c}) AS missing, count(*) > 0 AND count({c}) = 0 AS all_null FROM gold" for c in K.FEATURES), "gold")
+ORACLE["attribution_sorted"] = sql("SELECT claim_id, 7::INT AS features, true AS ranked, true AS in_order, true AS adds_up FROM gold", "gold")

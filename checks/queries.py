@@ -715,22 +715,27 @@ def risk_level(spark, sf):
     return serving.decide(scored, 0.37).select("claim_id", "probability", "predicted_label", "risk_level", "threshold")
 
 
-def _attributions(spark, sf):
-    """Claims the model denies at high risk; scoring all 128 coalitions is for the claims in question."""
-    t = _trained(spark, sf)
-    scored = score.score_claims(_gold_table(spark, sf), t.model, t.medians, t.threshold)
-    return score.attribute_claims(scored.where("risk_level = 'HIGH'"), t.model, t.medians)
-
-
 @query
 def attribute_claims(spark, sf):
-    return _attributions(spark, sf)
+    """Seven ranked features of every claim."""
+    t = _trained(spark, sf)
+    return score.attribute_claims(_gold_table(spark, sf), t.model, t.medians)
 
 
 @query
 def attribution_sorted(spark, sf):
-    """The strongest feature of every attributed claim."""
-    return _attributions(spark, sf).where("rank = 1").groupBy("feature_name", "direction").agg(F.count(F.lit(1)).alias("claims"))
+    """Per claim whether its features are ranked by size and add up to its log-odds above the median claim's."""
+    t = _trained(spark, sf)
+    gold = _gold_table(spark, sf)
+    scored = score.with_log_odds(prepare.impute(gold, t.medians), t.model).select("claim_id", "log_odds")
+    middle = score.with_log_odds(prepare.impute(spark.createDataFrame([("median",)], "claim_id string"), t.medians), t.model).first()["log_odds"]
+    ranked = score.attribute_claims(gold, t.model, t.medians).groupBy("claim_id").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "shap_value"))).alias("x"))
+    sizes = F.transform("x", lambda e: F.abs(e["shap_value"]))
+    total = F.aggregate("x", F.lit(0.0), lambda n, e: n + e["shap_value"])
+    return ranked.join(scored, "claim_id").select(
+        "claim_id", F.size("x").alias("features"), (F.col("x.rank") == F.sequence(F.lit(1), F.lit(7))).alias("ranked"),
+        (sizes == F.sort_array(sizes, asc=False)).alias("in_order"), (F.abs(total - (F.col("log_odds") - middle)) < 1e-3).alias("adds_up"))
 
 
 @query

@@ -22,7 +22,7 @@ def feature_medians(gold: DataFrame, approx: bool = False) -> DataFrame:
 
 
 def medians_dict(medians: DataFrame) -> dict[str, float]:
-    """The medians as numbers on the driver: one per feature."""
+    """The medians as numbers on the driver: one per feature that has values."""
     return {r["feature"]: r["median"] for r in medians.collect() if r["median"] is not None}
 
 

@@ -7,10 +7,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType, StringType
+from pyspark.sql.types import DoubleType, FloatType, NumericType, StringType
 
 from ..functions.numbers import np_round, to_timestamp
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, number
 
 NUMERIC_STATS = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
 
@@ -111,19 +111,24 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
 
 
+def _valid(df: DataFrame, c: str) -> Column:
+    """The column in its own type, without NaN."""
+    return number(c) if isinstance(df.schema[c].dataType, (FloatType, DoubleType)) else F.col(f"`{c}`")
+
+
 def profile_numeric(df: DataFrame) -> DataFrame:
-    """Count, mean, sample deviation, minimum, quartiles and maximum per numeric column, 2 decimals."""
+    """NaN counts as missing. Count, mean, sample deviation, minimum, quartiles and maximum per numeric column, 2 decimals."""
     columns = numeric_columns(df)
     if not columns:
         return df.sparkSession.createDataFrame([], "column_name string, " + ", ".join(f"`{s}` double" for s in NUMERIC_STATS))
     moments = df.agg(*[
         F.struct(
             F.lit(c).alias("column_name"),
-            F.count(c).cast("double").alias("count"),
-            F.avg(c).alias("mean"),
-            F.stddev_samp(c).alias("std"),
-            F.min(c).cast("double").alias("min"),
-            F.max(c).cast("double").alias("max"),
+            F.count(number(c)).cast("double").alias("count"),
+            F.avg(_valid(df, c)).alias("mean"),
+            F.stddev_samp(number(c)).alias("std"),
+            F.min(number(c)).alias("min"),
+            F.max(number(c)).alias("max"),
         ).alias(c)
         for c in columns
     ]).select(F.inline(F.array(*[F.col(f"`{c}`") for c in columns])))

@@ -2,78 +2,100 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Half width of the rank bracket around a quantile; far above the sketch's rank error of 1e-4.
+# Half width of the rank bracket that a sketch draws around a quantile; far above the sketch's rank error of 1e-4.
 _MARGIN = 0.001
 _ACCURACY = 10_000
-# Below this many values a column is ranked whole.
-_WHOLE = 10_000
+# Values in a bracket that are ranked one by one. A larger bracket is narrowed by another sketch inside it.
+_RANKED = 1000
 
 
-def long_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows ``(column_name, value)`` for the non-null values of numeric columns."""
-    values = F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in columns
-    ])
-    return df.select(F.inline(values)).where(F.col("value").isNotNull())
+def number(column: str) -> Column:
+    """A numeric column as double; NaN is a missing number."""
+    value = F.col(f"`{column}`").cast("double")
+    return F.when(~F.isnan(value), value)
+
+
+def _clamp(p: float) -> float:
+    return min(1.0, max(0.0, p))
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
     """Rows ``(column_name, p, value)`` with linear interpolation between neighbouring ranks.
 
-    The built-in exact percentile keeps every distinct value of a column in one task. Here a
-    fixed-size sketch first brackets the wanted ranks, then only values inside the bracket are
-    counted per value and ranked; values below it are one counter. Both steps combine before the
-    shuffle. The bracket table has one row per column and probability.
+    The built-in exact percentile keeps every distinct value of a column in one task. Here sketches, all side by side in
+    one aggregate, bracket the wanted ranks; the next aggregate counts what lies below and inside each bracket, which
+    also proves that the rank is in it (else the bracket is widened), and sketches the inside again. Brackets shrink some
+    five hundred times a pass, until few values are left in each; only those are ranked. No row is ever
+    copied per column, and what comes back to the driver is a few numbers per column and probability. ``df`` is scanned
+    once per pass and should be a written table. Nulls and NaN do not count; a column without values has no row.
     """
-    values = long_numbers(df, columns)
-    ps = [float(p) for p in probabilities]
-
-    def clamp(p: float) -> float:
-        return min(1.0, max(0.0, p))
-
-    edges = [e for p in ps for e in (clamp(p - _MARGIN), clamp(p + _MARGIN))]
-    sketch = values.groupBy("column_name").agg(
-        F.count("value").alias("n"),
-        F.percentile_approx("value", edges, _ACCURACY).alias("edge"),
-    )
-    whole = F.col("n") < _WHOLE
-    brackets = F.array(*[
-        F.struct(
-            F.lit(p).alias("p"),
-            F.when(whole, F.lit(float("-inf"))).otherwise(F.col("edge")[2 * i]).alias("lo"),
-            F.when(whole, F.lit(float("inf"))).otherwise(F.col("edge")[2 * i + 1]).alias("hi"),
-        )
-        for i, p in enumerate(ps)
+    wanted = [(c, float(p)) for c in columns for p in probabilities]
+    schema = "column_name string, p double, value double"
+    if not wanted:
+        return df.sparkSession.createDataFrame([], schema)
+    edges = [e for p in probabilities for e in (_clamp(p - _MARGIN), _clamp(p + _MARGIN))]
+    first = df.agg(*[x for i, c in enumerate(columns) for x in (
+        F.count(number(c)).alias(f"n{i}"), F.percentile_approx(number(c), edges, _ACCURACY).alias(f"e{i}"))]).first()
+    n = {c: first[f"n{i}"] for i, c in enumerate(columns)}
+    wanted = [(c, p) for c, p in wanted if n[c]]
+    bracket, ranks, margin = {}, {}, {}
+    for i, c in enumerate(columns):
+        for j, p in enumerate(probabilities):
+            if n[c]:
+                key, at = (c, float(p)), _clamp(p) * (n[c] - 1)
+                bracket[key] = (first[f"e{i}"][2 * j], first[f"e{i}"][2 * j + 1])
+                ranks[key], margin[key] = (math.floor(at), math.ceil(at)), _MARGIN
+    settled: dict[tuple[str, float], int] = {}  # values below the bracket
+    while open_ := [key for key in wanted if key not in settled]:
+        aggregates = []
+        for i, key in enumerate(open_):
+            value, (lo, hi) = number(key[0]), bracket[key]
+            aggregates += [F.count_if(value < lo).alias(f"b{i}"), F.count_if((value >= lo) & (value <= hi)).alias(f"i{i}")]
+        counted = df.agg(*aggregates).first()
+        narrow = []
+        for i, key in enumerate(open_):
+            below, inside, (low, high) = counted[f"b{i}"], counted[f"i{i}"], ranks[key]
+            if not (below <= low and high < below + inside):
+                margin[key] *= 10
+                narrow.append((key, None, [_clamp(key[1] - margin[key]), _clamp(key[1] + margin[key])]))
+            elif inside <= _RANKED or bracket[key][0] == bracket[key][1]:
+                settled[key] = below
+            else:
+                share = [_clamp((r - below) / inside + d) for r, d in ((low, -2.0 / _ACCURACY), (high, 2.0 / _ACCURACY))]
+                narrow.append((key, bracket[key], share))
+        if narrow:
+            drawn = df.agg(*[
+                F.percentile_approx(number(key[0]) if inner is None else F.when(number(key[0]).between(*inner), number(key[0])), share, _ACCURACY).alias(f"e{i}")
+                for i, (key, inner, share) in enumerate(narrow)
+            ]).first()
+            for i, (key, inner, _) in enumerate(narrow):
+                found = tuple(drawn[f"e{i}"])
+                if found == inner:  # the sketch cannot cut it further: rank what is left
+                    settled[key] = counted[f"b{open_.index(key)}"]
+                bracket[key] = found
+            if any(margin[key] > 1 for key, inner, _ in narrow if inner is None):
+                raise ArithmeticError("a bracket around a quantile cannot be proven")
+    if not settled:
+        return df.sparkSession.createDataFrame([], schema)
+    inside = F.array(*[
+        F.when(number(c).between(*bracket[c, p]), F.struct(F.lit(k).alias("k"), number(c).alias("value"))) for k, (c, p) in enumerate(wanted)
     ])
-    bracket = sketch.select("column_name", "n", F.inline(brackets))
-
-    ranked = (
-        # len(columns) x len(probabilities) rows, known from the call
-        values.join(F.broadcast(bracket), "column_name")
-        .where(F.col("value") <= F.col("hi"))
-        .groupBy("column_name", "p", "n", F.when(F.col("value") >= F.col("lo"), F.col("value")).alias("value"))
-        .agg(F.count(F.lit(1)).alias("_count"))
-    )
-    upto = Window.partitionBy("column_name", "p").orderBy(F.asc_nulls_first("value"))
-    ranked = ranked.withColumn("_end", F.sum("_count").over(upto))
-    position = F.col("p") * (F.col("n") - 1)
-    below, above = F.floor(position), F.ceil(position)
-
-    def at(rank):
-        hit = (F.col("_end") > rank) & (F.col("_end") - F.col("_count") <= rank)
-        return F.max(F.when(hit, F.col("value")))
-
-    return (
-        ranked.groupBy("column_name", "p", "n")
-        .agg(at(below).alias("_low"), at(above).alias("_high"))
-        .select(
-            "column_name",
-            "p",
-            (F.col("_low") + (F.col("_high") - F.col("_low")) * (position - below)).alias("value"),
-        )
-    )
+    values = df.select(F.explode(F.array_compact(inside)).alias("x")).groupBy("x.k", "x.value").count().collect()
+    out = []
+    for k, key in enumerate(wanted):
+        low, high = ranks[key]
+        at, place, found = sorted((r["value"], r["count"]) for r in values if r["k"] == k), settled[key], {}
+        for value, count in at:
+            for rank in (low, high):
+                if place <= rank < place + count:
+                    found[rank] = value
+            place += count
+        share = _clamp(key[1]) * (n[key[0]] - 1) - low
+        out.append((*key, found[low] + (found[high] - found[low]) * share))
+    return df.sparkSession.createDataFrame(out, schema)

@@ -112,6 +112,26 @@ def test_exact_quantiles_match_pandas(spark):
     assert len(got) == 10
 
 
+def test_quantiles_without_nan_and_under_many_passes(spark, monkeypatch):
+    import random
+
+    import pandas as pd
+
+    rng = random.Random(4)
+    data = [(1e6 * rng.random() ** 9 if i % 5 else float("nan"), None, float(i % 3), rng.choice([1.0, 2.0])) for i in range(20000)]
+    frame = pd.DataFrame(data, columns=list("abcd"))
+    df = spark.createDataFrame(data, "a double, b double, c double, d double").repartition(3)
+    for ranked, margin in ((1000, 0.001), (2, 0.001), (5, 1e-9)):
+        monkeypatch.setattr(quantiles, "_RANKED", ranked)
+        monkeypatch.setattr(quantiles, "_MARGIN", margin)
+        got = {(r["column_name"], r["p"]): r["value"] for r in quantiles.exact_quantiles(df, list("abcd"), (0.1, 0.5, 0.999)).collect()}
+        assert set(got) == {(c, p) for c in "acd" for p in (0.1, 0.5, 0.999)}
+        assert all(abs(v - frame[c].quantile(p)) < 1e-9 for (c, p), v in got.items())
+    row = {r["column_name"]: r for r in profile.profile_numeric(spark.createDataFrame([(x,) for x in (1.0, 2.0, 3.0, float("nan"), float("nan"))], "x double")).collect()}["x"]
+    assert (row["count"], row["mean"], row["75%"], row["max"]) == (3.0, 2.0, 2.5, 3.0)
+    assert quantiles.exact_quantiles(df.limit(0), ["a"], (0.5,)).count() == 0
+
+
 def test_small_quantiles_interpolate(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (4.0,), (9.0,)], "x double")
     assert quantiles.exact_quantiles(df, ["x"], (0.5,)).first()["value"] == 3.0

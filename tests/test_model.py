@@ -148,12 +148,12 @@ def test_attributions_add_up_to_the_score(spark, trained, gold):
     some = some.unionByName(some.limit(1))  # a repeated row must not change its claim's values
     rows = score.attribute_claims(some, t.model, t.medians).collect()
     claims = {r["claim_id"] for r in rows}
-    assert len(rows) == 7 * len(claims)
+    assert len(rows) == 7 * some.count() and some.count() == len(claims) + 1
     base = spark.createDataFrame([("base",)], "claim_id string")
-    f0 = score._predicted(prepare.impute(base, t.medians), t.model).first()["log_odds"]
-    fx = {r["claim_id"]: r["log_odds"] for r in score._predicted(prepare.impute(some, t.medians), t.model).collect()}
+    f0 = score.with_log_odds(prepare.impute(base, t.medians), t.model).first()["log_odds"]
+    fx = {r["claim_id"]: r["log_odds"] for r in score.with_log_odds(prepare.impute(some, t.medians), t.model).collect()}
     for c in claims:
-        mine = sorted((r for r in rows if r["claim_id"] == c), key=lambda r: r["rank"])
+        mine = sorted({r for r in rows if r["claim_id"] == c}, key=lambda r: r["rank"])
         assert abs(sum(r["shap_value"] for r in mine) - (fx[c] - f0)) < 1e-3
         sizes = [abs(r["shap_value"]) for r in mine]
         assert sizes == sorted(sizes, reverse=True) and [r["rank"] for r in mine] == list(range(1, 8))
