@@ -359,9 +359,23 @@ _PROFILED = {
     "benchmark": ("benchmark", ("item_id", "text")),
     "conversations": ("conversations", ("conv_id", "turn", "role", "text")),
 }
-ORACLE["profile_all"] = sql(" UNION ALL ".join(
-    f"SELECT '{name}' AS table_name, count(*) AS row_count, '{c}' AS column_name, count(*) - count({c}) AS missing, count(DISTINCT {c}) AS distinct_values FROM {t}"
-    for t, (name, columns) in _PROFILED.items() for c in columns), "bronze", "raw_providers")
+_NUMBERS = {"billed_amount", "c_custkey", "c_nationkey", "c_acctbal", "p_partkey", "p_size", "p_retailprice", "event_id", "user_id", "value", "doc_id",
+            "n_chars", "page_id", "item_id", "conv_id", "turn"}
+
+
+def _profile(t: str, name: str, c: str) -> str:
+    stats = [("count", "count({c})::DOUBLE"), ("mean", "round_even(avg({c}), 2)"), ("std", "round_even(stddev_samp({c}), 2)"), ("min", "round_even(min({c})::DOUBLE, 2)"),
+             *[(f"{p}%", "round_even(quantile_cont({c}::DOUBLE, 0." + str(p) + "), 2)") for p in (25, 50, 75)], ("max", "round_even(max({c})::DOUBLE, 2)")]
+    numbers = ", ".join((f.format(c=c) if c in _NUMBERS else "NULL::DOUBLE") + f' AS "{n}"' for n, f in stats)
+    day = "strftime({}(try_strptime(date, '%Y-%m-%d')), '%Y-%m-%d')"
+    dates = (f"{day.format('min')} AS min_date, {day.format('max')} AS max_date, count(*) FILTER (WHERE try_strptime(date, '%Y-%m-%d') IS NULL) AS invalid_dates"
+             if c == "date" else "NULL::VARCHAR AS min_date, NULL::VARCHAR AS max_date, NULL::BIGINT AS invalid_dates")
+    repeats = f"count(*) - count(DISTINCT {c}) - coalesce(max(({c} IS NULL)::BIGINT), 0)" if c == "claim_id" else "NULL::BIGINT"
+    return (f"SELECT '{name}' AS table_name, count(*) AS row_count, '{c}' AS column_name, count(*) - count({c}) AS missing, "
+            f"count(DISTINCT {c}) AS distinct_values, ({repeats})::BIGINT AS duplicates, {dates}, {numbers} FROM {t}")
+
+
+ORACLE["profile_all"] = sql(" UNION ALL ".join(_profile(t, name, c) for t, (name, columns) in _PROFILED.items() for c in columns), "bronze", "raw_providers")
 ORACLE["quality_check"] = sql("""
   SELECT 'bronze_claims' AS table_name, 'patient_id' AS column_name, 'COLUMN MISSING' AS issue, NULL::DOUBLE AS null_pct
   UNION ALL SELECT * FROM (""" + " UNION ALL ".join(f"""

@@ -437,7 +437,8 @@ PROFILED = ("customer", "part", "events", "documents", "pages", "benchmark", "co
 @query
 def profile_all(spark, sf):
     bronze = {"bronze_claims": star.raw_claims(spark, sf), "bronze_providers": star.raw_providers(spark, sf)}
-    return profile.profile_all(bronze | {t: star.table(spark, sf, t) for t in PROFILED})
+    found = profile.profile_all(bronze | {t: star.table(spark, sf, t) for t in PROFILED})
+    return found.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("min_date", "max_date")})
 
 
 @query

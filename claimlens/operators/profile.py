@@ -84,26 +84,27 @@ def profile_date_range(df: DataFrame, date_format: str = "yyyy-MM-dd") -> DataFr
     return df.agg(*aggs).select(F.inline(F.array(*[F.col(f"`{c}`") for c in columns])))
 
 
-def _identity(df: DataFrame, column: str) -> Column:
-    """What distinct counting compares: the value, or for long text its digest.
+def distinct_counts(df: DataFrame) -> DataFrame:
+    """Rows ``(column_name, distinct_values)``: distinct non-null values of every column.
 
-    Whole documents would otherwise be shuffled to be counted. A digest is longer than any text that
-    is compared as it is, so the two kinds never meet.
+    A value travels as two 64-bit hashes next to its column's number, whatever its length, and repeats are
+    dropped in the task that read them. Values count as equal if both hashes are.
     """
-    value = F.col(f"`{column}`")
-    if not isinstance(df.schema[column].dataType, StringType):
-        return value
-    return F.when(F.length(value) > 64, F.concat(F.lit("#"), F.sha2(value, 256))).otherwise(value)
+    pairs = F.array(*[
+        F.when(F.col(f"`{c}`").isNotNull(), F.struct(
+            F.lit(i).alias("i"), F.xxhash64(F.col(f"`{c}`")).alias("h"), F.xxhash64(F.lit(i), F.col(f"`{c}`"), F.lit("again")).alias("g")))
+        for i, c in enumerate(df.columns)
+    ])
+    counted = df.select(F.explode(F.array_compact(pairs)).alias("x")).select("x.*").distinct().groupBy("i").agg(F.count(F.lit(1)).alias("distinct_values"))
+    names = df.sparkSession.createDataFrame(list(enumerate(df.columns)), "i int, column_name string")
+    return names.join(counted, "i", "left").select("column_name", F.coalesce("distinct_values", F.lit(0)).cast("long").alias("distinct_values"))
 
 
 def profile_cardinality(df: DataFrame, approx: bool = False) -> DataFrame:
-    """Distinct non-null values per column.
-
-    Exact counting shuffles one row per distinct (column, value) pair; ``approx`` shuffles only
-    fixed-size sketches.
-    """
-    count = F.approx_count_distinct if approx else F.count_distinct
-    counts = df.agg(F.count(F.lit(1)).alias("_rows"), *[count(_identity(df, c)).alias(c) for c in df.columns])
+    """Distinct non-null values per column; ``approx`` shuffles fixed-size sketches instead of distinct values."""
+    if not approx:
+        return distinct_counts(df)
+    counts = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.approx_count_distinct(F.col(f"`{c}`")).alias(c) for c in df.columns])
     return _unpivot(counts, df.columns, "long", "distinct_values").drop("_rows")
 
 
@@ -162,12 +163,14 @@ def profile_lines(df: DataFrame, name: str, date_format: str = "yyyy-MM-dd") ->
         lines(1, profile_missing(df), at, F.format_string(
             "  %-30s %5d missing  (%s%%)", "column_name", "missing", F.col("missing_pct").cast("string"))),
     ]
+    nothing = null_counts(df).agg(F.sum("missing").alias("n")).where("n = 0 or n is null")
+    parts.append(lines(1, nothing, F.lit(0), F.lit("  No missing values")))
     if "claim_id" in df.columns:
         parts += [heading(2, "--- Duplicate claim_ids ---"),
                   lines(2, profile_duplicates(df), F.lit(0), F.format_string("  %d duplicate(s) found", "duplicates"))]
     if date_columns(df):
-        parts += [heading(3, "--- Date Range ---"), lines(3, profile_date_range(df, date_format), at, F.format_string(
-            "  %s\n  Min     : %s\n  Max     : %s\n  Invalid : %d unparseable date(s)", "column_name",
+        parts += [lines(3, profile_date_range(df, date_format), at, F.format_string(
+            "--- Date Range (%s) ---\n  Min     : %s\n  Max     : %s\n  Invalid : %d unparseable date(s)", "column_name",
             F.coalesce(F.col("min_date").cast("string"), F.lit("NaT")),
             F.coalesce(F.col("max_date").cast("string"), F.lit("NaT")), "invalid"))]
     parts += [heading(4, "--- Column Cardinality (unique values) ---"),
@@ -179,22 +182,21 @@ def profile_lines(df: DataFrame, name: str, date_format: str = "yyyy-MM-dd") ->
     return reduce(DataFrame.unionByName, parts)
 
 
-def profile_all(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Null count and distinct values of every column of every table, as one long table."""
+def profile_all(tables: Mapping[str, DataFrame], date_format: str = "yyyy-MM-dd") -> DataFrame:
+    """The whole profile of every column of every table as one long table: rows, nulls, distinct values, repeated
+    claim ids, dates and numeric statistics; what a column has not is null."""
     parts = []
     for name, df in tables.items():
-        columns = df.columns
-        counts = df.agg(
-            F.count(F.lit(1)).alias("_rows"),
-            *[
-                F.struct(F.count_if(F.col(f"`{c}`").isNull()).alias("missing"), F.count_distinct(_identity(df, c)).alias("distinct_values")).alias(c)
-                for c in columns
-            ],
-        )
-        pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`.missing").alias("missing"),
-                                   F.col(f"`{c}`.distinct_values").alias("distinct_values")) for c in columns])
-        parts.append(counts.select(F.lit(name).alias("table_name"), F.col("_rows").alias("row_count"), F.inline(pairs)))
-    return reduce(DataFrame.unionByName, parts)
+        dates = profile_date_range(df, date_format).select("column_name", *[F.col(c).cast("timestamp").alias(c) for c in ("min_date", "max_date")], F.col("invalid").cast("long").alias("invalid_dates"))
+        part = null_counts(df).join(distinct_counts(df), "column_name").join(dates, "column_name", "left").join(profile_numeric(df), "column_name", "left")
+        if "claim_id" in df.columns:
+            repeats = profile_duplicates(df).select(F.lit("claim_id").alias("column_name"), "duplicates")
+            part = part.join(repeats, "column_name", "left")
+        else:
+            part = part.withColumn("duplicates", F.lit(None).cast("long"))
+        parts.append(part.withColumnRenamed("_rows", "row_count").withColumn("table_name", F.lit(name)))
+    return reduce(DataFrame.unionByName, parts).select(
+        "table_name", "row_count", "column_name", "missing", "distinct_values", "duplicates", "min_date", "max_date", "invalid_dates", *NUMERIC_STATS)
 
 
 def profile_report(tables: Mapping[str, DataFrame]) -> DataFrame:

@@ -78,6 +78,15 @@ def test_evaluation_reports_every_claim(spark):
     assert len(out) == 7 and K.OFFLINE_TEXT in out["one"]["full_report"] and "Claim is clean" in out["clean"]["full_report"]
 
 
+def test_evaluation_without_an_index_falls_back(spark, tmp_path):
+    from claimlens.sources import policies
+
+    out = decisions.evaluate_claims(requests(spark), scorer, lambda: policies.read_index(spark, str(tmp_path / "none"))).collect()
+    assert any(K.OFFLINE_TEXT in r["full_report"] for r in out)
+    with pytest.raises(ClaimLensError):
+        decisions.evaluate_claims(requests(spark), scorer, lambda: tables.load_bronze(spark, str(tmp_path), "none"))
+
+
 def test_history_grows(spark, tmp_path):
     path = str(tmp_path / "history")
     rows = serving.history_rows(decisions.decide_claims(requests(spark), scorer), "ann")
