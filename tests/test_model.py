@@ -182,3 +182,11 @@ def test_tuning_picks_the_best_trial(gold):
     rows = table.collect()
     top = max(rows, key=lambda r: r["mean_auc"])
     assert len(rows) == 2 and top["mean_auc"] > 0.8 and best["maxDepth"] == top["max_depth"]
+
+
+def test_folds_have_like_shares_of_every_label(spark):
+    df = spark.range(6000).select(F.concat(F.lit("C"), "id").alias("claim_id"), (F.col("id") % 50 == 0).cast("int").alias("denial_label"))
+    counts = {(r["denial_label"], r["fold"]): r["count"] for r in prepare.add_fold(df).groupBy("denial_label", "fold").count().collect()}
+    assert set(counts) == {(label, fold) for label in (0, 1) for fold in range(3)}
+    assert max(counts[1, f] for f in range(3)) - min(counts[1, f] for f in range(3)) < 25
+    assert max(counts[0, f] for f in range(3)) - min(counts[0, f] for f in range(3)) < 250
