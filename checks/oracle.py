@@ -541,3 +541,29 @@ ORACLE["join_null_check"] = sql(" UNION ALL ".join(
 ORACLE["all_null_check"] = sql(" UNION ALL ".join(
     f"SELECT '{c}' AS column_name, count(*) - count({c}) AS missing, count(*) > 0 AND count({c}) = 0 AS all_null FROM gold" for c in K.FEATURES), "gold")
 ORACLE["attribution_sorted"] = sql("SELECT claim_id, 7::INT AS features, true AS ranked, true AS in_order, true AS adds_up FROM gold", "gold")
+
+# provider audits, with the numbers of the policy
+_DAYS = """days AS (
+  SELECT provider_id, claim_date AS day, count(*) AS claims, count(*) FILTER (WHERE validation_flags <> '') AS flagged,
+         count(*) FILTER (WHERE list_contains(string_split(validation_flags, '|'), 'WARN_HIGH_BILLING')) AS high,
+         count(*) FILTER (WHERE list_contains(string_split(validation_flags, '|'), 'ERR_INCOMPLETE_CLAIM')) AS incomplete,
+         max(CASE WHEN expected_cost > 0 THEN billed_amount / expected_cost END) AS multiple
+  FROM validated WHERE provider_id IS NOT NULL GROUP BY provider_id, claim_date),
+sums AS (
+  SELECT *, sum(flagged) OVER w90 / sum(claims) OVER w90 AS rate, sum(high) OVER w90 / sum(claims) OVER w90 AS high_rate,
+         sum(high) OVER w30 AS high_30, sum(incomplete) OVER w30 AS incomplete_30
+  FROM days WHERE day IS NOT NULL
+  WINDOW w90 AS (PARTITION BY provider_id ORDER BY day RANGE BETWEEN INTERVAL 89 DAYS PRECEDING AND CURRENT ROW),
+         w30 AS (PARTITION BY provider_id ORDER BY day RANGE BETWEEN INTERVAL 29 DAYS PRECEDING AND CURRENT ROW))"""
+ORACLE["provider_tier"] = sql(f""", {_DAYS} SELECT provider_id, claims, round(rate, 9) AS denial_rate,
+  CASE WHEN rate < 0.20 THEN 'NORMAL' WHEN rate <= 0.40 THEN 'ELEVATED' ELSE 'HIGH RISK' END AS tier
+  FROM (SELECT provider_id, sum(claims)::BIGINT AS claims, sum(flagged) / sum(claims) AS rate FROM days GROUP BY provider_id)""", "validated")
+ORACLE["audit_trigger"] = sql(f""", {_DAYS} SELECT *, denial_rate_90d OR high_billing_30d OR incomplete_30d OR single_claim AS triggered FROM (
+  SELECT provider_id, coalesce(bool_or(rate > 0.40), false) AS denial_rate_90d, coalesce(bool_or(high_30 > 10), false) AS high_billing_30d,
+         coalesce(bool_or(incomplete_30 > 5), false) AS incomplete_30d, any_value(single) AS single_claim
+  FROM (SELECT provider_id, coalesce(bool_or(multiple > 10), false) AS single FROM days GROUP BY provider_id) LEFT JOIN sums USING (provider_id)
+  GROUP BY provider_id)""", "validated")
+ORACLE["high_billing_notice"] = sql(f""", {_DAYS} SELECT provider_id, round(max(high_rate), 9) AS high_billing_rate, max(high_rate) > 0.25 AS notice
+  FROM sums GROUP BY provider_id""", "validated")
+ORACLE["high_volume_provider"] = sql(f""", {_DAYS} SELECT provider_id, strftime(day, '%Y-%m') AS month, sum(claims)::BIGINT AS claims
+  FROM days WHERE day IS NOT NULL GROUP BY ALL HAVING sum(claims) > 100""", "validated")

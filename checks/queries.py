@@ -12,7 +12,7 @@ from claimlens.functions.numbers import py_round
 from claimlens.functions.vector import cosine_from_l2
 from claimlens.ml import evaluate, prepare, score, train
 from claimlens.operators import (
-    chunking, clean, embed, enrich, features, knn, kpi, profile, quality, remediate, retrieval, rules, serving,
+    audit, chunking, clean, embed, enrich, features, knn, kpi, profile, quality, remediate, retrieval, rules, serving,
 )
 from claimlens.plans import decisions, layers, training
 from claimlens.schemas import RAW_CLAIMS, RAW_SCHEMAS
@@ -865,6 +865,29 @@ def stream_claims(spark, sf):
 REGISTRY["stream_score_claims"] = REGISTRY.pop("stream_claims")
 
 
+# --- provider audits -------------------------------------------------------------------------------------
+
+
+@query
+def provider_tier(spark, sf):
+    return audit.provider_tier(validated(spark, sf)).transform(rounded, 9, "denial_rate")
+
+
+@query
+def audit_trigger(spark, sf):
+    return audit.audit_trigger(validated(spark, sf))
+
+
+@query
+def high_billing_notice(spark, sf):
+    return audit.high_billing_notice(validated(spark, sf)).transform(rounded, 9, "high_billing_rate")
+
+
+@query
+def high_volume_provider(spark, sf):
+    return audit.high_volume_provider(validated(spark, sf))
+
+
 # --- announced checks ------------------------------------------------------------------------------------
 
 
