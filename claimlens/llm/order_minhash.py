@@ -1,7 +1,7 @@
 """Order MinHash fingerprints of documents and of edited texts, with DataFrame operations only.
 
-A text is cut into tokens: runs of up to 16 signs other than white space, so that text without blanks has tokens too.
-Its k-mers are K tokens in a row, each numbered by how often it occurred before. A hash of k-mer and number decides
+A text is cut into tokens at white space; a token of more than 64 bytes is cut into pieces of 16 signs, so that text
+without blanks has several. Its k-mers are K tokens in a row, each numbered by how often it occurred before. A hash of k-mer and number decides
 which are the least. The components of a fingerprint take k-mers of disjoint ranges of hashes: each has two ranges,
 selects the least numbered k-mer of both, keeps the two in the order of the text, and hashes the pair. So it changes
 with what the text holds, and with the order in which it stands.
@@ -14,23 +14,23 @@ from pyspark.sql import functions as F
 
 from claimlens.llm.common import stage, total_bytes
 
-TOKEN = "[^\\x20\\x09-\\x0D]{1,16}"
+BLANKS = "[\\x20\\x09-\\x0D]+"
+LONG_TOKEN, PIECE = 64, 16
 K = 3
 COMPONENTS = 64
 TASK_BYTES = 4 << 20  # text whose k-mers one task sorts
-EMPTY = "...."
-_KEY = ["missing", "id", "hash"]
-_PAD = "\n"  # never a token
-_PLACES = (1 << 30) - 1
+_KEY = ["id", "hash"]
+_ORDER = ["missing", "id", "hash"]
+_PLACES = (1 << 30) - 1  # a text of 2 GB has fewer tokens
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """(missing, id, hash) name a document by doc_id and text, without nulls and in order of doc_id, null last."""
+    """(id, hash) name a document by doc_id and text, without nulls; ``missing`` tells that there is no doc_id."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     zero = F.lit("" if kind == "string" else 0).cast(kind)
+    text, missing = F.coalesce("text", F.lit("")), F.col("doc_id").isNull()
     return docs.select(
-        F.col("doc_id").isNull().alias("missing"), F.coalesce("doc_id", zero).alias("id"),
-        F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), F.coalesce("text", F.lit("")).alias("text"),
+        missing.alias("missing"), F.coalesce("doc_id", zero).alias("id"), F.xxhash64(text, F.when(missing, F.lit(1))).alias("hash"), text.alias("text"),
     )
 
 
@@ -40,43 +40,76 @@ def _following(keyed: DataFrame) -> DataFrame:
     Documents are put in order by ranges; a window looks ahead inside a range, and the few first rows of the ranges,
     one per range, say what follows its last row.
     """
-    light = keyed.groupBy(*_KEY, F.length("text").cast("long").alias("n_chars")).agg(F.count("*").alias("rows"))
-    ranged = light.repartitionByRange(*_KEY).sortWithinPartitions(*_KEY).withColumn("part", F.spark_partition_id())
+    light = keyed.groupBy(*_ORDER, F.length("text").cast("long").alias("n_chars")).agg(F.count("*").alias("rows"))
+    ranged = light.repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER).withColumn("part", F.spark_partition_id())
     ranged = stage(ranged, "document-order")
-    key = F.struct(*_KEY)
+    key = F.struct(*_ORDER)
     firsts = ranged.groupBy("part").agg(F.min(key).alias("first"))
     start = firsts.agg(F.min("first")).select(F.col("min(first)").alias("start"))
     after = firsts.select("part", F.lead("first").over(Window.orderBy("part")).alias("after")).join(F.broadcast(start))
-    ahead = ranged.withColumn("ahead", F.lead(key).over(Window.partitionBy("part").orderBy(*_KEY)))
+    ahead = ranged.withColumn("ahead", F.lead(key).over(Window.partitionBy("part").orderBy(*_ORDER)))
     joined = ahead.join(F.broadcast(after), "part")
-    return stage(joined.select(*_KEY, "n_chars", "rows", F.coalesce("ahead", "after", "start").alias("next")), "document-next")
+    return stage(joined.select(*_ORDER, "n_chars", "rows", F.coalesce("ahead", "after", "start").alias("next")), "document-next")
 
 
-def _signatures(texts: DataFrame) -> DataFrame:
-    """(missing, id, hash, fingerprint, edited_fingerprint) of texts (.., text, edited), one row per key.
+def _tokens(text: Column) -> Column:
+    return F.array_remove(F.split(text, BLANKS), "")
+
+
+def _hashes(tokens: str) -> Column:
+    """Hash of each token, or of the pieces of a long one."""
+    pieces = F.flatten(F.transform(tokens, lambda x: F.when(
+        F.octet_length(x) > LONG_TOKEN, F.regexp_extract_all(x, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).otherwise(F.array(x))))
+    cut = F.when(F.exists(tokens, lambda x: F.octet_length(x) > LONG_TOKEN), pieces).otherwise(F.col(tokens))
+    return F.transform(cut, lambda x: F.xxhash64(x))
+
 
-    Tokens that both texts begin with are handled once: their k-mers have the same numbers and places in both.
+def _kmers(texts: DataFrame) -> DataFrame:
+    """Rows (id, hash, kmer, packed) of the k-mers of a text and its edited text.
+
+    ``packed`` holds the number of the k-mer, its place in its text, and two bits: in the text, in the edited text. Both
+    texts begin alike; the k-mers of what they share are rows of both. Then come those of the text alone, then those
+    of the edited text alone, so a running number tells how often a k-mer occurred before in either.
     """
-    tokens = {"own": F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)), "other": F.regexp_extract_all("edited", F.lit(TOKEN), F.lit(0))}
-    both = texts.withColumns(tokens).select(*_KEY, *[
-        F.when((F.size(x) > 0) & (F.size(x) < K), F.concat(x, F.array_repeat(F.lit(_PAD), F.lit(K) - F.size(x)))).otherwise(F.col(x)).alias(x)
-        for x in tokens
-    ])
-    same = F.expr("array_position(zip_with(own, other, (x, y) -> x <=> y), false)")
-    same = F.when(same > 0, same - 1).otherwise(F.size("own")).cast("int")
-    both = both.withColumn("common", F.greatest(F.lit(0), same - (K - 1)))
-    both = both.withColumn("n", F.size("own")).withColumn("all", F.expr("concat(own, slice(other, common + 1, size(other)))"))
-    each = both.select(*_KEY, "common", "n", "all", F.posexplode("all").alias("p", "token"))
+    start = F.split(F.expr("left(text, keep)"), BLANKS)  # its last token may go on
+    cut = texts.select(*_KEY, "text", "keep", "head", start.alias("start")).select(
+        *_KEY, F.array_remove(F.slice("start", F.lit(1), F.size("start") - 1), "").alias("both"),
+        _tokens(F.concat(F.element_at("start", -1), F.expr("substring(text, keep + 1)"))).alias("own"),
+        _tokens(F.concat(F.element_at("start", -1), "head")).alias("other"),
+    )
+    cut = cut.select(*_KEY, *[_hashes(c).alias(c) for c in ("both", "own", "other")])
+
+    def padded(c: str) -> Column:
+        """A text of fewer than K tokens is one k-mer."""
+        n = F.size("both") + F.size(c)
+        return F.when((n > 0) & (n < K), F.concat(c, F.array_repeat(F.lit(0).cast("long"), F.lit(K) - n))).otherwise(F.col(c))
+
+    whole = cut.select(*_KEY, "both", padded("own").alias("own"), padded("other").alias("other"))
+    shared = F.greatest(F.lit(0), F.size("both") - (K - 1))
+    again = F.slice("both", shared + 1, F.lit(K - 1))  # the edited text's own k-mers begin with these tokens
+    whole = whole.select(*_KEY, shared.alias("shared"), (F.size("both") + F.size("own")).alias("n"), F.concat("both", "own", again, "other").alias("all"))
+    hashed = ", ".join(f"all[i + {j}]" for j in range(K))
+    kmers = F.expr(f"if(size(all) < {K}, array(), transform(sequence(0, size(all) - {K}), i -> xxhash64({hashed})))")
+    each = whole.select(*_KEY, "shared", "n", F.posexplode(kmers).alias("p", "kmer")).where(f"p + {K} <= n or p >= n")
     mine = F.col("p") < F.col("n")
-    each = each.where(F.col("p") + K <= F.when(mine, F.col("n")).otherwise(F.size("all")))
-    kmer = F.xxhash64("token", *[F.get("all", F.col("p") + j) for j in range(1, K)])
+    place = F.when(mine, F.col("p")).otherwise(F.col("p") - F.col("n") + F.col("shared"))
+    flags = F.when(~mine, 1).when(F.col("p") < F.col("shared"), 3).otherwise(2)
+    packed = F.shiftleft(F.col("p").cast("long"), 32).bitwiseOR(F.shiftleft(F.least(place, F.lit(_PLACES)).cast("long"), 2)).bitwiseOR(flags.cast("long"))
+    return each.select(*_KEY, "kmer", packed.alias("packed"))
+
+
+def _signatures(texts: DataFrame) -> DataFrame:
+    """(id, hash, fingerprint, edited_fingerprint) of texts (id, hash, text, keep, head), one row per key with tokens."""
+    in_order = Window.partitionBy("kmer", *_KEY).orderBy("packed")
+    only_own = (F.col("packed").bitwiseAND(F.lit(3)) == 2).cast("int")
+    each = _kmers(texts).select(
+        *_KEY, "kmer", "packed", F.row_number().over(in_order).alias("number"),
+        F.sum(only_own).over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("skipped"))
+    flags = F.col("packed").bitwiseAND(F.lit(3))
     each = each.select(
-        *_KEY, kmer.alias("kmer"), F.col("p"), (mine).alias("in_own"), (~mine | (F.col("p") < F.col("common"))).alias("in_other"),
-        F.when(mine, F.col("p")).otherwise(F.col("p") - F.col("n") + F.col("common")).cast("long").alias("place"),
-    )
-    earlier = Window.partitionBy("kmer", *_KEY).orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    each = each.select(*_KEY, "kmer", "place", "in_own", "in_other",
-                       F.count_if("in_own").over(earlier).alias("n_own"), F.count_if("in_other").over(earlier).alias("n_other"))
+        *_KEY, "kmer", (flags >= 2).alias("in_own"), (flags != 2).alias("in_other"),
+        F.shiftright("packed", 2).bitwiseAND(F.lit(_PLACES)).alias("place"), F.col("number").cast("long").alias("n_own"),
+        F.when(flags == 1, F.col("number") - F.col("skipped")).otherwise(F.col("number")).cast("long").alias("n_other"))
     half = F.pmod("kmer", F.lit(2 * COMPONENTS))
 
     def least(member: str, number: str, side: int) -> Column:
@@ -88,29 +121,39 @@ def _signatures(texts: DataFrame) -> DataFrame:
         least("in_other", "n_other", 0).alias("c"), least("in_other", "n_other", 1).alias("d"))
 
     def pair(a: str, b: str) -> Column:
+        """Hash of the two in the order of the text, as 16 bits that are not all zero; zero if there is none."""
         first, second = (F.shiftright(x, 30) for x in (a, b))
-        ordered = F.col(a).bitwiseAND(F.lit(_PLACES)) <= F.col(b).bitwiseAND(F.lit(_PLACES))
-        drawn = F.when(F.col(a).isNull() | F.col(b).isNull(), F.xxhash64(first, second)).when(ordered, F.xxhash64(first, second)).otherwise(F.xxhash64(second, first, F.lit(1)))
-        return F.when(F.col(a).isNotNull() | F.col(b).isNotNull(), F.lower(F.substring(F.lpad(F.hex(drawn), 16, "0"), 1, 4)))
+        turned = F.col(a).bitwiseAND(F.lit(_PLACES)) > F.col(b).bitwiseAND(F.lit(_PLACES))
+        drawn = F.when(turned, F.xxhash64(second, first, F.lit(1))).otherwise(F.xxhash64(first, second))
+        return F.when(F.col(a).isNotNull() | F.col(b).isNotNull(), F.pmod(drawn, F.lit(65535)) + 1).otherwise(0).cast("long")
+
+    parts = parts.select(*_KEY, F.floor(F.col("part") / 4).alias("word"), F.expr("16 * (part % 4)").alias("shift"), pair("a", "b").alias("own"), pair("c", "d").alias("other"))
+
+    def words(name: str) -> Column:
+        each = [F.bit_or(F.when(F.col("word") == w, F.expr(f"shiftleft({name}, cast(shift as int))"))) for w in range(COMPONENTS // 4)]
+        return F.array(*[F.coalesce(x, F.lit(0).cast("long")) for x in each]).alias(name)
+
+    return parts.groupBy(*_KEY).agg(words("own"), words("other"))
+
 
-    parts = parts.select(*_KEY, F.struct("part", pair("a", "b").alias("own"), pair("c", "d").alias("other")).alias("x"))
-    found = parts.groupBy(*_KEY).agg(F.collect_list("x").alias("x"))
+def text_of(words: str) -> Column:
+    """A fingerprint as text: four hexadecimal digits for each component, ``0000`` for one without k-mers."""
+    return F.concat(*[F.lower(F.lpad(F.hex(F.col(words)[w]), 16, "0")) for w in range(COMPONENTS // 4)])
 
-    def text(name: str) -> Column:
-        found = f"map_from_entries(transform(filter(x, e -> e.{name} is not null), e -> struct(e.part, e.{name})))"
-        return F.expr(f"array_join(transform(sequence(0, {COMPONENTS - 1}), j -> coalesce(try_element_at({found}, j), '{EMPTY}')), '')")
 
-    return found.select(*_KEY, text("own").alias("fingerprint"), text("other").alias("edited_fingerprint"))
+def _filled(word: str) -> str:
+    """The lowest bit of each 16 bits of a word: whether any of the 16 is set."""
+    for shift in (8, 4, 2, 1):
+        word = f"transform(array({word}), w -> w | shiftrightunsigned(w, {shift}))[0]"
+    return f"({word} & {0x0001000100010001}L)"
 
 
 def likeness(a: str, b: str) -> Column:
     """Share of equal components among those that either fingerprint has; 1 if neither has any."""
-    piece = "substring({0}, 4 * j + 1, 4)"
-    x, y = piece.format(a), piece.format(b)
-    count = "aggregate(sequence(0, {0}), 0, (n, j) -> n + if({1}, 1, 0))"
-    some = count.format(COMPONENTS - 1, f"{x} <> '{EMPTY}' or {y} <> '{EMPTY}'")
-    same = count.format(COMPONENTS - 1, f"{x} <> '{EMPTY}' and {x} = {y}")
-    return F.expr(f"if({a} = {b}, 1D, cast({same} as double) / {some})")
+    total = "aggregate(zip_with({0}, {1}, (x, y) -> bit_count({2})), 0, (n, w) -> n + w)"
+    same = total.format(a, b, f"{_filled('x')} & ~{_filled('(x ^ y)')}")
+    some = total.format(a, b, _filled("(x | y)"))
+    return F.expr(f"if({some} = 0, 1D, cast({same} as double) / {some})")
 
 
 def fingerprints(docs: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
@@ -132,20 +175,18 @@ def fingerprints(docs: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
     given = order.select(*[F.col(f"next.{c}").alias(c) for c in _KEY], *[F.col(c).alias(f"to_{c}") for c in _KEY], F.expr("n_chars div 2").cast("int").alias("half"))
     heads = texts.join(given, _KEY).select(*[F.col(f"to_{c}").alias(c) for c in _KEY], F.expr("left(text, half)").alias("head"))
     pairs = texts.join(heads, _KEY)
-    keep = F.expr("cast(length(text) - length(text) div 2 as int)")
-    pairs = pairs.select(*_KEY, "text", F.concat(F.left("text", keep), "head").alias("edited"))
-    edited = pairs.select(*_KEY, F.sha2("edited", 256).alias("edited_sha256"))
-    blank = F.lit(EMPTY * COMPONENTS)
+    pairs = pairs.select(*_KEY, "text", F.expr("cast(length(text) - length(text) div 2 as int)").alias("keep"), "head")
+    edited = pairs.select(*_KEY, F.sha2(F.expr("concat(left(text, keep), head)"), 256).alias("edited_sha256"))
+    none = F.array_repeat(F.lit(0).cast("long"), F.lit(COMPONENTS // 4))
     found = order.join(edited, _KEY).join(_signatures(pairs), _KEY, "left").select(
-        *_KEY, "n_chars", "rows", "next", "edited_sha256",
-        F.coalesce("fingerprint", blank).alias("fingerprint"), F.coalesce("edited_fingerprint", blank).alias("edited_fingerprint"),
+        *_ORDER, "n_chars", "rows", "next", "edited_sha256", F.coalesce("own", none).alias("own"), F.coalesce("other", none).alias("other"),
     )
     found = stage(found, "order-minhash")
-    after = found.select(*[F.col(c).alias(f"next_{c}") for c in _KEY], F.col("fingerprint").alias("next_fingerprint"))
+    after = found.select(*[F.col(c).alias(f"next_{c}") for c in _KEY], F.col("own").alias("following"))
     for c in _KEY:
         found = found.withColumn(f"next_{c}", F.col(f"next.{c}"))
     joined = found.join(after, [f"next_{c}" for c in _KEY]).select(
-        F.when(~F.col("missing"), F.col("id")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"), "rows",
+        F.when(~F.col("missing"), F.col("id")).alias("doc_id"), "n_chars", "edited_sha256", text_of("own").alias("fingerprint"),
+        text_of("other").alias("edited_fingerprint"), likeness("own", "other").alias("near_edited"), likeness("own", "following").alias("near_next"), "rows",
     )
     return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))).drop("rows", "copy")
