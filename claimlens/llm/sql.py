@@ -58,4 +58,24 @@ best AS (
            row_number() OVER (PARTITION BY doc_id, item_id ORDER BY common::DOUBLE / (total - common) DESC, start) AS place
     FROM scored WHERE common::DOUBLE / (total - common) >= 0.8)
 SELECT doc_id, item_id, n::INT AS n_words, start::INT AS start, similarity FROM best WHERE place = 1""",
+    # Straight from the definition: every string of 50 bytes with its smallest doc_id. Bytes are pairs of hexadecimal digits.
+    "op3_phrase_dedup": """
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS place, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (
+    SELECT r, place, x, substr(h, 2 * x + 1, 100) AS s
+    FROM (SELECT r, place, h, unnest(range(0, greatest(0, length(h) // 2 - 49))) AS x FROM d)),
+earliest AS (SELECT s, min(place) AS place FROM windows GROUP BY s),
+repeated AS (SELECT r, x FROM windows w JOIN earliest e ON w.s = e.s WHERE e.place < w.place),
+runs AS (
+    SELECT r, x, sum(CASE WHEN x - before <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY x) AS run
+    FROM (SELECT r, x, lag(x) OVER (PARTITION BY r ORDER BY x) AS before FROM repeated)),
+spans AS (SELECT r, min(x) AS b, max(x) + 50 AS e FROM runs GROUP BY r, run),
+gaps AS (SELECT r, b, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY b), 0) AS a FROM spans),
+kept AS (
+    SELECT r, count(*) AS n_spans, sum(e - b) AS n_removed, max(e) AS last, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY b) AS h
+    FROM gaps JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(k.h || substr(d.h, 2 * k.last + 1), d.h))) AS kept_sha256
+FROM d LEFT JOIN kept k USING (r)""",
 }
