@@ -104,8 +104,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def settle(number: int, blks: list[int], ones: list[bytes], twos: list[bytes]) -> pa.RecordBatch:
         sizes = [len(x) // 6 for x in ones]
-        one, two, of = _unpack48(ones), _unpack48(twos), np.repeat(np.arange(len(blks)), sizes)
-        order = np.lexsort((of, two, one))
+        one, two = _unpack48(ones), _unpack48(twos)
+        order = np.lexsort((two, one))  # stable: blocks stay in order
         one, two = one[order], two[order]
         new_one = np.r_[True, one[1:] != one[:-1]]
         new = new_one | np.r_[True, two[1:] != two[:-1]]
@@ -147,7 +147,7 @@ class _Block:
         number[None] = len(number)  # the largest; rows with the same doc_id do not count as earlier ones
         self.rank = np.array([number[doc] for doc in ids], np.int64)[self.phrases.doc]
         p = self.phrases
-        self.order = np.lexsort((self.rank, p.content, p.trigger))
+        self.order = np.lexsort((p.content, p.trigger))  # stable: phrases stay in order of the text, which is that of doc_id
         trigger, content, rank = p.trigger[self.order], p.content[self.order], self.rank[self.order]
         new_trigger = np.r_[True, trigger[1:] != trigger[:-1]][: len(trigger)]
         new = new_trigger | np.r_[True, content[1:] != content[:-1]][: len(trigger)]
@@ -168,10 +168,10 @@ class _Block:
         """
         state = np.where(self.crowded, OPEN, states[self.key]) if len(self.key) else states
         self.settled = self.order[self.repeated | (state == REPEATED)[self.run]]
-        left = self.order[~self.repeated & (state == OPEN)[self.run]]
+        left = np.sort(self.order[~self.repeated & (state == OPEN)[self.run]])
         place, phrase, one, two = self.phrases.windows(left, self.data)
         rank = self.rank[phrase]
-        order = np.lexsort((rank, two & LOW48, one))
+        order = np.argsort(one, kind="stable")  # windows stay in order of the text
         place, one, two, rank = place[order], one[order], two[order], rank[order]
         new = np.r_[True, (one[1:] != one[:-1]) | (two[1:] & LOW48 != two[:-1] & LOW48)][: len(one)]
         heads = np.flatnonzero(new)
@@ -183,10 +183,10 @@ class _Block:
         """Per byte whether it goes."""
         place, key, earlier, _, _ = self.open_windows(states)
         gone = place[earlier | (window_states[key] == REPEATED)] if len(key) else place
-        step = np.zeros(len(self.data) + 1, np.int32)
-        np.add.at(step, np.r_[self.phrases.first[self.settled], gone], 1)
-        np.add.at(step, np.r_[self.phrases.last[self.settled] + SPAN, gone + SPAN], -1)
-        return np.cumsum(step)[:-1] > 0
+        n = len(self.data) + 1
+        begin = np.bincount(np.r_[self.phrases.first[self.settled], gone], minlength=n)
+        end = np.bincount(np.r_[self.phrases.last[self.settled], gone] + SPAN, minlength=n)
+        return np.cumsum(begin - end)[:-1] > 0
 
 
 def _each_block(batches: Iterator[pa.RecordBatch]):
