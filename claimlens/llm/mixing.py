@@ -47,7 +47,7 @@ def source_targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, most_ep
 
 
 def mix_sources(
-    docs: DataFrame, weights: Sequence[float] = WEIGHTS, most_epochs: int = MOST_EPOCHS, seed: str = "", carry: bool = False,
+    docs: DataFrame, weights: Sequence[float] = WEIGHTS, most_epochs: int = MOST_EPOCHS, seed: str = "", keep: Sequence[str] = (),
 ) -> DataFrame:
     """How many words of each document of (doc_id, text, source) the mixture takes.
 
@@ -56,12 +56,11 @@ def mix_sources(
     epochs of the source as often as they fit, then documents in the order of their keys; the document at the cut is
     taken up to its last word that fits, so a source's words add up to its budget exactly.
 
-    Returns doc_id, source, size, source_size, weight, target, taken; with ``carry`` also the whole input row as
-    struct ``row``. Null texts and texts without words have size 0 and are never taken; a null source is a source of
+    Returns doc_id, source, size, source_size, weight, target, taken, and the columns named by ``keep``. Null texts and texts without words have size 0 and are never taken; a null source is a source of
     its own; null or repeated doc_ids are rows like any other (equal rows may swap places); an empty table gives an
-    empty result. The key is an MD5 of ``seed`` and doc_id, so reruns agree. Other columns are ignored or carried.
+    empty result. The key is an MD5 of ``seed`` and doc_id, so reruns agree. Other columns are ignored.
     """
-    sized = pack_row(docs, "doc_id", "source", "text").withColumn("size", n_words()).drop(*([] if carry else ["row"]), "text")
+    sized = docs.select("doc_id", "source", n_words().alias("size"), *keep)
     targets = source_targets(sized.select("source", "size"), weights, most_epochs)
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     keyed = sized.withColumns({"key": key, "tie": F.monotonically_increasing_id()})
@@ -75,7 +74,7 @@ def mix_sources(
     last = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("before")))
     return summed.select(
         "doc_id", "source", "size", "source_size", "weight", "target", (epochs * F.col("size") + last).alias("taken"),
-        *(["row"] if carry else []),
+        *keep,
     )
 
 
@@ -85,7 +84,9 @@ def mixture(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most_epochs: in
     The document at a source's cut appears once more with the words that still fit, joined by blanks (``n_chars``, if
     there is such a column, follows). Documents that the mixture takes no word of are left out.
     """
-    mixed = mix_sources(docs, weights, most_epochs, seed, carry=True).where("taken > 0")
+    rows = stage(pack_row(docs, "doc_id", "source", "text").withColumn("row_id", F.monotonically_increasing_id()), "mix-documents")
+    decided = mix_sources(rows, weights, most_epochs, seed, keep=["row_id"]).where("taken > 0").select("row_id", "size", "taken")
+    mixed = rows.select("row_id", "row").join(decided, "row_id")
     copies = F.array_repeat("row", F.expr("cast(taken div size as int)"))
     whole = mixed.where("taken >= size").select(F.explode(copies).alias("row"))
     part = mixed.where("taken % size > 0").withColumn("words", F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0)))

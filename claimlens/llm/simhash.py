@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -189,9 +189,18 @@ def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, most_bits: int = MOST_
 
     Columns are those of ``docs``. A component without any doc_id keeps one row too.
     """
+    text_key = F.xxhash64(F.coalesce("text", F.lit("")))
+    marked = stage(with_fingerprints(docs.select("doc_id", text_key.alias("text_key"), "text"), words), "simhash-rows")
+    found = _components(marked, most_bits)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id"), F.col("text_key"))).alias("best")
+    key = ["own_missing", "own_id", "own_key"]
+
+    def keyed(doc_id: Column, text_hash: Column) -> list[Column]:
+        return [x.alias(name) for x, name in zip((doc_id.isNull(), F.xxhash64(doc_id), text_hash), key)]
+
+    kept = found.groupBy("root").agg(best).select(*keyed(F.col("best.doc_id"), F.col("best.text_key"))).distinct()
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    packed = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("tie"), row)
-    marked = stage(with_fingerprints(packed, words), "simhash-rows")
-    found = _components(marked.select("doc_id", "tie", "fp"), most_bits)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("tie").alias("tie"))
-    return marked.join(first, "tie", "left_semi").select("row.*")
+    rows = docs.select(*keyed(F.col("doc_id"), text_key), row).join(kept, key, "left_semi")
+    # rows of one doc_id and text are alike but for other columns: one of them stays
+    again = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("row")))
+    return rows.withColumn("again", again).where("again = 1").select("row.*")

@@ -22,9 +22,12 @@ TOKENIZER = "word_bpe_49k.json"
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents of a known language, by text, catalogue entry and source."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select("text", F.col("lang").alias("declared"), F.col("source").alias("host"), row)
-    return language.identify(rows, language.fit(docs, "text", "lang")).where("accepted").select("row.*")
+    # the same text, entry and source get the same decision, so their hashes name what goes; that is little
+    key = [F.xxhash64("text", F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit("")), F.lit(k)) for k in (1, 2)]
+    evidence = docs.select(key[0].alias("key_1"), key[1].alias("key_2"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"))
+    unknown = language.identify(evidence, language.fit(docs, "text", "lang")).where("not accepted").select("key_1", "key_2").distinct()
+    unknown = stage(unknown, "pipeline-unknown")
+    return docs.join(unknown, (key[0] == unknown["key_1"]) & (key[1] == unknown["key_2"]), "left_anti")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
