@@ -55,6 +55,7 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20
             end = max(begin + 1, int(np.searchsorted(at, at[begin] + most, "right")) - 1)
             yield batch.slice(begin, end - begin)
             begin = end
+        pa.default_memory_pool().release_unused()  # workers live on: give back what earlier batches took
 
 
 def table(schema: pa.Schema, *columns) -> pa.RecordBatch:
