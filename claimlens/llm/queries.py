@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm import decontaminate, html_text, language, mixing, order_minhash, phrase_dedup, simhash, token_counts, token_files
+from claimlens.llm import decontaminate, html_text, language, mixing, order_minhash, phrase_dedup, revisits, simhash, token_counts, token_files
 from claimlens.llm.common import read_table
 from claimlens.llm.sql import ORACLE
 from claimlens.session import scratch_path
@@ -36,6 +36,13 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents")).drop("weight")
 
 
+@query
+def op2_resolve_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisits.resolve(revisits.captures_of(read_table(spark, sf_dir, "pages")))
+    fields = F.array_join(F.transform("merged_headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"])), "\n")
+    return found.select("record_id", "url_key", "captured_at", "outcome", "response_id", "response_sha256", fields.alias("headers"))
+
+
 @query
 def op3_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = phrase_dedup.dedup_spans(read_table(spark, sf_dir, "documents"))

@@ -28,6 +28,43 @@ cut AS (
 SELECT doc_id, source, size::BIGINT AS size, source_size, target,
        (epochs * size + greatest(0, least(size, floor(target)::BIGINT - epochs * source_size - before)))::BIGINT AS taken
 FROM cut""",
+    # An as-of join by its definition: of all earlier full responses of the URL the last.
+    "op2_resolve_revisits": r"""
+WITH parsed AS (
+    SELECT page_id, sha256(html) AS sha, octet_length(encode(html)) AS n_bytes, trim(url) AS u,
+           regexp_extract(trim(url), '^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)(?::([0-9]*))?([^?#]*)(?:\?([^#]*))?',
+                          ['scheme', 'host', 'port', 'path', 'query']) AS p
+    FROM pages),
+cut AS (
+    SELECT *, regexp_replace(regexp_replace(lower(p.host), '\.$', ''), '^www[0-9]*\.', '') AS host, regexp_replace(p.path, '/+$', '') AS path,
+           list_sort(list_filter(string_split(p.query, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[A-Za-z_]*|fbclid|gclid)(=|$)'))) AS given
+    FROM parsed),
+keyed AS (
+    SELECT *, CASE WHEN host = '' THEN u ELSE host
+           || CASE WHEN p.port = '' OR lower(p.scheme) || p.port IN ('http80', 'https443') THEN '' ELSE ':' || p.port END
+           || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(given) > 0 THEN '?' || array_to_string(given, '&') ELSE '' END END AS url_key
+    FROM cut),
+captures AS (
+    SELECT page_id, k, url_key, sha, n_bytes, page_id * 4 + k AS record_id, 1700000000 + (page_id * 7919) % 86400 + k * 86400 AS captured_at,
+           '"' || left(sha, 16) || CASE WHEN k = 2 AND page_id % 5 = 0 THEN 'x' ELSE '' END || '"' AS tag
+    FROM keyed, (SELECT unnest([0, 1, 2, 3]) AS k)),
+pairs AS (
+    SELECT c.*, f.record_id AS r_id, f.page_id AS r_page, f.sha AS r_sha, f.n_bytes AS r_bytes, f.captured_at AS r_at, f.tag AS r_tag,
+           row_number() OVER (PARTITION BY c.record_id ORDER BY f.captured_at DESC NULLS LAST, f.record_id DESC) AS place
+    FROM captures c LEFT JOIN captures f
+         ON c.k > 0 AND f.k = 0 AND f.page_id % 11 <> 0 AND f.url_key = c.url_key AND f.captured_at < c.captured_at),
+judged AS (
+    SELECT *, CASE WHEN k = 0 THEN 'response' WHEN r_id IS NULL THEN 'no response'
+                   WHEN k < 3 THEN CASE WHEN tag = r_tag THEN 'resolved' ELSE 'changed' END
+                   WHEN page_id % 7 = 0 THEN 'unchecked' WHEN page_id = r_page THEN 'resolved' ELSE 'changed' END AS outcome
+    FROM pairs WHERE place = 1)
+SELECT record_id, url_key, captured_at, outcome, CASE WHEN outcome = 'resolved' THEN r_id END AS response_id,
+       CASE WHEN outcome = 'resolved' THEN r_sha END AS response_sha256,
+       CASE WHEN outcome = 'resolved' THEN 'Content-Type: text/html\nContent-Length: '.replace('\n', chr(10)) || r_bytes || chr(10)
+            || CASE WHEN k < 3 THEN 'Last-Modified: ' || r_page ELSE 'ETag: ' || r_tag END || chr(10) || 'Server: a' || chr(10)
+            || 'date: ' || captured_at || chr(10) || 'cache-control: max-age=60' || chr(10)
+            || CASE WHEN k < 3 THEN 'etag: W/' || tag ELSE 'last-modified: ' || page_id END END AS headers
+FROM judged""",
     # Every window that a common shingle lays, compared with every item of its length: no fingerprints.
     "op4_decontaminate": r"""
 WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS words FROM documents),
