@@ -23,6 +23,7 @@ from claimlens.llm.common import by_bytes
 LONG = 70  # characters
 STOP_HIGH, STOP_LOW = 0.30, 0.20  # share of stop words
 LINKED = 0.5  # share of characters inside links
+NAMED = 4  # by which the text under a name has to be more
 
 # Frequent function words of four languages.
 STOP_WORDS = frozenset("""
@@ -39,13 +40,13 @@ h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pr
 th thead title tr ul
 """.split())
 SKIPPED = frozenset("script style noscript template head title iframe object svg canvas audio video select textarea button".split())
-ASIDE = frozenset("nav footer aside form menu dialog fieldset search".split())
+ASIDE = frozenset("nav footer aside menu dialog fieldset search".split())
 ARTICLE = frozenset("article main".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Elements that are only followed for their effect on the blocks inside them.
-FOLLOWED = ASIDE | ARTICLE | frozenset("header section div ul ol table td details figure body html span p a li h1 h2 h3 h4 h5 h6 blockquote".split())
+FOLLOWED = ASIDE | ARTICLE | frozenset("form header section div ul ol table td details figure body html span p a li h1 h2 h3 h4 h5 h6 blockquote".split())
 
-# Words in class, id and role that name what is not the article.
+# Words in class, id and role that name what is hardly the article; they lower a block's score, no more.
 _ASIDE_NAMES = re.compile(
     r"(?:^|[^a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|"
     r"side-?bar\w*|menus?|nav\w*|breadcrumbs?|pagination|pager|foot(?:er)?|masthead|top-?bar|comments?|comment\w*|disqus|repl(?:y|ies)|discussion|"
@@ -53,11 +54,15 @@ _ASIDE_NAMES = re.compile(
     r"navigation|form|tags?|copyright|legal|skip)(?:$|[^a-z])"
 )
 _ARTICLE_NAMES = re.compile(r"(?:^|[^a-z])(?:article|articlebody|post-?content|entry-?content|main-?content|story-?body)(?:$|[^a-z])")
+# Class words that tell a state or subject of an element, not what it is.
+_STATE = re.compile(r"(?:no|not|has|have|with|without|is|hide|tag|category|cat|type|format|status|post|author)-")
+_UNNAMED = frozenset("html body main article".split())
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<raw>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"'<]|\"[^\"<]*\"|'[^'<]*')*+>|[^>]*(?:>|\Z))", re.S)
 _NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?(?:until|false))|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+_HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 _END = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in SKIPPED}
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -68,21 +73,42 @@ class Block:
     text: str
     linked: int  # characters inside links
     part: str  # "aside", "article" or "page"
+    names: tuple[str, ...] = ()  # what the elements around it are named, if that is hardly the article
+
+
+def _hidden(rest: str) -> bool:
+    """Whether attributes hide the element: ``hidden``, or a style that does not show it."""
+    if "hidden" not in (low := rest.lower()) and "none" not in low:
+        return False
+    for m in _ATTRIBUTE.finditer(low):
+        value = (m[2] or "").strip("\"'")
+        if m[1] == "hidden" and value not in ("until-found", "false") or m[1] == "style" and _HIDING.search(value):
+            return True
+    return False
+
+
+def _aside_name(names: str) -> str | None:
+    """The word by which names tell that an element is hardly the article."""
+    for token in names.split():
+        if (hit := None if _STATE.match(token) else _ASIDE_NAMES.search(token)):
+            return hit[0].strip("-_:.0123456789")
+    return None
 
 
 def blocks_of(html: str) -> list[Block]:
     """Blocks of a page in its order, with what they are part of; those without text are left out."""
     found: list[Block] = []
-    stack: list[tuple[str, str]] = []  # (element, part inside it)
+    stack: list[tuple[str, str, tuple[str, ...]]] = []  # (element, part and names around it)
     pieces: list[tuple[str, bool]] = []
     links, at, part = 0, 0, "page"
+    around: tuple[str, ...] = ()
 
     def close_block() -> None:
         if pieces:
             text = _SPACE.sub(" ", unescape("".join(p for p, _ in pieces))).strip()
             if text:
                 linked = len(_SPACE.sub(" ", unescape("".join(p for p, inside in pieces if inside))).strip())
-                found.append(Block(text, linked, part))
+                found.append(Block(text, linked, part, around))
             pieces.clear()
 
     while at < len(html):
@@ -117,23 +143,27 @@ def blocks_of(html: str) -> list[Block]:
         if not closes:
             rest = tag["rest"]
             names = " ".join(x for m in _NAMED.findall(rest) for x in m if x).lower() if "=" in rest else ""
-            inner = part
+            inner, within = part, around
             if part != "aside":
-                if name in ASIDE or name == "header" and part != "article" or names and name not in ("body", "html") and _ASIDE_NAMES.search(names) or "=" in rest and _HIDDEN.search(rest) or rest.rstrip("/> ").endswith(" hidden"):
+                if name in ASIDE or name == "header" and part != "article" or name not in ("html", "body") and _hidden(rest):
                     inner = "aside"
-                elif name in ARTICLE or names and name not in ("body", "html") and _ARTICLE_NAMES.search(names):
-                    inner = "article"
-            if inner != part or name not in ("p", "a", "span", "li"):
-                if inner != part:
+                else:
+                    if name in ARTICLE or names and name not in _UNNAMED and _ARTICLE_NAMES.search(names):
+                        inner = "article"
+                    if (called := "form" if name == "form" else _aside_name(names) if names and name not in _UNNAMED else None):
+                        within = (*around, called)
+            changed = inner != part or within != around
+            if changed or name not in ("p", "a", "span", "li"):
+                if changed:
                     close_block()
-                stack.append((name, part))
-                part = inner
+                stack.append((name, part, around))
+                part, around = inner, within
         else:
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == name:
-                    if stack[depth][1] != part:
+                    if stack[depth][1:] != (part, around):
                         close_block()
-                    part = stack[depth][1]
+                    part, around = stack[depth][1:]
                     del stack[depth:]
                     break
                 if name in ("p", "a", "span", "li"):
@@ -180,9 +210,22 @@ def second_pass(blocks: list[Block], labels: list[bool | None]) -> list[bool]:
     return out
 
 
+def without_named(blocks: list[Block]) -> list[Block]:
+    """Blocks outside of named elements, and those under the names that hold most of the page's main text.
+
+    Each name around a block divides the main text found under these names by NAMED. Names only count as wrong, for a
+    layout or a whole page, if what is left is still the most.
+    """
+    found: dict[tuple[str, ...], int] = {(): 0}
+    for b in blocks:
+        found[b.names] = found.get(b.names, 0) + (len(b.text) if first_pass(b) else 0)
+    best = max(found, key=lambda names: (found[names] / NAMED ** len(names), -len(names), names))
+    return [b for b in blocks if b.names in ((), best)]
+
+
 def main_text(html: str | None) -> str:
     """Main text of a page, its blocks joined by blanks; a page with an article has no main text outside of it."""
-    blocks = blocks_of(html or "")
+    blocks = without_named(blocks_of(html or ""))
     if any(b.part == "article" for b in blocks):
         blocks = [b for b in blocks if b.part == "article"]
     keep = second_pass(blocks, [first_pass(b) for b in blocks])

@@ -39,6 +39,22 @@ def test_small_pages(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize("start,end", [
+    ('<body style="overflow-x:hidden"><p>', "</body>"), ('<main class="overflow-hidden"><p>', "</main>"), ('<div style="overflow:hidden"><p>', "</div>"),
+    ('<article class="post tag-politics"><p>', "</article>"), ('<main class="site-main no-sidebar"><p>', "</main>"),
+    ('<article class="entry has-comments"><p>', "</article>"), ('<article class="widget"><p>', "</article>"), ('<div class="post tag-x has-comments"><p>', "</div>"),
+    ('<div class="layout sidebar-right"><article><p>', "</article></div>"), ('<form id="aspnetForm"><div><p>', "</div></form>"),
+    ('<div data-x="hidden" aria-label="hidden gems"><p>', "</div>"), ("<div class='widget'><p>", "</p></div><div class='ad'><p>Buy it.</p></div>"),
+])
+def test_names_do_not_throw_an_article_away(start, end):
+    assert main_text(start + LONG + end) == LONG
+
+
+@pytest.mark.parametrize("tag", ['div hidden', 'div class="x" hidden=""', 'div style="color:red; visibility: hidden"', "div style='display:none'", 'div class="comments"', "nav"])
+def test_hidden_and_named_parts_stay_out(tag):
+    assert main_text(f"<article><p>{LONG}</p><{tag}>{LONG}</{tag.split()[0]}><p>The end</p></article>") == f"{LONG} The end"
+
+
 def test_blocks_survive_any_markup():
     rng = random.Random(4)
     bits = ["<p>", "</p>", "<article>", "</article>", "<nav>", "</nav>", "<a href='", "'>", '"', "<", ">", "</", "x y", "&amp;", "&#", "<!--", "-->", "<script>", "</script>", "<div class=ad>", "</div>"]
