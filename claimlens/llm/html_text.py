@@ -22,16 +22,25 @@ from claimlens.llm.common import by_bytes
 # Limits of the first pass.
 LONG = 70  # characters
 STOP_HIGH, STOP_LOW = 0.30, 0.20  # share of stop words
+STOP_KNOWN = 0.20  # share on a whole page from which its language is known
+STOP_ARTICLE, ARTICLE_LONG = 0.02, 280  # inside an article a block that long is not main text below that share
+VERY_LONG, FEW_LINKS = 140, 0.2  # characters and share inside links from which the lower share, or none in an unknown language, is enough
 LINKED = 0.5  # share of characters inside links
 NAMED = 4  # by which the text under a name has to be more
 
-# Frequent function words of four languages.
-STOP_WORDS = frozenset("""
-the of and to in a is that for it was on with as are be by this at from or have an they which you were not
-der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie
-de la le et les des en un du une que est pour qui dans par plus pas au sur ne se ce il sont avec ses ou elle leur
-el los las del que y en un una por con no su para es al lo como más o pero sus le ha me si sin sobre este ya
-""".split())
+# Frequent function words by language.
+STOP_WORDS = {language: frozenset(words.split()) for language, words in {
+    "en": "the of and to in a is that for it was on with as are be by this at from or have an they which you were not",
+    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie",
+    "fr": "de la le et les des en un du une est pour qui que dans par plus pas au sur ne se ce il sont avec ses ou elle leur",
+    "es": "de la el los las del que y en un una por con no su para es al lo como más o pero sus le ha me si sin sobre este ya",
+    "it": "di e che la il un a per in una è non sono del si della le con dei da al come i più nel alla ma lo gli ha delle o ed",
+    "pt": "de a o que e do da em um para é com não uma os no se na por mais as dos como mas ao das à seu sua ou ser quando foi",
+    "nl": "de van een het en in is dat op te zijn voor met die niet aan er om ook als maar bij door over ze uit nog naar was wordt",
+    "pl": "i w na z się nie do to że jest o jak po od za co ale przez dla tak są był która który oraz czy tym być ich jego może",
+    "sv": "och i att det som en på är av för med den till inte ett om har de var han från men sig kan så vi eller hon ska när",
+    "ru": "и в не на что с по как это он к из но за то все у от так о для же его а был она они было или мы бы при только",
+}.items()}
 
 # Elements by what they do. All others are part of a line.
 BREAKS = frozenset("""
@@ -64,6 +73,7 @@ _NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^'
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 _END = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in SKIPPED}
+_LANG = re.compile(r"<html[^>]*?\slang\s*=\s*[\"']?([A-Za-z_-]+)", re.I)
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -172,27 +182,53 @@ def blocks_of(html: str) -> list[Block]:
     return found
 
 
-def first_pass(block: Block) -> bool | None:
-    """True: main text, False: not, None: undecided."""
+def _words(text: str) -> list[str]:
+    return [w.lower() for w in _WORD.findall(text)]
+
+
+def stop_words_of(blocks: list[Block], declared: str | None) -> frozenset[str] | None:
+    """Stop words of the language that the long blocks of a page show: the declared one, else the one with most of them.
+
+    None, if none of the known languages has enough of them: the declaration may be wrong, or the language unknown.
+    """
+    words = [w for b in blocks if b.part != "aside" and len(b.text) >= LONG for w in _words(b.text)]
+    share = {k: sum(w in stop for w in words) / max(1, len(words)) for k, stop in STOP_WORDS.items()}
+    code = re.split("[-_]", (declared or "").strip().lower())[0]
+    if share.get(code, 0) >= STOP_KNOWN:
+        return STOP_WORDS[code]
+    best = max(share, key=lambda k: share[k])
+    return STOP_WORDS[best] if share[best] >= STOP_KNOWN else None
+
+
+def first_pass(block: Block, stop_words: frozenset[str] | None) -> bool | None:
+    """True: main text, False: not, None: undecided. Without stop words, length and links decide.
+
+    In an article the limits are lower: a prior, no more.
+    """
     if block.part == "aside":
         return False
+    article = block.part == "article"
     if block.linked > LINKED * len(block.text):
-        return None if block.part == "article" else False
+        return None if article else False
     if len(block.text) < LONG:
         return None
-    words = [w.lower() for w in _WORD.findall(block.text)]
-    stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if stop >= STOP_HIGH or block.part == "article":
-        return True
-    return None if stop >= STOP_LOW else False
+    prose = len(block.text) >= VERY_LONG and block.linked <= FEW_LINKS * len(block.text)
+    if stop_words is None:
+        return True if article or prose else None
+    words = _words(block.text)
+    stop = sum(w in stop_words for w in words) / max(1, len(words))
+    if article:
+        return True if stop >= STOP_LOW else False if len(block.text) >= ARTICLE_LONG and stop < STOP_ARTICLE else None
+    return True if stop >= (STOP_LOW if prose else STOP_HIGH) else None if stop >= STOP_LOW else False
 
 
 def second_pass(blocks: list[Block], labels: list[bool | None]) -> list[bool]:
     """Undecided blocks take the label of the nearest decided one of their part; main text, if two are as near.
 
-    Without any decided block the article is kept, and on a page without an article whatever is not a run of links.
+    In a part without any decided block the article is kept, and on a page without an article whatever is not a run of links.
     """
     out: list[bool] = [bool(x) for x in labels]
+    has_article = any(b.part == "article" for b in blocks)
     for part in ("article", "page"):
         places = [k for k, b in enumerate(blocks) if b.part == part]
         decided = [k for k in places if labels[k] is not None]
@@ -206,11 +242,18 @@ def second_pass(blocks: list[Block], labels: list[bool | None]) -> list[bool]:
             if near:
                 out[k] = bool(labels[min(near, key=lambda d: (abs(d - k), not labels[d]))])
             else:
-                out[k] = part == "article" or blocks[k].linked <= LINKED * len(blocks[k].text)
+                out[k] = part == "article" or not has_article and blocks[k].linked <= LINKED * len(blocks[k].text)
     return out
 
 
-def without_named(blocks: list[Block]) -> list[Block]:
+def _evidence(block: Block, stop_words: frozenset[str] | None) -> int:
+    """Characters of main text that a block is counted for: undecided text of an article counts as well."""
+    label = first_pass(block, stop_words)
+    some = label or label is None and block.part == "article" and block.linked <= LINKED * len(block.text)
+    return len(block.text) if some else 0
+
+
+def without_named(blocks: list[Block], stop_words: frozenset[str] | None) -> list[Block]:
     """Blocks outside of named elements, and those under the names that hold most of the page's main text.
 
     Each name around a block divides the main text found under these names by NAMED. Names only count as wrong, for a
@@ -218,17 +261,25 @@ def without_named(blocks: list[Block]) -> list[Block]:
     """
     found: dict[tuple[str, ...], int] = {(): 0}
     for b in blocks:
-        found[b.names] = found.get(b.names, 0) + (len(b.text) if first_pass(b) else 0)
+        found[b.names] = found.get(b.names, 0) + _evidence(b, stop_words)
     best = max(found, key=lambda names: (found[names] / NAMED ** len(names), -len(names), names))
     return [b for b in blocks if b.names in ((), best)]
 
 
 def main_text(html: str | None) -> str:
-    """Main text of a page, its blocks joined by blanks; a page with an article has no main text outside of it."""
-    blocks = without_named(blocks_of(html or ""))
-    if any(b.part == "article" for b in blocks):
-        blocks = [b for b in blocks if b.part == "article"]
-    keep = second_pass(blocks, [first_pass(b) for b in blocks])
+    """Main text of a page, its blocks joined by blanks.
+
+    Being in an article element is a prior: it lowers the limits of the first pass, if the articles of the page hold at
+    least as much main text as the rest; else they are blocks like others, say cards of related stories.
+    """
+    blocks = [b for b in blocks_of(html or "") if b.part != "aside"]
+    lang = _LANG.search(html or "")
+    stop_words = stop_words_of(blocks, lang[1] if lang else None)
+    blocks = without_named(blocks, stop_words)
+    inside, outside = (sum(_evidence(b, stop_words) for b in blocks if b.part == part) for part in ("article", "page"))
+    if inside < outside:
+        blocks = [Block(b.text, b.linked, "page") for b in blocks]
+    keep = second_pass(blocks, [first_pass(b, stop_words) for b in blocks])
     return " ".join(b.text for b, k in zip(blocks, keep) if k)
 
 

@@ -55,6 +55,30 @@ def test_hidden_and_named_parts_stay_out(tag):
     assert main_text(f"<article><p>{LONG}</p><{tag}>{LONG}</{tag.split()[0]}><p>The end</p></article>") == f"{LONG} The end"
 
 
+def test_related_cards_do_not_replace_the_text():
+    card = "<article><a href=1>Another story to be read by all of the readers that are here on this site today</a><p>More.</p></article>"
+    got = main_text(f"<body><div><p>{LONG}</p><p>{LONG}</p></div>{card * 3}</body>")
+    assert got.startswith(f"{LONG} {LONG}") and "Another" not in got
+
+
+def test_stop_words_decide_inside_an_article():
+    junk = "Zzxx qqyy wwkk " * 30
+    assert main_text(f"<article><p>{LONG}</p><p>{junk}</p><p>{LONG}</p></article>") == f"{LONG} {LONG}"
+
+
+@pytest.mark.parametrize("lang", ["pl", "hu", "en", ""])
+@pytest.mark.parametrize("text", [
+    "W tym roku rząd przedstawił nowy plan rozwoju kolei, który ma objąć całą Polskę, i zapowiedział, że budowa nowych linii zacznie się jeszcze przed końcem lata.",
+    "Regeringen presenterade en ny plan för järnvägen som ska omfatta hela landet, och sade att bygget av de nya linjerna börjar redan före sommarens slut.",
+    "Правительство представило новый план развития железных дорог, который охватит всю страну, и сообщило, что строительство новых линий начнётся уже до конца лета.",
+    "A kormány új tervet mutatott be a vasút fejlesztésére, amely az egész országra kiterjed, és bejelentette, hogy az új vonalak építése már a nyár vége előtt megkezdődik.",
+    "政府公布了新的铁路发展计划，该计划将覆盖全国，并宣布新线路的建设将在夏季结束之前开始。" * 4,
+])
+def test_languages_beside_the_given_ones(lang, text):
+    menu = "<div><a href=1>One</a> <a href=2>Two</a> <a href=3>Three</a></div>"
+    assert main_text(f'<html lang="{lang}"><body>{menu}<div><p>{text}</p></div>{menu}</body></html>') == text
+
+
 def test_blocks_survive_any_markup():
     rng = random.Random(4)
     bits = ["<p>", "</p>", "<article>", "</article>", "<nav>", "</nav>", "<a href='", "'>", '"', "<", ">", "</", "x y", "&amp;", "&#", "<!--", "-->", "<script>", "</script>", "<div class=ad>", "</div>"]
