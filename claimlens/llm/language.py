@@ -21,8 +21,9 @@ from pyspark.sql import types as T
 from claimlens.llm.common import by_bytes, stage
 
 BUCKETS = 1 << 16
-# Bounds of the labelled sample that the text model is fitted on: rows, and characters of each row.
-SAMPLE_ROWS, SAMPLE_CHARS = 4000, 20_000
+# Bounds of the labelled sample that the text model is fitted on: rows in equal parts for all labels, rows that any label
+# may have even so, and characters of each row.
+SAMPLE_ROWS, LABEL_ROWS, SAMPLE_CHARS = 4000, 50, 20_000
 # Trigrams overlap; each letter counts in three of them.
 OVERLAP = 3.0
 CLEAR = 0.99  # posterior of the text alone from which a document is counted
@@ -57,20 +58,28 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(labelled: DataFrame, text: str, label: str, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> LanguageModel:
-    """Fits on at most ``rows`` different labelled texts, those with the least hashes, and ``chars`` characters of each.
+    """Fits on different texts of every label, at most ``rows`` over the number of labels or LABEL_ROWS of each, if that is more.
 
-    The hash below which texts are taken follows from the number of labelled rows, with five per cent to spare, so tasks
-    send the driver nothing but the sample. Rows without text or label are left out. Without any labelled row there is
-    one language, ``und``.
+    Of each label those with the least hashes are taken, and ``chars`` characters of each. Different texts are counted
+    per label over all rows; the hash below which a label's texts are taken follows, with five per cent to spare, so
+    tasks send the driver nothing but the sample, and no label is too rare to be known. Rows without text or label are
+    left out. Without any labelled row there is one language, ``und``.
     """
     known = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).alias("label"), F.col(text).alias("text"))
-    share = min(1.0, 0.95 * rows / max(1, known.count()))
-    taken = known.where(F.xxhash64("text") <= int(share * 2**64) - 2**63 - 1) if share < 1 else known
-    sample = taken.select("label", F.left("text", F.lit(chars)).alias("text")).distinct().limit(rows).collect()
-    languages = tuple(sorted({r["label"] for r in sample})) or ("und",)
+    known = known.withColumn("hash", F.xxhash64("text"))
+    sizes = {r["label"]: r["n"] for r in known.select("label", "hash").distinct().groupBy("label").agg(F.count("*").alias("n")).collect()}
+    each = max(LABEL_ROWS, rows // max(1, len(sizes)))
+    cuts = {k: 2**63 - 1 if n <= each else int(0.95 * each / n * 2**64) - 2**63 - 1 for k, n in sizes.items()}
+    found: dict[str, list[str]] = {}
+    if cuts:
+        below = F.create_map(*[x for k, cut in cuts.items() for x in (F.lit(k), F.lit(cut).cast("long"))])
+        taken = known.where(F.col("hash") <= F.element_at(below, F.col("label"))).select("label", "hash", F.left("text", F.lit(chars)).alias("text"))
+        for r in sorted(taken.distinct().collect(), key=lambda r: (r["label"], r["hash"], r["text"])):
+            found.setdefault(r["label"], []).append(r["text"])
+    languages = tuple(sorted(found)) or ("und",)
     counts = np.full((BUCKETS, len(languages)), 0.5)
     for k, language in enumerate(languages):
-        texts = [r["text"] for r in sample if r["label"] == language]
+        texts = found.get(language, [])[:each]
         for at in range(0, len(texts), 100):
             counts[:, k] += np.bincount(_grams(texts[at : at + 100])[0], minlength=BUCKETS)
     return LanguageModel(languages, np.log(counts / counts.sum(axis=0)).astype(np.float32))

@@ -60,3 +60,12 @@ def test_empty_and_long(spark, model):
     assert language.fit(none, "text", "declared").languages == ("und",)
     long = spark.createDataFrame([("the and of that " * 300_000, None, None)], "text string, declared string, host string")
     assert language.identify(long, model).first().language == "en"
+
+
+def test_every_label_is_modelled(spark):
+    rows = [(f"the {i} and {'abcdefghij'[i % 10]} of that", "en") for i in range(3000)] + [("и в не на что", "ru")] + [(f"że się {i % 3}", "pl") for i in range(900)]
+    df = spark.createDataFrame(rows + [(None, "xx"), ("x", None)], "text string, lang string")
+    model = language.fit(df, "text", "lang", rows=120)
+    assert model.languages == ("en", "pl", "ru") and model.table.shape[1] == 3
+    got = language.identify(df.selectExpr("text", "lang declared", "'h' host").where("declared = 'ru'"), model).first()
+    assert got.language == "ru"
