@@ -2,13 +2,15 @@
 
 A text is cut into tokens at white space; a token of more than 64 bytes is cut into pieces of 16 signs, so that text
 without blanks has several. Its k-mers are K tokens in a row, each numbered by how often it occurred before. A hash of k-mer and number decides
-which are the least. The components of a fingerprint take k-mers of disjoint ranges of hashes: each has two ranges,
-selects the least numbered k-mer of both, keeps the two in the order of the text, and hashes the pair. So it changes
-with what the text holds, and with the order in which it stands.
+which are the least, and deals numbered k-mers into ranges. Each component has an order of its own of all ranges, takes
+the least numbered k-mer of each of the first two ranges that hold one, keeps the two in the order of the text, and
+hashes the pair. So it changes with what the text holds, and with the order in which it stands, however short it is.
 """
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,12 +20,20 @@ BLANKS = "[\\x20\\x09-\\x0D]+"
 LONG_TOKEN, PIECE = 64, 16
 K = 3
 COMPONENTS = 64
+RANGES = 2 * COMPONENTS
 TASK_BYTES = 4 << 20  # text whose k-mers one task sorts
 _KEY = ["id", "hash"]
 _ORDER = ["missing", "id", "hash"]
 _PLACES = (1 << 30) - 1  # a text of 2 GB has fewer tokens
 
 
+def _orders() -> list[list[int]]:
+    """Per component its order of the ranges: two of its own, then all others in a drawn but fixed order."""
+    rng = random.Random(64)
+    rest = [[r for r in range(RANGES) if r // 2 != c] for c in range(COMPONENTS)]
+    return [[2 * c, 2 * c + 1, *rng.sample(others, len(others))] for c, others in enumerate(rest)]
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """(id, hash) name a document by doc_id and text, without nulls; ``missing`` tells that there is no doc_id."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -106,34 +116,31 @@ def _signatures(texts: DataFrame) -> DataFrame:
         *_KEY, "kmer", "packed", F.row_number().over(in_order).alias("number"),
         F.sum(only_own).over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("skipped"))
     flags = F.col("packed").bitwiseAND(F.lit(3))
+    # what both texts share comes first, so its k-mers have one number in both
+    number = F.when(flags == 1, F.col("number") - F.col("skipped")).otherwise(F.col("number")).cast("long")
     each = each.select(
-        *_KEY, "kmer", (flags >= 2).alias("in_own"), (flags != 2).alias("in_other"),
-        F.shiftright("packed", 2).bitwiseAND(F.lit(_PLACES)).alias("place"), F.col("number").cast("long").alias("n_own"),
-        F.when(flags == 1, F.col("number") - F.col("skipped")).otherwise(F.col("number")).cast("long").alias("n_other"))
-    half = F.pmod("kmer", F.lit(2 * COMPONENTS))
-
-    def least(member: str, number: str, side: int) -> Column:
-        drawn = F.xxhash64("kmer", number).bitwiseAND(F.lit(~_PLACES)).bitwiseOR(F.least("place", F.lit(_PLACES)))
-        return F.min(F.when(F.col(member) & (half % 2 == side), drawn))
-
-    parts = each.groupBy(*_KEY, F.floor(half / 2).cast("int").alias("part")).agg(
-        least("in_own", "n_own", 0).alias("a"), least("in_own", "n_own", 1).alias("b"),
-        least("in_other", "n_other", 0).alias("c"), least("in_other", "n_other", 1).alias("d"))
-
-    def pair(a: str, b: str) -> Column:
-        """Hash of the two in the order of the text, as 16 bits that are not all zero; zero if there is none."""
-        first, second = (F.shiftright(x, 30) for x in (a, b))
-        turned = F.col(a).bitwiseAND(F.lit(_PLACES)) > F.col(b).bitwiseAND(F.lit(_PLACES))
-        drawn = F.when(turned, F.xxhash64(second, first, F.lit(1))).otherwise(F.xxhash64(first, second))
-        return F.when(F.col(a).isNotNull() | F.col(b).isNotNull(), F.pmod(drawn, F.lit(65535)) + 1).otherwise(0).cast("long")
-
-    parts = parts.select(*_KEY, F.floor(F.col("part") / 4).alias("word"), F.expr("16 * (part % 4)").alias("shift"), pair("a", "b").alias("own"), pair("c", "d").alias("other"))
+        *_KEY, (flags >= 2).alias("in_own"), (flags != 2).alias("in_other"),
+        F.shiftright("packed", 2).bitwiseAND(F.lit(_PLACES)).alias("place"), F.xxhash64("kmer", number).alias("drawn"))
+    drawn = F.col("drawn").bitwiseAND(F.lit(~_PLACES)).bitwiseOR(F.col("place"))
+    cells = each.groupBy(*_KEY, F.pmod("drawn", F.lit(RANGES)).cast("int").alias("range")).agg(
+        F.min(F.when(F.col("in_own"), drawn)).alias("own"), F.min(F.when(F.col("in_other"), drawn)).alias("other"))
+    cells = cells.groupBy(*_KEY).agg(F.collect_list(F.struct("range", "own", "other")).alias("cells"))
+    flat = "cast(split('" + ",".join(str(r) for order in _orders() for r in order) + "', ',') as array<int>)"
 
     def words(name: str) -> Column:
-        each = [F.bit_or(F.when(F.col("word") == w, F.expr(f"shiftleft({name}, cast(shift as int))"))) for w in range(COMPONENTS // 4)]
-        return F.array(*[F.coalesce(x, F.lit(0).cast("long")) for x in each]).alias(name)
-
-    return parts.groupBy(*_KEY).agg(words("own"), words("other"))
+        """Per component a hash of its pair in the order of the text, as 16 bits that are not all zero; zero without k-mers."""
+        held = f"map_from_entries(transform(cells, x -> struct(x.range, x.{name})))"
+        least = f"transform(array({held}), m -> transform(sequence(0, {RANGES - 1}), r -> m[r]))"
+        taken = f"""if(v[2 * c] IS NOT NULL AND v[2 * c + 1] IS NOT NULL, array(v[2 * c], v[2 * c + 1]),
+            slice(filter(transform(slice(orders, {RANGES} * c + 1, {RANGES}), r -> v[r]), x -> x IS NOT NULL), 1, 2))"""
+        ordered = f"(t[0] & {_PLACES}L) <= (t[1] & {_PLACES}L)"
+        code = f"""CASE size(t) WHEN 0 THEN 0L WHEN 1 THEN pmod(xxhash64(shiftright(t[0], 30)), 65535L) + 1L
+            ELSE pmod(if({ordered}, xxhash64(shiftright(t[0], 30), shiftright(t[1], 30)), xxhash64(shiftright(t[1], 30), shiftright(t[0], 30))), 65535L) + 1L END"""
+        codes = f"transform({least}, v -> transform(transform(sequence(0, {COMPONENTS - 1}), c -> {taken}), t -> {code}))"
+        packed = " | ".join(f"shiftleft(k[4 * w + {n}], {16 * n})" for n in range(4))
+        return F.expr(f"transform({codes}, k -> transform(sequence(0, {COMPONENTS // 4 - 1}), w -> {packed}))[0]").alias(name)
+
+    return cells.withColumn("orders", F.expr(flat)).select(*_KEY, words("own"), words("other"))
 
 
 def text_of(words: str) -> Column:

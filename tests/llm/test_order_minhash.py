@@ -70,6 +70,27 @@ def test_numbers_tell_repeats_apart(make_docs):
     assert got[1].fingerprint == got[3].fingerprint != got[2].fingerprint
 
 
+@pytest.mark.parametrize("n", [10, 20, 60, 100])
+def test_order_of_short_texts(make_docs, n):
+    """Two blocks that change places leave nearly all k-mers, but not their order; one changed word leaves both."""
+    rows = []
+    for k in range(30):
+        words = [f"w{k}x{i}" for i in range(n)]
+        rows += [(3 * k, " ".join(words)), (3 * k + 1, " ".join(words[n // 2 :] + words[: n // 2])), (3 * k + 2, " ".join(words[n // 2 :] + words[: n // 2 - 1] + ["z"]))]
+    got = {r.doc_id: r for r in fingerprints(make_docs(rows)).collect()}
+    moved, changed = (sum(got[3 * k + j].near_next for k in range(30)) / 30 for j in (0, 1))
+    assert moved < 0.6 and changed > moved
+    singles = sum(r.fingerprint.count("0000") > 6 for r in got.values())
+    assert singles == 0  # every component is filled
+
+
+def test_repeats_fill_all_components(make_docs):
+    rows = [(1, "a b c " * 50), (2, "a b c " * 51), (3, "one two three four five")]
+    got = {r.doc_id: r for r in fingerprints(make_docs(rows)).collect()}
+    cut = [got[1].fingerprint[i : i + 4] for i in range(0, 256, 4)]
+    assert "0000" not in cut and len(set(cut)) > 30 and got[1].near_next > 0.8
+
+
 def test_empty(make_docs):
     assert fingerprints(make_docs([])).count() == 0
     one = fingerprints(make_docs([(1, "ab cd")])).first()
