@@ -8,7 +8,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm import decontaminate, html_text, language, mixing, order_minhash, phrase_dedup, revisits, simhash, token_counts, token_files
+from claimlens.llm import (
+    decontaminate, hard_negatives, html_text, language, license_scan, mixing, order_minhash, phrase_dedup, ranked_search, revisits, simhash, token_counts, token_files,
+)
 from claimlens.llm.common import read_table
 from claimlens.llm.sql import ORACLE
 from claimlens.session import scratch_path
@@ -107,3 +109,31 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprints(read_table(spark, sf_dir, "documents"))
+
+
+def _labels(column):
+    return F.array_join(F.array_sort(F.array_distinct(column)), ",")
+
+
+@query
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(read_table(spark, sf_dir, "documents"))
+    best = F.coalesce(F.array_max(F.col("blocks.containment")), F.lit(0.0))
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(F.col("places.start")).cast("long").alias("first_word"),
+        F.array_max(F.col("places.start")).cast("long").alias("last_word"), _labels(F.col("places.label")).alias("base_labels"),
+        _labels(F.concat(F.col("places.label"), F.col("blocks.label"))).alias("labels"), F.when(F.size("places") > 0, 1.0).otherwise(best).alias("score"),
+    )
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = read_table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table.select(F.col("vec_id").alias("id"), label.alias("label"), hard_negatives.integer_vectors(table).alias("vector"))
+    return hard_negatives.mine(rows, F.col("id") % 50 == 0)
+
+
+@query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))

@@ -1,5 +1,8 @@
 """DuckDB twins of the operators that SQL can express."""
 
+from claimlens.llm.license_scan import PHRASES, TEMPLATES, THRESHOLD, shingles_of, words_of
+
+_HALF = max(len(words_of(text)) for _, text in TEMPLATES)
 _SIZE = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
 ORACLE: dict[str, str] = {
@@ -115,4 +118,63 @@ kept AS (
 SELECT doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
        sha256(unhex(coalesce(k.h || substr(d.h, 2 * k.last + 1), d.h))) AS kept_sha256
 FROM d LEFT JOIN kept k USING (r)""",
+    # Every anchor against every row.
+    "op11_hard_negatives": """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+    SELECT a.vec_id AS anchor_id, a.label = r.label AS same, r.vec_id AS id, list_dot_product(a.v, r.v)::BIGINT AS score
+    FROM (SELECT DISTINCT * FROM v WHERE vec_id % 50 = 0) a JOIN v r ON a.vec_id <> r.vec_id),
+positives AS (
+    SELECT anchor_id, id AS positive_id, score AS positive_score FROM pairs WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY n.score DESC, n.id)::INT AS rank, n.id AS negative_id,
+       positive_score, n.score AS negative_score
+FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT n.same
+WHERE 50 * positive_score <= 100 * n.score AND 100 * n.score <= 95 * positive_score
+QUALIFY rank <= 3""",
+    # Every document scored for every item that shares a term with it.
+    "op12_ranked_search": r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+i AS (
+    SELECT row_number() OVER () AS q, item_id, unnest(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term FROM benchmark),
+total AS (SELECT count(*)::BIGINT AS big_n, sum(len(words))::BIGINT AS big_l FROM d WHERE len(words) > 0),
+postings AS (SELECT r, doc_id, len(words)::BIGINT AS n, term, count(*)::BIGINT AS tf FROM (SELECT r, doc_id, words, unnest(words) AS term FROM d) GROUP BY ALL),
+weights AS (
+    SELECT term, floor(1000 * ln((2 * big_n + 2) / (2 * df + 1)::DOUBLE))::BIGINT AS w
+    FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), total),
+scored AS (
+    SELECT q, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * big_n) // big_l))))::BIGINT AS score
+    FROM i JOIN postings USING (term) JOIN weights USING (term), total GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 50""",
+    # Blocks and templates compared by definition: no order of tokens, no filters.
+    "op13_license_scan": rf"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+phrases AS (SELECT * FROM (VALUES {", ".join(f"('{label}', {parts!r})" for label, parts in ((label, phrase.split(" ")) for phrase, label in PHRASES.items()))}) t(label, parts)),
+spots AS (SELECT r, words, unnest(range(0, len(words))) AS i FROM d),
+places AS (
+    SELECT r, count(*) AS n, min(i) AS first_word, max(i) AS last_word, list(label) AS labels
+    FROM spots JOIN phrases ON words[i + 1] = parts[1] AND words[i + 1:i + len(parts)] = parts GROUP BY r),
+templates AS (SELECT * FROM (VALUES {", ".join(f"({t}, '{label}', {shingles_of(text)!r})" for t, (label, text) in enumerate(TEMPLATES))}) t(template, label, shingles)),
+tokens AS (SELECT template, label, len(shingles) AS size, unnest(shingles) AS shingle FROM templates),
+hits AS (
+    SELECT r, unnest([i // {_HALF}, i // {_HALF} - 1]) AS block, shingle
+    FROM (SELECT r, i, array_to_string(words[i + 1:i + 5], ' ') AS shingle FROM spots) WHERE shingle IN (SELECT shingle FROM tokens)),
+blocks AS (
+    SELECT r, label, count(DISTINCT shingle)::DOUBLE / size AS containment FROM hits JOIN tokens USING (shingle) WHERE block >= 0
+    GROUP BY r, block, template, label, size HAVING count(DISTINCT shingle) >= ceil({THRESHOLD} * size - 1e-9)),
+found AS (SELECT r, list(label) AS labels, max(containment) AS containment FROM blocks GROUP BY r)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(p.n, 0)::BIGINT AS n_base, p.first_word::BIGINT AS first_word, p.last_word::BIGINT AS last_word,
+       coalesce(array_to_string(list_sort(list_distinct(p.labels)), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(p.labels, []), coalesce(f.labels, [])))), ','), '') AS labels,
+       CASE WHEN p.n > 0 THEN 1.0::DOUBLE ELSE coalesce(containment, 0) END AS score
+FROM d LEFT JOIN places p USING (r) LEFT JOIN found f USING (r)""",
 }
