@@ -12,7 +12,7 @@ from claimlens.functions.numbers import py_round
 from claimlens.functions.vector import cosine_from_l2
 from claimlens.ml import evaluate, prepare, score, train
 from claimlens.operators import (
-    audit, chunking, clean, embed, enrich, features, knn, kpi, profile, quality, remediate, retrieval, rules, serving,
+    audit, cells, chunking, clean, embed, enrich, features, inverted, knn, kpi, profile, quality, remediate, retrieval, rules, serving,
 )
 from claimlens.plans import decisions, layers, training
 from claimlens.schemas import RAW_CLAIMS, RAW_SCHEMAS
@@ -159,8 +159,7 @@ def read_text_docs(spark, sf):
 
 @query
 def write_index(spark, sf):
-    chunks = chunking.chunk_documents(star.documents(spark, sf))
-    index, _ = embed.build_index(stage(chunks, "chunks"))
+    index, _ = _build_lexical_index(spark, sf)
     path = scratch_path(spark, "index")
     policies.write_index(index, path)
     return policies.read_index(spark, path).select(
@@ -545,12 +544,29 @@ def chunk_documents(spark, sf):
         "chunk_id", "source_file", "text", "metadata.chunk_index", "metadata.total_chunks")
 
 
-def _lexical_index(spark, sf):
-    chunks = stage(chunking.chunk_documents(star.documents(spark, sf)), "chunks")
+def _build_lexical_index(spark, sf):
+    chunks = stage(embed.with_buckets(chunking.chunk_documents(star.documents(spark, sf))), "chunks")
     index, model = embed.build_index(chunks)
     return stage(index, "index"), model
 
 
+# Where this process has written the index of a corpus, by application and data: made once, read by every retrieval.
+_INDEXES: dict[tuple[str, str], tuple[str, embed.Embedder]] = {}
+
+
+def _lexical_index(spark, sf):
+    """Written index of all documents, its model and its postings."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES or not tables.path_exists(spark, f"{_INDEXES[key][0]}/postings/leading"):
+        index, model = _build_lexical_index(spark, sf)
+        path = scratch_path(spark, "index")
+        policies.write_index(index, f"{path}/chunks")
+        inverted.write_postings(inverted.build_postings(policies.read_index(spark, f"{path}/chunks")), f"{path}/postings")
+        _INDEXES[key] = (path, model)
+    path, model = _INDEXES[key]
+    return policies.read_index(spark, f"{path}/chunks"), model, inverted.read_postings(spark, f"{path}/postings")
+
+
 def _vector_output(df, key):
     """A vector as its length, its weight along a ramp and its largest element."""
     ramp = F.aggregate(F.transform("embedding", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
@@ -565,18 +581,23 @@ def embed_text(spark, sf):
 
 @query
 def build_index(spark, sf):
-    return _vector_output(_lexical_index(spark, sf)[0], "chunk_id")
+    return _vector_output(_build_lexical_index(spark, sf)[0], "chunk_id")
+
+
+def _asked_vectors(spark, sf):
+    """The stated query set: every vector whose id is divisible by 20."""
+    return star.table(spark, sf, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").cast("string").alias("query_id"), "embedding")
 
 
 @query
 def knn_l2(spark, sf):
-    nearest = knn.knn_l2(star.table(spark, sf, "embeddings"), star.label_centroids(spark, sf), 10, id_col="vec_id")
+    nearest = knn.knn_l2(star.table(spark, sf, "embeddings"), _asked_vectors(spark, sf), 10, id_col="vec_id")
     return nearest.select("query_id", F.col("id").alias("vec_id"), F.round("distance", 4).alias("distance"), "rank")
 
 
 @query
 def cosine_from_l2_query(spark, sf):
-    nearest = knn.knn_l2(star.table(spark, sf, "embeddings"), star.label_centroids(spark, sf), 3, id_col="vec_id")
+    nearest = knn.knn_l2(star.table(spark, sf, "embeddings"), _asked_vectors(spark, sf), 3, id_col="vec_id")
     return nearest.select("query_id", F.col("id").alias("vec_id"), F.round(cosine_from_l2("distance"), 4).alias("cosine"))
 
 
@@ -585,9 +606,9 @@ REGISTRY["cosine_from_l2"] = REGISTRY.pop("cosine_from_l2_query")
 
 @query
 def topk_chunks(spark, sf):
-    index, model = _lexical_index(spark, sf)
+    index, model, postings = _lexical_index(spark, sf)
     asked = embed.embed(retrieval.expand_flag_query(_all_flags(spark, sf)), model, "query")
-    nearest = stage(knn.knn_l2(index, asked, 3, query_id="flag"), "neighbours")
+    nearest = stage(inverted.search(postings, asked, 3, "flag", index), "neighbours")
     return knn.topk_chunks(index, nearest).select(
         "query_id", "rank", "chunk_id", "source_file", F.md5("text").alias("text_md5"), F.round("distance", 4).alias("distance"))
 
@@ -604,8 +625,8 @@ def expand_flag_query(spark, sf):
 
 
 def _retrieved_lexical(spark, sf, top_k):
-    index, model = _lexical_index(spark, sf)
-    return retrieval.retrieve_multiple(_all_flags(spark, sf), index, model, top_k)
+    index, model, postings = _lexical_index(spark, sf)
+    return retrieval.retrieve_multiple(_all_flags(spark, sf), index, model, top_k, postings)
 
 
 @query
@@ -624,8 +645,8 @@ def retrieve_multiple(spark, sf):
 def _retrieved(spark, sf):
     """Best chunk of the whole corpus for every flag of the rules."""
     flags = spark.createDataFrame([(label,) for _, label, _ in K.RULES], "flag string")
-    index, model = _lexical_index(spark, sf)
-    return retrieval.retrieve_multiple(flags, index, model, 1)
+    index, model, postings = _lexical_index(spark, sf)
+    return retrieval.retrieve_multiple(flags, index, model, 1, postings)
 
 
 # --- model ---------------------------------------------------------------------------------------------
@@ -905,3 +926,30 @@ def join_null_check(spark, sf):
 @query
 def all_null_check(spark, sf):
     return quality.all_null_check(gold(spark, sf))
+
+
+# --- approximate search ------------------------------------------------------------------------------------
+
+
+def _cells(spark, sf):
+    """Cell index of all vectors, and the number of cells that a bounded sample of the queries needs for 95 %."""
+    vectors = star.table(spark, sf, "embeddings")
+    index = cells.read_cells(spark, cells.write_cells(vectors, scratch_path(spark, "cells"), id_col="vec_id"))
+    return index, cells.choose_probes(index, vectors, _asked_vectors(spark, sf), 10, 0.95, "vec_id")
+
+
+@query
+def knn_cells(spark, sf):
+    """The ten nearest vectors of each query in the cells nearest to it."""
+    index, probes = _cells(spark, sf)
+    found = cells.search(index, _asked_vectors(spark, sf), 10, probes)
+    return found.select("query_id", F.col("id").alias("vec_id"), F.round("distance", 4).alias("distance"), "rank")
+
+
+@query
+def knn_cells_recall(spark, sf):
+    """Whether the cells give nine of ten true neighbours, measured over the whole query set."""
+    index, probes = _cells(spark, sf)
+    asked = _asked_vectors(spark, sf)
+    exact = knn.knn_l2(star.table(spark, sf, "embeddings"), asked, 10, id_col="vec_id")
+    return cells.recall(cells.search(index, asked, 10, probes), exact).select("neighbours", (F.col("recall") >= 0.9).alias("reached"))

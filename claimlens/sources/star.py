@@ -139,10 +139,3 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("doc"), "doc_id", F.lit(".txt")).alias("source_file"), "text"
     )
 
-
-def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Query vectors: the mean vector of every label, over all vectors of the label."""
-    vectors = table(spark, sf_dir, "embeddings")
-    dim = len(vectors.first()["embedding"])
-    mean = F.array(*[F.avg(F.col("embedding")[i].cast("double")) for i in range(dim)])
-    return vectors.groupBy("label").agg(mean.alias("embedding")).withColumn("query_id", F.col("label").cast("string"))
