@@ -11,7 +11,7 @@ from pyspark.sql.types import StringType
 from ..functions import numbers, text
 from ..functions.text import normal_name
 
-# Column with the place of a row in its source, a struct of file and row number, if the reader gave one.
+# Column with the place of a row in its source, if the reader gave one.
 POSITION = "source_position"
 # Which of several rows with one claim_id is "first": the one that stands first in the source. Rows without a position
 # are ordered by value; every remaining column follows, which makes the survivor unambiguous.

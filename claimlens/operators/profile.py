@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, NumericType, StringType
 
 from ..functions.numbers import np_round, to_timestamp
-from .quantiles import exact_quantiles, number
+from .quantiles import number, quantiles_and
 
+# Tables whose jobs run at once.
+_AT_ONCE = 4
 NUMERIC_STATS = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
 
 
@@ -118,28 +121,22 @@ def _valid(df: DataFrame, c: str) -> Column:
 
 
 def profile_numeric(df: DataFrame) -> DataFrame:
-    """NaN counts as missing. Count, mean, sample deviation, minimum, quartiles and maximum per numeric column, 2 decimals."""
+    """NaN counts as missing. Count, mean, sample deviation, minimum, quartiles and maximum per numeric column, 2 decimals.
+
+    Three scans: the moments are computed beside the sketches of the quartiles.
+    """
     columns = numeric_columns(df)
     if not columns:
         return df.sparkSession.createDataFrame([], "column_name string, " + ", ".join(f"`{s}` double" for s in NUMERIC_STATS))
-    moments = df.agg(*[
-        F.struct(
-            F.lit(c).alias("column_name"),
-            F.count(number(c)).cast("double").alias("count"),
-            F.avg(_valid(df, c)).alias("mean"),
-            F.stddev_samp(number(c)).alias("std"),
-            F.min(number(c)).alias("min"),
-            F.max(number(c)).alias("max"),
-        ).alias(c)
-        for c in columns
-    ]).select(F.inline(F.array(*[F.col(f"`{c}`") for c in columns])))
-    quartiles = (
-        exact_quantiles(df, columns, (0.25, 0.5, 0.75))
-        .groupBy("column_name")
-        .agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(s) for p, s in ((0.25, "25%"), (0.5, "50%"), (0.75, "75%"))])
-    )
+    moments = [
+        F.struct(F.count(number(c)).cast("double"), F.avg(_valid(df, c)).cast("double"), F.stddev_samp(number(c)), F.min(number(c)), F.max(number(c))).alias(f"m{i}")
+        for i, c in enumerate(columns)
+    ]
+    quartiles, row = quantiles_and(df, columns, (0.25, 0.5, 0.75), moments)
+    rows = df.sparkSession.createDataFrame([(c, *row[f"m{i}"]) for i, c in enumerate(columns)], "column_name string, count double, mean double, std double, min double, max double")
+    quartiles = quartiles.groupBy("column_name").agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(s) for p, s in ((0.25, "25%"), (0.5, "50%"), (0.75, "75%"))])
     # one row per column on either side
-    joined = moments.join(F.broadcast(quartiles), "column_name", "left")
+    joined = rows.join(F.broadcast(quartiles), "column_name", "left")
     return joined.select("column_name", *[np_round(F.col(f"`{s}`"), 2).alias(s) for s in NUMERIC_STATS])
 
 
@@ -185,8 +182,8 @@ def profile_lines(df: DataFrame, name: str, date_format: str = "yyyy-MM-dd") ->
 def profile_all(tables: Mapping[str, DataFrame], date_format: str = "yyyy-MM-dd") -> DataFrame:
     """The whole profile of every column of every table as one long table: rows, nulls, distinct values, repeated
     claim ids, dates and numeric statistics; what a column has not is null."""
-    parts = []
-    for name, df in tables.items():
+    def part(item: tuple[str, DataFrame]) -> DataFrame:
+        name, df = item
         dates = profile_date_range(df, date_format).select("column_name", *[F.col(c).cast("timestamp").alias(c) for c in ("min_date", "max_date")], F.col("invalid").cast("long").alias("invalid_dates"))
         part = null_counts(df).join(distinct_counts(df), "column_name").join(dates, "column_name", "left").join(profile_numeric(df), "column_name", "left")
         if "claim_id" in df.columns:
@@ -194,7 +191,11 @@ def profile_all(tables: Mapping[str, DataFrame], date_format: str = "yyyy-MM-dd"
             part = part.join(repeats, "column_name", "left")
         else:
             part = part.withColumn("duplicates", F.lit(None).cast("long"))
-        parts.append(part.withColumnRenamed("_rows", "row_count").withColumn("table_name", F.lit(name)))
+        return part.withColumnRenamed("_rows", "row_count").withColumn("table_name", F.lit(name))
+
+    # the scans of different tables are independent jobs
+    with ThreadPoolExecutor(_AT_ONCE) as pool:
+        parts = list(pool.map(part, tables.items()))
     return reduce(DataFrame.unionByName, parts).select(
         "table_name", "row_count", "column_name", "missing", "distinct_values", "duplicates", "min_date", "max_date", "invalid_dates", *NUMERIC_STATS)
 

@@ -176,3 +176,19 @@ def test_python_rounding_on_ties(spark):
     texts = df.where("v > 0.01").select("v", numbers.fixed("v", 2).alias("t")).collect()
     assert all(r["t"] == f"{r['v']:.2f}" for r in texts)
     assert df.select(F.max(numbers.py_round(F.lit(None).cast("double"), 2))).first()[0] is None
+
+
+def test_first_row_by_file_and_place(spark, tmp_path):
+    """Several files with odd names: the row of the first path wins, and of one file the row that stands first."""
+    from claimlens.sources import star
+
+    folder = tmp_path / "a b%c"
+    for i, name in enumerate(("part 2", "part-1", "part=0")):
+        spark.createDataFrame([(f"C{j}", f"{name} {j} {k}") for k in range(2) for j in range(i, 3)], "claim_id string, provider_id string").coalesce(1).write.parquet(str(folder / name))
+    files = sorted(str(f) for f in folder.rglob("*.parquet"))
+    df = star.with_position(spark.read.parquet(*[str(folder / n) for n in ("part-1", "part=0", "part 2")]))
+    kept = {r["claim_id"]: r["provider_id"] for r in clean.dedup_keep_first(df.repartition(5)).collect()}
+    order = [next(n for n in ("part 2", "part-1", "part=0") if f"/{n}/" in f) for f in files]
+    starts = {"part 2": 0, "part-1": 1, "part=0": 2}
+    assert kept == {f"C{j}": next(f"{n} {j} 0" for n in order if starts[n] <= j) for j in range(3)}
+    assert dict(df.dtypes)["source_position"] == "bigint"
