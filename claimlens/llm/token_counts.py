@@ -40,16 +40,48 @@ STATES = ("letters", "numbers", "others", "blank", "spaces", "done", "one more",
 RESET = len(SYMBOLS)
 
 
+_LEADS = "a1!"  # a letter, a number, and neither: what joins with one of them is of its kind
+
+
 @lru_cache(maxsize=1)
 def kinds() -> np.ndarray:
-    """Kind of every code point: letters and numbers by general category, white space by the property of that name."""
+    """Kind of every code point, as the library's cut has it: Python's tables may be older or newer than the library's.
+
+    A first guess is verified for whole runs of code points at once: the cut keeps a run with its lead in one piece if all of
+    it is of the lead's kind. Runs that fall apart are halved; a single code point that joins with no lead is white space.
+    """
     import unicodedata
 
-    spaces = {*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    cut = ByteLevel(add_prefix_space=False).pre_tokenize_str
     out = np.full(0x110000, OTHER, np.uint8)
+    guess = np.full(0x110000, OTHER, np.uint8)
     for c in range(0x110000):
         major = unicodedata.category(chr(c))[0]
-        out[c] = SPACE if c in spaces else LETTER if major == "L" else NUMBER if major == "N" else OTHER
+        guess[c] = LETTER if major == "L" else NUMBER if major == "N" else OTHER
+    edges = np.flatnonzero(np.r_[True, guess[1:] != guess[:-1]]).tolist()
+    runs = []  # first, end, kind to be tried
+    for a, b in zip(edges, [*edges[1:], 0x110000]):
+        for x, y in ((a, min(b, 0xD800)), (max(a, 0xE000), b)):  # without surrogates
+            runs += [(k, min(k + 4096, y), int(guess[a])) for k in range(x, y, 4096)]
+    while runs:
+        text, at = [], [0]
+        for a, b, kind in runs:
+            text.append(_LEADS[kind] + "".join(map(chr, range(a, b))) + "\n")
+            at.append(at[-1] + b - a + 2)
+        ends = {begin: end for _, (begin, end) in cut("".join(text))}
+        again = []
+        for (a, b, kind), begin in zip(runs, at):
+            if ends.get(begin, 0) >= begin + b - a + 1:
+                out[a:b] = kind
+            elif b - a > 1:
+                again += [(a, (a + b) // 2, kind), ((a + b) // 2, b, kind)]
+            elif kind != guess[a] and kind == (guess[a] + 2) % 3:
+                out[a] = SPACE
+            else:
+                again.append((a, b, (kind + 1) % 3))
+        runs = again
     out[ord("'")], out[ord(" ")] = QUOTE, BLANK
     return out
 

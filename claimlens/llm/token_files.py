@@ -41,32 +41,58 @@ _SPACE, _MARK, _LETTER = (np.isin(np.arange(256), list(x)) for x in (b" \t\n\x0b
 _encoders: dict[str, "WordEncoder"] = {}
 
 
+def _spread(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """All places of the ranges, one range after the other."""
+    return np.arange(int(length.sum())) + np.repeat(begin - (np.cumsum(length) - length), length)
+
+
+def same_bytes(one: np.ndarray, begin: np.ndarray, length: np.ndarray, two: np.ndarray, begin_two: np.ndarray, length_two: np.ndarray) -> np.ndarray:
+    """Whether each string of the first array equals its partner in the second, byte by byte."""
+    same = length == length_two
+    k = np.flatnonzero(same & (length > 0))
+    for at in range(0, len(k), 1 << 16):
+        part = k[at : at + (1 << 16)]
+        differs = one[_spread(begin[part], length[part])] != two[_spread(begin_two[part], length[part])]
+        starts = np.cumsum(length[part]) - length[part]
+        same[part] = ~np.logical_or.reduceat(differs, starts)
+    return same
+
+
 class _Known:
-    """Ids of units by hash: hashes in ascending order with their places, and the ids of all places one after the other."""
+    """Ids of units: their hashes in ascending order with places, and the ids and bytes of all places one after the other."""
 
     def __init__(self):
         self.hashes, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.ids, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.bytes, self.begins = np.zeros(0, np.uint8), np.zeros(1, np.int64)
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
+    def find(self, hashes: np.ndarray, data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The place of each unit; -1: its hash is new; -2: its hash is another unit's."""
         if not len(self.hashes):
             return np.full(len(hashes), -1)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.places[at], -1)
-
-    def add(self, hashes: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
-        """New units: their hashes, the ids of all of them, and how many each has."""
+        out = np.where(self.hashes[at] == hashes, self.places[at], -1)
+        met = np.flatnonzero(out >= 0)
+        own = out[met]
+        same = same_bytes(data, begin[met], length[met], self.bytes, self.begins[own], self.begins[own + 1] - self.begins[own])
+        out[met[~same]] = -2
+        return out
+
+    def add(self, hashes: np.ndarray, ids: np.ndarray, lengths: np.ndarray, data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> None:
+        """New units: their hashes, the ids of all of them, how many each has, and their bytes."""
         order = np.argsort(hashes)
         at = np.searchsorted(self.hashes, hashes[order])
         self.places = np.insert(self.places, at, len(self.hashes) + order)
         self.hashes = np.insert(self.hashes, at, hashes[order])
         self.starts = np.r_[self.starts, len(self.ids) + np.cumsum(lengths, dtype=np.int64)]
         self.ids = np.r_[self.ids, ids]
+        self.begins = np.r_[self.begins, len(self.bytes) + np.cumsum(length, dtype=np.int64)]
+        self.bytes = np.r_[self.bytes, data[_spread(begin, length)]]
 
     def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the places one after the other, and how many each has."""
         first, n = self.starts[places], self.starts[places + 1] - self.starts[places]
-        return self.ids[np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)], n
+        return self.ids[_spread(first, n)], n
 
 
 def units_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,6 +164,17 @@ class WordEncoder:
             lengths.append(n)
         return np.concatenate(ids), np.concatenate(lengths)
 
+    def _joined(self, raw: bytes, begins: np.ndarray, ends: np.ndarray, alone: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units in order, some of which are encoded by themselves."""
+        own, own_n = self._singly([raw[a:b] for a, b in zip(begins[alone].tolist(), ends[alone].tolist())])
+        known, known_n = self.young.gather(places[~alone])
+        n = np.zeros(len(places), np.int64)
+        n[alone], n[~alone] = own_n, known_n
+        begin = np.cumsum(n) - n
+        out = np.zeros(int(n.sum()), np.int32)
+        out[_spread(begin[alone], own_n)], out[_spread(begin[~alone], known_n)] = own, known
+        return out, n
+
     def _lowered(self, raw: bytes, at: np.ndarray) -> bytes:
         """A-Z lower-cased, as the tokenizer does it, but not where that would make an added token."""
         low = raw.lower()
@@ -153,12 +190,16 @@ class WordEncoder:
         raw = self._lowered(raw, at) if self.lowers else raw
         data = np.frombuffer(raw, np.uint8)
         begins, ends, letters = units_of(data, at)
+        sizes = ends - begins
         hashes, first, of = np.unique(Rolling(data)(0, begins, ends), return_index=True, return_inverse=True)
+        # a hash only proposes: whoever has other bytes than the first unit or the known one of its hash is encoded by itself
+        alone = ~same_bytes(data, begins, sizes, data, begins[first[of]], sizes[first[of]])
         if len(self.young.hashes) > self.remembered:
             self.old, self.young = self.young, _Known()
-        places = self.young.find(hashes)
-        missing = np.flatnonzero(places < 0)
-        before = self.old.find(hashes[missing])
+        where = data, begins[first], sizes[first]
+        places = self.young.find(hashes, *where)
+        missing = np.flatnonzero(places == -1)
+        before = self.old.find(hashes[missing], data, begins[first[missing]], sizes[first[missing]])
         again = before >= 0
         new = missing[~again]
         pure = letters[first[new]]
@@ -167,9 +208,11 @@ class WordEncoder:
             k = first[which]
             groups.append((which, *encode([raw[a:b] for a, b in zip(begins[k].tolist(), ends[k].tolist())])))
         if len(missing):
-            self.young.add(hashes[np.concatenate([g[0] for g in groups])], np.concatenate([g[1] for g in groups]), np.concatenate([g[2] for g in groups]))
-            places = self.young.find(hashes)
-        ids, n = self.young.gather(places[of])
+            who = np.concatenate([g[0] for g in groups])
+            self.young.add(hashes[who], np.concatenate([g[1] for g in groups]), np.concatenate([g[2] for g in groups]), data, begins[first[who]], sizes[first[who]])
+            places = self.young.find(hashes, *where)
+        alone |= places[of] < 0
+        ids, n = self._joined(raw, begins, ends, alone, places[of]) if alone.any() else self.young.gather(places[of])
         starts = np.r_[0, np.cumsum(n)][np.searchsorted(begins, at, "left")] + np.arange(len(at))
         out = np.full(int(starts[-1]), end, np.int32)
         out[np.arange(len(ids)) + np.repeat(np.arange(len(at) - 1), np.diff(starts) - 1)] = ids

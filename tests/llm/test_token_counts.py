@@ -37,6 +37,18 @@ def test_every_kind_of_character(tokenizer):
     assert counts(tc.TokenCounter(tokenizer), texts) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_newer_characters_in_every_context(tokenizer):
+    """Code points that Python's tables may not know: all that a scan of both finds odd, and a sample of the rest."""
+    import unicodedata
+
+    odd = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) == "Cn"]
+    known = tc.kinds()
+    odd = [c for c in odd if known[c] != tc.OTHER] + odd[::997] + [0x1C89, 0xA7CB, 0xA7DA]
+    texts = [t for c in odd for t in (f"{chr(c)}'ll{chr(c)}x", f" {chr(c)}x1", f"a{chr(c)}1{chr(c)}!{chr(c)}  {chr(c)}")]
+    library = Tokenizer.from_str(tokenizer)
+    assert counts(tc.TokenCounter(tokenizer), texts) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("chunk", [1, 2, 7, 128])
 def test_chunks_do_not_matter(chunk):
     rng = random.Random(2)

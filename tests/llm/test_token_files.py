@@ -28,6 +28,24 @@ def test_words_one_by_one_are_the_text(tokenizer, remembered):
         assert got == [t.encode(x or "", add_special_tokens=False).ids + [2] for x in TEXTS]
 
 
+def thue_morse(n):
+    """A word of a and b, and its complement: every polynomial hash modulo a power of two takes the two for one from 1024 letters on."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 8192])
+def test_words_of_one_hash_keep_their_own_ids(tokenizer, n):
+    one, two = thue_morse(n)
+    t = Tokenizer.from_str(tokenizer)
+    for batches in ([[one, two]], [[one], [two], [two, one]], [[f"{two} {one} x", f"{one}, {two}!", two]]):
+        encoder = tf.WordEncoder(tokenizer)
+        for texts in batches:
+            raw = [x.encode() for x in texts]
+            ids, at = encoder.encode(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])].astype(np.int64), 2)
+            assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [t.encode(x, add_special_tokens=False).ids + [2] for x in texts]
+
+
 def test_files_round_trip(spark, make_docs, tokenizer):
     rows = [(i * 7 % 101, TEXTS[i % len(TEXTS)]) for i in range(101)] + [(5, "again"), (5, "again"), (None, "last")]
     path = scratch_path(spark, "tokens")
