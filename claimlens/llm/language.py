@@ -4,6 +4,9 @@ The text gives a likelihood per language: naive Bayes over hashed trigrams of le
 labelled rows. All documents whose text alone is clear are then counted by grouped aggregation: by declared language,
 which gives the chance of a declaration under each language, and by host, which gives priors. A host's prior is
 smoothed towards its domain's, that towards the address suffix's, and that towards the whole corpus.
+
+One more hypothesis stands beside the languages: *another* one, or none. Under it each trigram has the chance 2 ** BACKGROUND.
+Texts of the fitted languages lie well above that, texts of unknown languages and random letters below.
 """
 
 from __future__ import annotations
@@ -29,6 +32,10 @@ OVERLAP = 3.0
 CLEAR = 0.99  # posterior of the text alone from which a document is counted
 STRENGTH = 20.0  # documents that the level above counts for
 LEAST_POSTERIOR = 0.5
+BACKGROUND = -15  # log2 of a trigram's chance in a text of no known language
+# Labels that are modelled: those with the most different texts. Texts of rarer ones are texts of another language.
+MOST_LABELS = 256
+OTHER = "und"
 
 
 @dataclass(frozen=True)
@@ -57,17 +64,25 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(48))[inside].astype(np.int64), text[1:-1][inside]
 
 
+def code_of(column: Column) -> Column:
+    """A language code without region, in lower case."""
+    return F.lower(F.element_at(F.split(column, "[-_]"), 1))
+
+
 def fit(labelled: DataFrame, text: str, label: str, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> LanguageModel:
     """Fits on different texts of every label, at most ``rows`` over the number of labels or LABEL_ROWS of each, if that is more.
 
     Of each label those with the least hashes are taken, and ``chars`` characters of each. Different texts are counted
     per label over all rows; the hash below which a label's texts are taken follows, with five per cent to spare, so
-    tasks send the driver nothing but the sample, and no label is too rare to be known. Rows without text or label are
-    left out. Without any labelled row there is one language, ``und``.
+    tasks send the driver nothing but the sample. Labels are read as declarations are: ``EN`` and ``en-US`` are ``en``. Up to
+    MOST_LABELS labels no label is too rare to be known; beyond, those with the most texts are (of equals the first by
+    code), and the others are unknown languages. Rows without text or label are left out. Without any labelled row there
+    is one language, ``und``, and no other hypothesis.
     """
-    known = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).alias("label"), F.col(text).alias("text"))
+    known = labelled.select(code_of(F.col(label)).alias("label"), F.col(text).alias("text")).where("label <> '' and text is not null")
     known = known.withColumn("hash", F.xxhash64("text"))
-    sizes = {r["label"]: r["n"] for r in known.select("label", "hash").distinct().groupBy("label").agg(F.count("*").alias("n")).collect()}
+    counted = known.select("label", "hash").distinct().groupBy("label").agg(F.count("*").alias("n"))
+    sizes = {r["label"]: r["n"] for r in counted.orderBy(F.desc("n"), "label").limit(MOST_LABELS).collect()}
     each = max(LABEL_ROWS, rows // max(1, len(sizes)))
     cuts = {k: 2**63 - 1 if n <= each else int(0.95 * each / n * 2**64) - 2**63 - 1 for k, n in sizes.items()}
     found: dict[str, list[str]] = {}
@@ -85,22 +100,29 @@ def fit(labelled: DataFrame, text: str, label: str, rows: int = SAMPLE_ROWS, cha
     return LanguageModel(languages, np.log(counts / counts.sum(axis=0)).astype(np.float32))
 
 
+def hypotheses(model: LanguageModel) -> tuple[str, ...]:
+    """The languages, and ``und`` for any other."""
+    return model.languages if model.languages == (OTHER,) else (*model.languages, OTHER)
+
+
 def _text_evidence(rows: DataFrame, model: LanguageModel) -> DataFrame:
     """Replaces text by likelihood array<double> (log, shifted so that the best is 0), letters long, clear int (place or null)."""
     kept = [f for f in rows.schema.fields if f.name != "text"]
     fields = [T.StructField("likelihood", T.ArrayType(T.DoubleType())), T.StructField("letters", T.LongType()), T.StructField("clear", T.IntegerType())]
-    shared = rows.sparkSession.sparkContext.broadcast(model.table)
+    shared, other = rows.sparkSession.sparkContext.broadcast(model.table), len(hypotheses(model)) - len(model.languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        width = table.shape[1]
+        width = table.shape[1] + other
         for batch in by_bytes(batches, "text", 1 << 20):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             buckets, owner = _grams(texts)
             score = np.zeros((len(texts), width))
-            for k in range(width):
-                score[:, k] = np.bincount(owner - 1, weights=table[:, k][buckets], minlength=len(texts))[: len(texts)] / OVERLAP
             letters = np.bincount(owner - 1, minlength=len(texts))[: len(texts)]
+            for k in range(table.shape[1]):
+                score[:, k] = np.bincount(owner - 1, weights=table[:, k][buckets], minlength=len(texts))[: len(texts)] / OVERLAP
+            if other:
+                score[:, -1] = letters * (BACKGROUND * np.log(2)) / OVERLAP
             score -= score.max(axis=1, keepdims=True)
             chance = np.exp(score)
             sure = (chance.max(axis=1) / chance.sum(axis=1) >= CLEAR) & (letters > 0)
@@ -127,15 +149,18 @@ def identify(rows: DataFrame, model: LanguageModel, least: float = LEAST_POSTERI
 
     ``declared`` is a language code of the markup or catalogue, ``host`` a host name or the name of a source; both may
     be null, which is no evidence. Its last label is the address suffix, its last two the domain. A text is accepted if
-    it has a letter and its best language a posterior of ``least`` or more. Without any letter, as for a null or empty
-    text, the language is ``und`` and the row not accepted. Likelihoods that are equal go to the language first in
-    order of code. Rows are never dropped; repeated rows are rows of their own; an empty table stays empty. Further
-    columns keep their values, but for those with the names of added ones.
+    it has a letter and its best hypothesis is a language with a posterior of ``least`` or more. Without any letter, as for
+    a null or empty text, and where another language is the best hypothesis, the language is ``und`` and the row not
+    accepted. Likelihoods that are equal go to the language first in order of code. Rows are never dropped; repeated rows
+    are rows of their own; an empty table stays empty. Further columns keep their values whatever their names, but for
+    those with the names of the four added ones.
     """
-    width, added = len(model.languages), ("language", "posterior", "text_language", "accepted", "likelihood", "letters", "clear", "domain", "suffix", "said", "prior")
-    rows = rows.drop(*added)
-    code = F.lower(F.element_at(F.split("declared", "[-_]"), 1))
-    rows = rows.withColumns({"said": code, "domain": F.substring_index("host", ".", -2), "suffix": F.substring_index("host", ".", -1)})
+    names_of, user = hypotheses(model), [c for c in rows.columns if c not in ("text", "language", "posterior", "text_language", "accepted")]
+    width = len(names_of)
+    rows = rows.select(
+        F.struct(*[F.col(f"`{c}`") for c in user]).alias("row"), "text", "host", code_of(F.col("declared")).alias("said"),
+        F.substring_index("host", ".", -2).alias("domain"), F.substring_index("host", ".", -1).alias("suffix"),
+    )
     rows = stage(_text_evidence(rows, model), "language")
     clear = rows.where("clear is not null")
     hosts = stage(clear.groupBy("suffix", "domain", "host", "clear").agg(F.count("*").alias("docs")), "language-hosts")
@@ -160,11 +185,12 @@ def identify(rows: DataFrame, model: LanguageModel, least: float = LEAST_POSTERI
     joined = joined.withColumn("logs", F.when(F.col("declaration").isNull(), F.col("logs")).otherwise(F.expr("zip_with(logs, declaration, (l, p) -> l + ln(p))")))
     top = F.array_max("logs")
     joined = joined.withColumn("posterior", 1 / F.expr("aggregate(transform(logs, l -> exp(l - array_max(logs))), 0D, (s, x) -> s + x)"))
-    names = F.array(*[F.lit(x) for x in model.languages])
+    names = F.array(*[F.lit(x) for x in names_of])
     best = F.element_at(names, F.array_position("logs", top).cast("int"))
     some = F.col("letters") > 0
     text = F.element_at(names, F.array_position("likelihood", F.array_max("likelihood")).cast("int"))
-    return joined.withColumns({
-        "language": F.when(some, best).otherwise("und"), "posterior": F.when(some, F.col("posterior")).otherwise(0.0),
-        "text_language": F.when(some, text).otherwise("und"), "accepted": some & (F.col("posterior") >= least),
-    }).drop("likelihood", "letters", "clear", "domain", "suffix", "said", "prior", "declaration", "logs")
+    known = F.lit(True) if names_of == (OTHER,) else best != OTHER
+    return joined.select(
+        "row.*", F.when(some, best).otherwise(OTHER).alias("language"), F.when(some, F.col("posterior")).otherwise(0.0).alias("posterior"),
+        F.when(some, text).otherwise(OTHER).alias("text_language"), (some & known & (F.col("posterior") >= least)).alias("accepted"),
+    )
