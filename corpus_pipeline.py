@@ -21,9 +21,14 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents of a known language, by text, catalogue entry and source."""
-    # the same text, entry and source get the same decision, so their hashes name what goes; that is little
-    key = [F.xxhash64("text", F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit("")), F.lit(k)) for k in (1, 2)]
+    """Keeps documents of a known language, by text, catalogue entry and source.
+
+    A null or empty text, one without letters and one of an unknown language go; a null language or source is no evidence.
+    Repeated rows stay or go together. An empty table stays empty; without any labelled row every text with a letter stays.
+    """
+    # the same text, entry and source get the same decision, so their hashes name what goes; that is little. A hash starts
+    # from those of the columns before, so the number that tells the two apart comes first
+    key = [F.xxhash64(F.lit(k), "text", F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))) for k in (1, 2)]
     evidence = docs.select(key[0].alias("key_1"), key[1].alias("key_2"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"))
     unknown = language.identify(evidence, language.fit(docs, "text", "lang")).where("not accepted").select("key_1", "key_2").distinct()
     unknown = stage(unknown, "pipeline-unknown")
@@ -31,22 +36,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of every group of near-duplicates."""
+    """Keeps one document of every group of near-duplicates: the one of smallest doc_id, of equal ones any.
+
+    Texts without words, null ones among them, form one group. Other columns may have any name; an empty table stays empty.
+    """
     return simhash.keep_one(docs, words=3, most_bits=3)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents without an item of the benchmark."""
+    """Keeps documents without an item of the benchmark; those with a null or empty text have none. Repeated rows stay or go together."""
     return decontaminate.without_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes the words of each source up to its target."""
+    """Takes the words of each source up to its target; a null source is a source like others, a text without words adds nothing."""
     return mixing.mixture(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes token files and reads them back."""
+    """Writes token files and reads them back; a null or empty text is the end id alone, repeated rows follow each other."""
     path = scratch_path(spark, "pipeline-tokens")
     token_files.write_token_files(docs, path, Path(tokenizer_file(TOKENIZER)).read_text())
     return token_files.token_spans(spark, path).drop("part")
