@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from html import unescape
 
 import pyarrow as pa
@@ -23,10 +24,9 @@ from claimlens.llm.common import by_bytes
 LONG = 70  # characters
 STOP_HIGH, STOP_LOW = 0.30, 0.20  # share of stop words
 STOP_KNOWN = 0.20  # share on a whole page from which its language is known
-STOP_ARTICLE, ARTICLE_LONG = 0.02, 280  # inside an article a block that long is not main text below that share
 VERY_LONG, FEW_LINKS = 140, 0.2  # characters and share inside links from which the lower share, or none in an unknown language, is enough
 LINKED = 0.5  # share of characters inside links
-NAMED = 4  # by which the text under a name has to be more
+NAMED = 4  # by which each further name around a text divides it, where only named elements hold main text
 
 # Frequent function words by language.
 STOP_WORDS = {language: frozenset(words.split()) for language, words in {
@@ -42,6 +42,9 @@ STOP_WORDS = {language: frozenset(words.split()) for language, words in {
     "ru": "и в не на что с по как это он к из но за то все у от так о для же его а был она они было или мы бы при только",
 }.items()}
 
+LANGUAGES = tuple(STOP_WORDS)
+_STOPS = {word: tuple(k for k, words in enumerate(STOP_WORDS.values()) if word in words) for words in STOP_WORDS.values() for word in words}
+
 # Elements by what they do. All others are part of a line.
 BREAKS = frozenset("""
 address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form
@@ -63,6 +66,8 @@ _ASIDE_NAMES = re.compile(
     r"navigation|form|tags?|copyright|legal|skip)(?:$|[^a-z])"
 )
 _ARTICLE_NAMES = re.compile(r"(?:^|[^a-z])(?:article|articlebody|post-?content|entry-?content|main-?content|story-?body)(?:$|[^a-z])")
+# Names that stay what they are inside a longer class word.
+_NEVER = re.compile(r"comment|disqus|repl|discussion|related|recommend|cookie|consent|gdpr|ad|sponsor|promo|newsletter|subscribe")
 # Class words that tell a state or subject of an element, not what it is.
 _STATE = re.compile(r"(?:no|not|has|have|with|without|is|hide|tag|category|cat|type|format|status|post|author)-")
 _UNNAMED = frozenset("html body main article".split())
@@ -76,6 +81,8 @@ _END = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in SKIPPED}
 _LANG = re.compile(r"<html[^>]*?\slang\s*=\s*[\"']?([A-Za-z_-]+)", re.I)
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W\d_]+")
+_HREF = re.compile(r"\bhref\s*=", re.I)
+_NEXT_A = re.compile(r"<(/?)a(?=[\s/>])", re.I)
 
 
 @dataclass
@@ -85,6 +92,19 @@ class Block:
     part: str  # "aside", "article" or "page"
     names: tuple[str, ...] = ()  # what the elements around it are named, if that is hardly the article
 
+    @cached_property
+    def words(self) -> tuple[int, list[int]]:
+        """Number of words, and of stop words by language, counted once."""
+        words, stops = _WORD.findall(self.text.lower()), [0] * len(LANGUAGES)
+        for w in words:
+            for k in _STOPS.get(w, ()):
+                stops[k] += 1
+        return len(words), stops
+
+    def stop_share(self, language: int) -> float:
+        n, stops = self.words
+        return stops[language] / max(1, n)
+
 
 def _hidden(rest: str) -> bool:
     """Whether attributes hide the element: ``hidden``, or a style that does not show it."""
@@ -98,11 +118,16 @@ def _hidden(rest: str) -> bool:
 
 
 def _aside_name(names: str) -> str | None:
-    """The word by which names tell that an element is hardly the article."""
+    """The word by which names tell that an element is hardly the article. Inside a longer class word it ends with "-": that
+    may be a layout, say ``sidebar-right``."""
+    layout = None
     for token in names.split():
         if (hit := None if _STATE.match(token) else _ASIDE_NAMES.search(token)):
-            return hit[0].strip("-_:.0123456789")
-    return None
+            name = hit[0].strip("-_:.0123456789")
+            if token.rstrip("s") == name.rstrip("s") or _NEVER.match(name):
+                return name
+            layout = layout or f"{name}-"
+    return layout
 
 
 def blocks_of(html: str) -> list[Block]:
@@ -110,7 +135,8 @@ def blocks_of(html: str) -> list[Block]:
     found: list[Block] = []
     stack: list[tuple[str, str, tuple[str, ...]]] = []  # (element, part and names around it)
     pieces: list[tuple[str, bool]] = []
-    links, at, part = 0, 0, "page"
+    at, part = 0, "page"
+    link = ""  # "closed": up to </a>; "open": an <a> that none closes before the next, which ends with its block
     around: tuple[str, ...] = ()
 
     def close_block() -> None:
@@ -124,18 +150,20 @@ def blocks_of(html: str) -> list[Block]:
     while at < len(html):
         tag = _TAG.search(html, at)
         if tag is None:
-            pieces.append((html[at:], links > 0))
+            pieces.append((html[at:], bool(link)))
             break
         if tag.start() > at:
-            pieces.append((html[at : tag.start()], links > 0))
+            pieces.append((html[at : tag.start()], bool(link)))
         at = tag.end()
         if tag["raw"] is not None:
-            pieces.append((tag["raw"].replace("&", "&amp;"), links > 0))
+            pieces.append((tag["raw"].replace("&", "&amp;"), bool(link)))
         if tag["name"] is None:
             continue
         name, closes = tag["name"].lower(), bool(tag["close"])
         if name in BREAKS:
             close_block()
+            if link == "open":
+                link = ""
         if name in SKIPPED and name != "head":
             if not closes and not tag["rest"].endswith("/>"):
                 end = _END[name].search(html, at)
@@ -147,7 +175,10 @@ def blocks_of(html: str) -> list[Block]:
             at = end.end() if end and not (body and body.start() < end.start()) else body.start() if body else at
             continue
         if name == "a":
-            links = max(0, links + (-1 if closes else 1))
+            link = ""
+            if not closes and _HREF.search(tag["rest"]):
+                ahead = _NEXT_A.search(html, at)
+                link = "closed" if ahead and ahead[1] else "open"
         if name in VOID or name not in FOLLOWED:
             continue
         if not closes:
@@ -160,7 +191,9 @@ def blocks_of(html: str) -> list[Block]:
                 else:
                     if name in ARTICLE or names and name not in _UNNAMED and _ARTICLE_NAMES.search(names):
                         inner = "article"
-                    if (called := "form" if name == "form" else _aside_name(names) if names and name not in _UNNAMED else None):
+                        if all(called.endswith("-") for called in around):
+                            within = ()  # a layout around the article
+                    if (called := "form-" if name == "form" else _aside_name(names) if names and name not in _UNNAMED else None):
                         within = (*around, called)
             changed = inner != part or within != around
             if changed or name not in ("p", "a", "span", "li"):
@@ -182,28 +215,26 @@ def blocks_of(html: str) -> list[Block]:
     return found
 
 
-def _words(text: str) -> list[str]:
-    return [w.lower() for w in _WORD.findall(text)]
-
-
-def stop_words_of(blocks: list[Block], declared: str | None) -> frozenset[str] | None:
-    """Stop words of the language that the long blocks of a page show: the declared one, else the one with most of them.
+def language_of(blocks: list[Block], declared: str | None) -> int | None:
+    """The language whose stop words the long blocks of a page show: the declared one, else the one with most of them.
 
     None, if none of the known languages has enough of them: the declaration may be wrong, or the language unknown.
     """
-    words = [w for b in blocks if b.part != "aside" and len(b.text) >= LONG for w in _words(b.text)]
-    share = {k: sum(w in stop for w in words) / max(1, len(words)) for k, stop in STOP_WORDS.items()}
+    counted = [b.words for b in blocks if b.part != "aside" and len(b.text) >= LONG]
+    total = max(1, sum(n for n, _ in counted))
+    share = [sum(stops[k] for _, stops in counted) / total for k in range(len(LANGUAGES))]
     code = re.split("[-_]", (declared or "").strip().lower())[0]
-    if share.get(code, 0) >= STOP_KNOWN:
-        return STOP_WORDS[code]
-    best = max(share, key=lambda k: share[k])
-    return STOP_WORDS[best] if share[best] >= STOP_KNOWN else None
+    if code in LANGUAGES and share[LANGUAGES.index(code)] >= STOP_KNOWN:
+        return LANGUAGES.index(code)
+    best = max(range(len(LANGUAGES)), key=lambda k: share[k])
+    return best if share[best] >= STOP_KNOWN else None
 
 
-def first_pass(block: Block, stop_words: frozenset[str] | None) -> bool | None:
-    """True: main text, False: not, None: undecided. Without stop words, length and links decide.
+def first_pass(block: Block, language: int | None) -> bool | None:
+    """True: main text, False: not, None: undecided. Without a language, length and links decide.
 
-    In an article the limits are lower: a prior, no more.
+    In an article the limits are lower: a prior, no more. There nothing but links is decided against; code, tables and other
+    text without stop words go with their neighbours.
     """
     if block.part == "aside":
         return False
@@ -213,12 +244,11 @@ def first_pass(block: Block, stop_words: frozenset[str] | None) -> bool | None:
     if len(block.text) < LONG:
         return None
     prose = len(block.text) >= VERY_LONG and block.linked <= FEW_LINKS * len(block.text)
-    if stop_words is None:
+    if language is None:
         return True if article or prose else None
-    words = _words(block.text)
-    stop = sum(w in stop_words for w in words) / max(1, len(words))
+    stop = block.stop_share(language)
     if article:
-        return True if stop >= STOP_LOW else False if len(block.text) >= ARTICLE_LONG and stop < STOP_ARTICLE else None
+        return True if stop >= STOP_LOW else None
     return True if stop >= (STOP_LOW if prose else STOP_HIGH) else None if stop >= STOP_LOW else False
 
 
@@ -246,23 +276,25 @@ def second_pass(blocks: list[Block], labels: list[bool | None]) -> list[bool]:
     return out
 
 
-def _evidence(block: Block, stop_words: frozenset[str] | None) -> int:
+def _evidence(block: Block, language: int | None) -> int:
     """Characters of main text that a block is counted for: undecided text of an article counts as well."""
-    label = first_pass(block, stop_words)
+    label = first_pass(block, language)
     some = label or label is None and block.part == "article" and block.linked <= LINKED * len(block.text)
     return len(block.text) if some else 0
 
 
-def without_named(blocks: list[Block], stop_words: frozenset[str] | None) -> list[Block]:
-    """Blocks outside of named elements, and those under the names that hold most of the page's main text.
+def without_named(blocks: list[Block], language: int | None) -> list[Block]:
+    """Blocks outside of named elements. Comments, menus and boxes never win by their size.
 
-    Each name around a block divides the main text found under these names by NAMED. Names only count as wrong, for a
-    layout or a whole page, if what is left is still the most.
+    Only if no block outside holds main text, names count as wrong, say for a form around a whole page: then the blocks
+    under the names that hold most of it are kept too, where each name divides by NAMED and one inside a longer word does not.
     """
     found: dict[tuple[str, ...], int] = {(): 0}
     for b in blocks:
-        found[b.names] = found.get(b.names, 0) + _evidence(b, stop_words)
-    best = max(found, key=lambda names: (found[names] / NAMED ** len(names), -len(names), names))
+        found[b.names] = found.get(b.names, 0) + _evidence(b, language)
+    best: tuple[str, ...] = ()
+    if not found[()]:
+        best = max(found, key=lambda names: (found[names] / NAMED ** sum(not n.endswith("-") for n in names), -len(names), names))
     return [b for b in blocks if b.names in ((), best)]
 
 
@@ -274,12 +306,13 @@ def main_text(html: str | None) -> str:
     """
     blocks = [b for b in blocks_of(html or "") if b.part != "aside"]
     lang = _LANG.search(html or "")
-    stop_words = stop_words_of(blocks, lang[1] if lang else None)
-    blocks = without_named(blocks, stop_words)
-    inside, outside = (sum(_evidence(b, stop_words) for b in blocks if b.part == part) for part in ("article", "page"))
+    language = language_of(blocks, lang[1] if lang else None)
+    blocks = without_named(blocks, language)
+    inside, outside = (sum(_evidence(b, language) for b in blocks if b.part == part) for part in ("article", "page"))
     if inside < outside:
-        blocks = [Block(b.text, b.linked, "page") for b in blocks]
-    keep = second_pass(blocks, [first_pass(b, stop_words) for b in blocks])
+        for b in blocks:
+            b.part = "page"
+    keep = second_pass(blocks, [first_pass(b, language) for b in blocks])
     return " ".join(b.text for b, k in zip(blocks, keep) if k)
 
 

@@ -5,6 +5,7 @@ from html import escape, unescape
 import pytest
 from pyspark.sql import functions as F
 
+from claimlens.llm import html_text
 from claimlens.llm.common import read_table
 from claimlens.llm.html_text import blocks_of, extract, main_text
 
@@ -61,9 +62,88 @@ def test_related_cards_do_not_replace_the_text():
     assert got.startswith(f"{LONG} {LONG}") and "Another" not in got
 
 
-def test_stop_words_decide_inside_an_article():
+def test_stop_words_decide_outside_an_article_only():
     junk = "Zzxx qqyy wwkk " * 30
-    assert main_text(f"<article><p>{LONG}</p><p>{junk}</p><p>{LONG}</p></article>") == f"{LONG} {LONG}"
+    assert main_text(f"<article><p>{LONG}</p><p>{junk}</p><p>{LONG}</p></article>") == f"{LONG} {junk.strip()} {LONG}"
+    assert main_text(f"<div><p>{LONG}</p><p>{junk}</p><p>{LONG}</p></div>") == f"{LONG} {LONG}"
+
+
+@pytest.mark.parametrize("box", ['div class="comments"', 'section id="comments"', 'div class="comment-list"', 'div class="sidebar"', 'div id="cookie-banner"', 'div class="related-posts"', "form", 'div class="ad"'])
+@pytest.mark.parametrize("inside", [True, False])
+def test_boxes_never_win_by_size(box, inside):
+    many, end = f"<{box}>" + f"<p>{LONG} Indeed.</p>" * 12 + f"</{box.split()[0]}>", "</article>"
+    page = f"<body><article><p>{LONG}</p><p>{LONG}</p>" + (many + end if inside else end + many) + "</body>"
+    assert main_text(page) == f"{LONG} {LONG}"
+    page = page.replace("<article>", "<div class='post'>").replace("</article>", "</div>")
+    assert main_text(page) == f"{LONG} {LONG}"
+
+
+def test_comments_marked_up_as_articles():
+    many = '<div id="comments"><ol>' + f'<li class="comment"><article class="comment-body"><p>{LONG}</p></article></li>' * 9 + "</ol></div>"
+    assert main_text(f"<main><article><p>{LONG}</p></article>{many}</main>") == LONG
+
+
+@pytest.mark.parametrize("page", [
+    f'<body><a name="top"><p>{LONG}</p><p>{LONG}</p></body>', f'<body><a href="#x"><p>{LONG}</p><p>{LONG}</p></body>',
+    f'<body><div><a href="#x">Home</div><p>{LONG}</p><p>{LONG}</p></body>', f'<body><p><a href="1">one<a href="2">two</a></p><p>{LONG}</p><p>{LONG}</p></body>',
+    f"<body><a href='1'>x</a></a></a><p>{LONG}</p><p>{LONG}</p></body>",
+])
+def test_unclosed_links_do_not_empty_a_page(page):
+    assert main_text(page).endswith(f"{LONG} {LONG}")
+
+
+def test_closed_links_around_blocks_count():
+    assert main_text(f"<body><p>{LONG}</p><p>{LONG}</p><a href='1'><div>{LONG}</div></a></body>") == f"{LONG} {LONG}"
+
+
+def test_code_and_tables_of_an_article_stay():
+    code = "for (int i = 0; i < n; ++i) { total += weights[i] * values[i]; } // " + "x = y + z; " * 40
+    row = "<tr><td>" + "</td><td>".join(["Alpha 12.5 kg", "Beta 13.75 kg " * 30, "Gamma"]) + "</td></tr>"
+    got = main_text(f"<article><p>{LONG}</p><pre><code>{escape(code)}</code></pre><table><tr><th>Name</th></tr>{row * 3}</table><p>{LONG}</p></article>")
+    assert " ".join(code.split()) in got and got.count("Beta 13.75 kg") == 90 and "Gamma" in got and got.count(LONG) == 2
+
+
+def test_layout_around_an_article_beside_other_text():
+    tagline = "This is the site of all of the stories that were told in this town, and it is as old as the town."
+    page = f'<body><p>{tagline}</p><div class="layout sidebar-right"><article><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></article><div class="sidebar"><p>{LONG} No.</p></div></div></body>'
+    assert LONG in main_text(page) and "No." not in main_text(page)
+
+
+def plain_passes(blocks, words_of):
+    """Both passes written out: blocks (text, linked, part) without names, one language."""
+    labels = []
+    for text, linked, part in blocks:
+        stop = len([w for w in re.findall(r"[^\W\d_]+", text.lower()) if w in words_of]) / max(1, len(re.findall(r"[^\W\d_]+", text)))
+        if linked > 0.5 * len(text):
+            labels.append(None if part == "article" else False)
+        elif len(text) < 70:
+            labels.append(None)
+        elif part == "article":
+            labels.append(True if stop >= 0.2 else None)
+        else:
+            long = len(text) >= 140 and linked <= 0.2 * len(text)
+            labels.append(True if stop >= (0.2 if long else 0.3) else None if stop >= 0.2 else False)
+    out = list(labels)
+    for k, label in enumerate(labels):
+        if label is None:
+            same = [(abs(j - k), not labels[j]) for j in range(len(blocks)) if blocks[j][2] == blocks[k][2] and labels[j] is not None]
+            out[k] = not min(same)[1] if same else blocks[k][2] == "article" or not any(b[2] == "article" for b in blocks) and blocks[k][1] <= 0.5 * len(blocks[k][0])
+    return [t for (t, _, _), keep in zip(blocks, out) if keep]
+
+
+def test_two_passes_like_brute_force():
+    rng = random.Random(9)
+    stop = html_text.STOP_WORDS["en"]
+    for _ in range(400):
+        blocks = []
+        for _ in range(rng.randint(1, 25)):
+            n, share = rng.choice([1, 3, 9, 14, 20, 40, 80]), rng.choice([0.0, 0.15, 0.22, 0.27, 0.35, 0.5])
+            text = " ".join(rng.choice(sorted(stop)) if rng.random() < share else rng.choice(["lorem", "qqyy", "stories", "hill"]) for _ in range(n))
+            blocks.append((text, rng.choice([0, 0, 0, len(text) // 5, len(text) // 2 + 1, len(text)]), rng.choice(["article", "page", "page"])))
+        found = [html_text.Block(*b) for b in blocks]
+        en = html_text.LANGUAGES.index("en")
+        keep = html_text.second_pass(found, [html_text.first_pass(b, en) for b in found])
+        assert [b.text for b, k in zip(found, keep) if k] == plain_passes(blocks, stop)
 
 
 @pytest.mark.parametrize("lang", ["pl", "hu", "en", ""])
