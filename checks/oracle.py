@@ -567,3 +567,14 @@ ORACLE["high_volume_provider"] = sql(f""", {_DAYS} SELECT provider_id, strftime(
 
 # approximate search: the exact search has so many neighbours, of which nine in ten have to be found
 ORACLE["knn_cells_recall"] = "SELECT sum(least(10, (SELECT count(*) FROM embeddings)))::BIGINT AS neighbours, true AS reached FROM embeddings WHERE vec_id % 20 = 0"
+
+# the model: what SQL can say of a result that depends on trees
+ORACLE["write_artifacts"] = sql(" UNION ALL ".join(
+    f"SELECT '{f}' AS feature, quantile_cont({f}::DOUBLE, 0.5) AS median, true AS same_scores, true AS same_threshold, 1.0::DOUBLE AS importance_sum FROM gold HAVING count({f}) > 0"
+    for f in K.FEATURES), "gold")
+ORACLE["feature_importance"] = "SELECT feature, true AS in_range, 1.0::DOUBLE AS total FROM " + values([(f, i) for i, f in enumerate(K.FEATURES)], "t(feature, i)")
+ORACLE["importance_sorted"] = f"SELECT unnest(range(1, {len(K.FEATURES) + 1}))::INT AS place, true AS in_order, true AS known"
+ORACLE["score_claims"] = sql(
+    "SELECT claim_id, true AS in_range, true AS rounded, true AS label_fits, true AS level_fits, true AS threshold_fits FROM gold", "gold")
+ORACLE["tune_random_cv"] = "SELECT unnest(range(10))::INT AS trial, true AS in_ranges, true AS learned"
+ORACLE["train_gbt"] = "SELECT true AS tuned, true AS threshold_in_range, true AS f1_in_range, true AS auc_in_range"

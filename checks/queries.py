@@ -23,10 +23,6 @@ from claimlens.streaming.decisions import stream_score_claims
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
-# Trees per trial of the registered tuning query; the library's default is (100, 300), some 6000 trees in all.
-CHECK_TREES = (5, 15)
-
-
 def query(fn: Query) -> Query:
     REGISTRY[fn.__name__] = fn
     return fn
@@ -169,10 +165,17 @@ def write_index(spark, sf):
 
 @query
 def write_artifacts(spark, sf):
+    """The medians read back, and whether the model, threshold and importances that were read back are those written."""
     t, path = _trained(spark, sf), scratch_path(spark, "model")
     artifacts.write_artifacts(spark, path, t.model, t.medians, t.threshold, t.best_f1, t.auc, train.feature_importance(t.model, spark))
     loaded = artifacts.read_artifacts(spark, path)
-    return spark.createDataFrame([(k, v, loaded.threshold) for k, v in loaded.medians.items()], "feature string, median double, threshold double")
+    rows = prepare.impute(_gold_table(spark, sf), t.medians)
+    both = score.with_log_odds(rows, t.model).select("claim_id", F.col("log_odds").alias("a")).join(score.with_log_odds(rows, loaded.model), "claim_id")
+    same = both.where(F.col("a") != F.col("log_odds")).isEmpty()
+    gains = spark.read.json(f"{path}/feature_importance").agg(F.round(F.sum("importance"), 6)).first()[0]
+    return spark.createDataFrame(
+        [(k, v, same, loaded.threshold == t.threshold and 0.1 <= t.threshold <= 0.9, gains) for k, v in loaded.medians.items()],
+        "feature string, median double, same_scores boolean, same_threshold boolean, importance_sum double")
 
 
 @query
@@ -660,7 +663,7 @@ def _shared(spark, sf):
     key = (spark.sparkContext.applicationId, sf)
     if key not in _MODELS or not tables.path_exists(spark, _MODELS[key][0]):
         path = tables.write_layer(gold(spark, sf), scratch_path(spark, "gold"))
-        _MODELS[key] = (path, training.train_model(spark.read.parquet(path), params=train.DEFAULT_PARAMS))
+        _MODELS[key] = (path, training.train_model(spark.read.parquet(path), settings=train.DEFAULT_SETTINGS))
     return _MODELS[key]
 
 
@@ -683,16 +686,40 @@ def stratified_split(spark, sf):
     return prepare.stratified_split(labelled)
 
 
+# Trials and tuned model of this process, like _MODELS.
+_TUNED: dict[tuple[str, str], tuple[DataFrame, training.Trained]] = {}
+
+
+def _tuned(spark, sf):
+    """Tune, then train with the best settings, on the training part of the gold table."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _TUNED or not tables.path_exists(spark, _MODELS[key][0]):
+        gold = _gold_table(spark, sf)
+        medians = _trained(spark, sf).medians
+        fit_rows = stage(prepare.stratified_split(stage(prepare.prepare_features(gold, medians), "prepared")), "split").where(~F.col("is_test"))
+        best, trials = train.tune_random_cv(fit_rows)
+        _TUNED[key] = (stage(trials, "trials"), training.train_model(gold, settings=best))
+    return _TUNED[key]
+
+
+def _in_ranges():
+    spans = {"max_depth": (3, 6), "step_size": (0.01, 0.2), "trees": (100, 300), "row_share": (0.6, 1.0), "column_share": (0.6, 1.0)}
+    return F.array_min(F.array(*[F.col(c).between(*span) for c, span in spans.items()]))
+
+
 @query
 def tune_random_cv(spark, sf):
-    prepared = stage(prepare.prepare_features(_gold_table(spark, sf), _trained(spark, sf).medians), "prepared")
-    return train.tune_random_cv(prepared, trees=CHECK_TREES, parallelism=8)[1]
+    """Of each trial whether its settings are in the established ranges and whether it learned: AUC over held-out folds above 0.85."""
+    return _tuned(spark, sf)[0].select("trial", _in_ranges().alias("in_ranges"), F.col("mean_auc").between(0.85, 1.0).alias("learned"))
 
 
 @query
 def train_gbt(spark, sf):
-    t = _trained(spark, sf)
-    return spark.createDataFrame([(t.threshold, t.best_f1, t.auc)], "threshold double, best_f1 double, auc double")
+    """The tuned model: its settings are the best trial's, its threshold the best on the training scores, its AUC that of the test part."""
+    trials, t = _tuned(spark, sf)
+    best = trials.orderBy(F.desc("mean_auc"), "trial").first()
+    same = train.settings_of(best) == t.settings and len(t.model.feature) == best["trees"]
+    return spark.createDataFrame([(same, 0.10 <= t.threshold <= 0.90, 0.8 < t.best_f1 <= 1.0, 0.85 < t.auc <= 1.0)], "tuned boolean, threshold_in_range boolean, f1_in_range boolean, auc_in_range boolean")
 
 
 def _rule_scores(spark, sf):
@@ -720,19 +747,33 @@ def classification_report(spark, sf):
 
 @query
 def feature_importance(spark, sf):
-    return train.feature_importance(_trained(spark, sf).model, spark)
+    """Every feature with whether its share is one, and what all shares sum to."""
+    shares = train.feature_importance(_trained(spark, sf).model, spark)
+    total = shares.agg(F.round(F.sum("importance"), 6)).first()[0]
+    return shares.select("feature", F.col("importance").between(0, 1).alias("in_range"), F.lit(total).alias("total"))
 
 
 @query
 def importance_sorted(spark, sf):
-    return train.importance_sorted(train.feature_importance(_trained(spark, sf).model, spark), ascending=True)
+    """The shares in ascending order: each place with whether it holds at least the share of the place before."""
+    rows = train.importance_sorted(train.feature_importance(_trained(spark, sf).model, spark), ascending=True).collect()
+    shares = [r["importance"] for r in rows]
+    return spark.createDataFrame([(i + 1, i == 0 or shares[i - 1] <= x, r["feature"] in K.FEATURES) for i, (x, r) in enumerate(zip(shares, rows))], "place int, in_order boolean, known boolean")
 
 
 @query
 def score_claims(spark, sf):
+    """Every claim with its threshold's label and level worked out again from the model's own probability."""
     t = _trained(spark, sf)
-    return score.score_claims(_gold_table(spark, sf), t.model, t.medians, t.threshold).select(
-        "claim_id", "probability", "predicted_label", "risk_level", "threshold")
+    gold = _gold_table(spark, sf)
+    raw = score.with_log_odds(prepare.impute(gold, t.medians), t.model).select("claim_id", "raw_probability")
+    scored = score.score_claims(gold, t.model, t.medians, t.threshold).select("claim_id", "probability", "predicted_label", "risk_level", "threshold")
+    p = F.col("raw_probability")
+    level = F.when(p < 0.4, "LOW").when(p < 0.7, "MEDIUM").otherwise("HIGH")
+    return scored.join(raw, "claim_id").select(
+        "claim_id", F.col("probability").between(0, 1).alias("in_range"), (F.abs(F.col("probability") - p) <= 5.0001e-5).alias("rounded"),
+        (F.col("predicted_label") == (p >= t.threshold).cast("int")).alias("label_fits"), (F.col("risk_level") == level).alias("level_fits"),
+        (F.col("threshold") == t.threshold).alias("threshold_fits"))
 
 
 @query
@@ -750,18 +791,17 @@ def attribute_claims(spark, sf):
 
 @query
 def attribution_sorted(spark, sf):
-    """Per claim whether its features are ranked by size and add up to its log-odds above the median claim's."""
+    """Per claim whether its features are ranked by size and add up to its log-odds above the expected ones."""
     t = _trained(spark, sf)
     gold = _gold_table(spark, sf)
     scored = score.with_log_odds(prepare.impute(gold, t.medians), t.model).select("claim_id", "log_odds")
-    middle = score.with_log_odds(prepare.impute(spark.createDataFrame([("median",)], "claim_id string"), t.medians), t.model).first()["log_odds"]
     ranked = score.attribute_claims(gold, t.model, t.medians).groupBy("claim_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "shap_value"))).alias("x"))
     sizes = F.transform("x", lambda e: F.abs(e["shap_value"]))
     total = F.aggregate("x", F.lit(0.0), lambda n, e: n + e["shap_value"])
     return ranked.join(scored, "claim_id").select(
         "claim_id", F.size("x").alias("features"), (F.col("x.rank") == F.sequence(F.lit(1), F.lit(7))).alias("ranked"),
-        (sizes == F.sort_array(sizes, asc=False)).alias("in_order"), (F.abs(total - (F.col("log_odds") - middle)) < 1e-3).alias("adds_up"))
+        (sizes == F.sort_array(sizes, asc=False)).alias("in_order"), (F.abs(total - (F.col("log_odds") - t.model.expected)) < 1e-3).alias("adds_up"))
 
 
 @query

@@ -3,22 +3,23 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from typing import Any
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..ml import evaluate, prepare, train
+from ..ml.boost import Settings
+from ..ml.forest import Forest
+from ..ml.score import with_log_odds
 from ..session import stage
 from ..sources.artifacts import write_artifacts
 
 
 @dataclass(frozen=True)
 class Trained:
-    model: PipelineModel
+    model: Forest
+    settings: Settings
     medians: dict[str, float]
     threshold: float
     best_f1: float
@@ -26,32 +27,30 @@ class Trained:
     report: DataFrame
 
 
-def with_score(prepared: DataFrame, model: PipelineModel) -> DataFrame:
-    return model.transform(prepared).select(
-        F.col(K.TARGET).alias("label"), vector_to_array("probability")[1].alias("score")
-    )
+def with_score(prepared: DataFrame, model: Forest) -> DataFrame:
+    return with_log_odds(prepared, model).select(F.col(K.TARGET).alias("label"), F.col("raw_probability").alias("score"))
 
 
 def train_model(
-    gold: DataFrame, out_dir: str | None = None, params: dict[str, Any] | None = None, trials: int = 10, **tuning
+    gold: DataFrame, out_dir: str | None = None, settings: Settings | None = None, trials: int = 10, **tuning
 ) -> Trained:
     """Impute, split, tune, fit, choose the threshold on training scores, test and save.
 
-    ``params`` skips the tuning.
+    ``settings`` skips the tuning; else the final model has the settings of the best trial.
     """
     spark = gold.sparkSession
     medians = prepare.medians_dict(prepare.feature_medians(gold))
     prepared = stage(prepare.prepare_features(gold, medians), "prepared")
     split = stage(prepare.stratified_split(prepared), "split")
     fit_rows, test_rows = split.where(~F.col("is_test")), split.where("is_test")
-    if params is None:
-        params, _ = train.tune_random_cv(fit_rows, trials=trials, **tuning)
-    model = train.train_gbt(fit_rows, params)
+    if settings is None:
+        settings, _ = train.tune_random_cv(fit_rows, trials=trials, **tuning)
+    model = train.train_gbt(fit_rows, settings)
     best = evaluate.best_f1_threshold(with_score(fit_rows, model)).first()
     tested = stage(with_score(test_rows, model), "test-scores")
     auc = evaluate.score_auc(tested).first()["auc"]
     predicted = tested.withColumn("prediction", (F.col("score") >= best["best_threshold"]).cast("int"))
-    trained = Trained(model, medians, best["best_threshold"], best["best_f1"], auc, evaluate.classification_report(predicted))
+    trained = Trained(model, settings, medians, best["best_threshold"], best["best_f1"], auc, evaluate.classification_report(predicted))
     if out_dir:
         write_artifacts(spark, out_dir, model, medians, trained.threshold, trained.best_f1, auc,
                         train.feature_importance(model, spark))

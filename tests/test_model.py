@@ -1,12 +1,15 @@
+import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from claimlens import constants as K
 from claimlens.errors import ClaimLensError
-from claimlens.ml import evaluate, prepare, score, train
+from claimlens.ml import boost, evaluate, forest, prepare, score, train
+from claimlens.ml.boost import Settings
 from claimlens.plans import training
 from claimlens.session import stage
 from claimlens.sources import artifacts, tables
@@ -30,7 +33,7 @@ def gold(spark):
 @pytest.fixture(scope="module")
 def trained(gold, spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("model"))
-    return training.train_model(gold, path, params={"maxDepth": 3, "stepSize": 0.3, "maxIter": 5}), path
+    return training.train_model(gold, path, settings=Settings(depth=3, step=0.3, trees=5, row_share=1.0, column_share=1.0)), path
 
 
 def scores(spark, pairs):
@@ -100,8 +103,8 @@ def test_folds_are_balanced(gold):
 
 def test_training_rows_keep_all_weight(gold):
     prepared = prepare.prepare_features(gold)
-    bins = train.fit_bins(prepared)
-    rows = train.training_rows(prepared, bins, 1.0)
+    edges = train.fit_bins(prepared)
+    rows = train.training_rows(prepared, edges, 1.0)
     assert rows.agg(F.sum("weight")).first()[0] == 3000.0
     assert rows.count() <= 3000
     weight = train.class_weight(prepared)
@@ -118,7 +121,9 @@ def test_model_learns_and_its_artifacts_survive(spark, trained, gold):
     b = score.score_claims(gold, loaded.model, loaded.medians, loaded.threshold).orderBy("claim_id").collect()
     assert a == b
     assert all(0 <= r["probability"] <= 1 and r["risk_level"] in ("HIGH", "MEDIUM", "LOW") for r in a)
-    assert " in {" not in t.model.stages[-1].toDebugString  # bins are split by order
+    for name in ("feature", "cut", "value", "cover", "gain"):
+        assert np.array_equal(getattr(t.model, name), getattr(loaded.model, name))
+    assert (t.model.features, t.model.edges) == (loaded.model.features, loaded.model.edges)
     importance = train.feature_importance(t.model, spark).collect()
     assert importance[0]["feature"] == "missing_fields_count" and math.isclose(sum(r["importance"] for r in importance), 1.0)
     assert train.importance_sorted(train.feature_importance(t.model, spark), ascending=True).collect()[-1] == importance[0]
@@ -149,8 +154,7 @@ def test_attributions_add_up_to_the_score(spark, trained, gold):
     rows = score.attribute_claims(some, t.model, t.medians).collect()
     claims = {r["claim_id"] for r in rows}
     assert len(rows) == 7 * some.count() and some.count() == len(claims) + 1
-    base = spark.createDataFrame([("base",)], "claim_id string")
-    f0 = score.with_log_odds(prepare.impute(base, t.medians), t.model).first()["log_odds"]
+    f0 = t.model.expected
     fx = {r["claim_id"]: r["log_odds"] for r in score.with_log_odds(prepare.impute(some, t.medians), t.model).collect()}
     for c in claims:
         mine = sorted({r for r in rows if r["claim_id"] == c}, key=lambda r: r["rank"])
@@ -172,16 +176,147 @@ def test_explanations(spark):
 def test_trials_stay_in_range():
     drawn = train.draw_trials(50)
     assert drawn == train.draw_trials(50)
-    for p in drawn:
-        assert 3 <= p["maxDepth"] <= 6 and 0.01 <= p["stepSize"] <= 0.2 and 100 <= p["maxIter"] <= 300
-        assert 0.6 <= p["subsamplingRate"] <= 1 and 0.6 <= float(p["featureSubsetStrategy"]) <= 1
+    finished = [(s, 0.9 - (s.step - 0.1) ** 2) for s in drawn[:8]]
+    for s in [*drawn, *train.propose(finished, 50)]:
+        assert 3 <= s.depth <= 6 and 0.01 <= s.step <= 0.2 and 100 <= s.trees <= 300
+        assert 0.6 <= s.row_share <= 1 and 0.6 <= s.column_share <= 1
+    assert {s.depth for s in drawn} == {3, 4, 5, 6}
 
 
 def test_tuning_picks_the_best_trial(gold):
-    best, table = train.tune_random_cv(prepare.prepare_features(gold), trials=2, trees=(2, 3))
+    best, table = train.tune_random_cv(prepare.prepare_features(gold), trials=3, trees=(2, 4))
     rows = table.collect()
     top = max(rows, key=lambda r: r["mean_auc"])
-    assert len(rows) == 2 and top["mean_auc"] > 0.8 and best["maxDepth"] == top["max_depth"]
+    assert len(rows) == 3 and top["mean_auc"] > 0.8 and best == train.settings_of(top)
+
+
+def test_guided_search_follows_from_the_seed_and_beats_random_draws():
+    """The same budget on a smooth objective: over five seeds the best of the guided trials is better on average."""
+    def score(trials):
+        return [-(((s.step - 0.05) / 0.19) ** 2) - ((s.row_share - 0.9) / 0.4) ** 2 - ((s.depth - 5) / 3) ** 2 - ((s.column_share - 0.7) / 0.4) ** 2 - ((s.trees - 250) / 200) ** 2 for s in trials]
+
+    best = {}
+    for rounds in (1, 21):
+        runs = [train.search(score, 30, seed=seed, rounds=rounds) for seed in range(5)]
+        assert all(len(r) == 30 for r in runs) and runs[0] == train.search(score, 30, seed=0, rounds=rounds)
+        best[rounds] = sum(max(v for _, v in r) for r in runs) / 5
+    assert best[21] > best[1]
+    assert [s for s, _ in train.search(score, 9, seed=1, rounds=3)][:3] == train.draw_trials(9, seed=1)[:3]
+
+
+def test_guided_tuning(gold):
+    best, table = train.tune_random_cv(prepare.prepare_features(gold), trials=4, trees=(2, 3), folds=2, rounds=2)
+    rows = table.collect()
+    assert len(rows) == 4 and best == train.settings_of(max(rows, key=lambda r: r["mean_auc"]))
+
+
+def plain_boost(bins, y, w, settings, sizes):
+    """Trees grown one row at a time."""
+    margin, trees = np.zeros(len(y)), []
+    for _ in range(settings.trees):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = w * (p - y), w * p * (1 - p)
+
+        def grow(rows, depth):
+            G, H = g[rows].sum(), h[rows].sum()
+            best = (1e-12, None, None)
+            if depth < settings.depth:
+                for f in range(bins.shape[1]):
+                    for c in range(sizes[f] - 1):
+                        left = rows[bins[rows, f] <= c]
+                        gl, hl = g[left].sum(), h[left].sum()
+                        if hl >= boost.LEAST_WEIGHT and H - hl >= boost.LEAST_WEIGHT:
+                            gain = gl**2 / (hl + 1) + (G - gl) ** 2 / (H - hl + 1) - G**2 / (H + 1)
+                            if gain > best[0] + 1e-9:
+                                best = (gain, f, c)
+            if best[1] is None:
+                margin[rows] += -settings.step * G / (H + 1)
+                return
+            inside = bins[rows, best[1]] <= best[2]
+            grow(rows[inside], depth + 1)
+            grow(rows[~inside], depth + 1)
+
+        grow(np.arange(len(y)), 0)
+    return margin
+
+
+def test_boosting_equals_a_plain_loop_and_ignores_the_cut(spark):
+    rng = np.random.default_rng(3)
+    sizes = [5, 2, 7]
+    bins = np.stack([rng.integers(0, n, 400) for n in sizes], axis=1)
+    y = ((bins[:, 0] >= 3) ^ (bins[:, 2] < 2) ^ (rng.random(400) < 0.1)).astype(float)
+    w = rng.uniform(0.5, 3, 400)
+    rows = [(*map(int, b), float(a), float(c), i % 3, i * 7919) for i, (b, a, c) in enumerate(zip(bins, y, w))]
+    df = spark.createDataFrame(rows, "a int, b int, c int, label double, weight double, fold int, hash long")
+    first, second = Settings(3, 0.3, 7, 1.0, 1.0), Settings(2, 0.5, 3, 1.0, 1.0)
+    models = [boost.Model(first, 1), boost.Model(second, 1), boost.Model(first, 1, without=1)]
+    boost.boost(boost.pack(df.repartition(3), ("a", "b", "c"), 3), models, sizes)
+    grown = [boost.forest_of(m, ("a", "b", "c"), [(), (), ()]) for m in models]
+    for model, settings in zip(grown, (first, second)):
+        assert np.allclose(model.margins(bins.astype(np.int16)), plain_boost(bins, y, w, settings, sizes))
+    inside = np.arange(400) % 3 != 1
+    assert np.allclose(grown[2].margins(bins[inside].astype(np.int16)), plain_boost(bins[inside], y[inside], w[inside], first, sizes))
+    sampled = Settings(3, 0.3, 6, 0.7, 0.67)
+    twice = []
+    for n in (1, 5):
+        model = boost.Model(sampled, 4)
+        boost.boost(boost.pack(df.repartition(n), ("a", "b", "c"), 1), [model], sizes)
+        twice.append(boost.forest_of(model, ("a", "b", "c"), [(), (), ()]))
+    assert np.array_equal(twice[0].feature, twice[1].feature) and np.allclose(twice[0].value, twice[1].value)
+
+
+def brute_shapley(model, row):
+    """Over all subsets of the features: a known feature decides its splits, an unknown one goes both ways by weight."""
+    n = len(model.features)
+
+    def worth(known):
+        def down(t, node):
+            f = int(model.feature[t, node])
+            if f < 0:
+                return model.value[t, node]
+            left, right = 2 * node + 1, 2 * node + 2
+            if f in known:
+                return down(t, left if row[f] <= model.cut[t, node] else right)
+            return (down(t, left) * model.cover[t, left] + down(t, right) * model.cover[t, right]) / model.cover[t, node]
+
+        return sum(down(t, 0) for t in range(len(model.feature)))
+
+    out = np.zeros(n)
+    for i in range(n):
+        for size in range(n):
+            for known in itertools.combinations([j for j in range(n) if j != i], size):
+                share = math.factorial(size) * math.factorial(n - size - 1) / math.factorial(n)
+                out[i] += share * (worth({*known, i}) - worth(set(known)))
+    return out
+
+
+def test_path_values_equal_all_subsets(trained):
+    t, _ = trained
+    rng = np.random.default_rng(4)
+    bins = np.stack([rng.integers(0, len(e) + 1, 12) for e in t.model.edges], axis=1).astype(np.int16)
+    got = forest.path_values(t.model, bins)
+    for row, values in zip(bins, got):
+        assert np.allclose(values, brute_shapley(t.model, row))
+    assert np.allclose(got.sum(axis=1), t.model.margins(bins) - t.model.expected)
+
+
+def test_paths_that_use_a_feature_twice():
+    """Splits of one feature on one way are one condition, with the product of their shares."""
+    model = forest.Forest(("a", "b"), ((), ()), np.array([[0, 0, 1, -1, -1, -1, -1]]), np.array([[3, 1, 2, 0, 0, 0, 0]]),
+                          np.array([[0, 0, 0, 1.0, -2.0, 4.0, 0.5]]), np.array([[10.0, 6, 4, 1, 5, 3, 1]]), np.zeros(2))
+    for a in range(5):
+        for b in range(5):
+            assert np.allclose(forest.path_values(model, np.array([[a, b]], np.int16))[0], brute_shapley(model, (a, b)))
+
+
+def test_bins_count_edges(spark):
+    df = spark.createDataFrame([(float(i % 7),) * 7 for i in range(100)], [*K.FEATURES])
+    edges = train.fit_bins(df, 64)
+    assert edges == [tuple(map(float, range(1, 7)))] * 7
+    got = train.with_bins(df, edges).select(K.FEATURES[0], train.binned(K.FEATURES[0])).distinct().collect()
+    assert all(r[0] == r[1] for r in got)
+    constant = df.select(*[F.lit(2.0).alias(c) for c in K.FEATURES])
+    assert train.fit_bins(constant) == [()] * 7 and train.with_bins(constant, [()] * 7).select(train.binned(K.FEATURES[1])).distinct().collect() == [(0,)]
 
 
 def test_folds_have_like_shares_of_every_label(spark):
