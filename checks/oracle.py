@@ -578,3 +578,15 @@ ORACLE["score_claims"] = sql(
     "SELECT claim_id, true AS in_range, true AS rounded, true AS label_fits, true AS level_fits, true AS threshold_fits FROM gold", "gold")
 ORACLE["tune_random_cv"] = "SELECT unnest(range(10))::INT AS trial, true AS in_ranges, true AS learned"
 ORACLE["train_gbt"] = "SELECT true AS tuned, true AS threshold_in_range, true AS f1_in_range, true AS auc_in_range"
+
+# growing tables
+ORACLE["upsert_silver"] = ORACLE["clean_claims"]
+ORACLE["stream_audit_trigger"] = "SELECT *, 0::BIGINT AS late_rows FROM (" + ORACLE["audit_trigger"] + ")"
+_CSV_LINE = "concat_ws(',', claim_id, coalesce(patient_id, ''), coalesce(provider_id, ''), coalesce(diagnosis_code, ''), coalesce(procedure_code, ''), amount, coalesce(date, ''))"
+ORACLE["quarantine_csv"] = sql(f"""
+  , keyed AS (SELECT *, regexp_replace(claim_id, '[^0-9]', '', 'g')::BIGINT AS key FROM bronze),
+  amounts AS (SELECT *, CASE WHEN key % 97 = 3 THEN 'n/a' ELSE coalesce(billed_amount::VARCHAR, '') END AS amount FROM keyed),
+  lines AS (SELECT *, key % 89 = 1 AS short, key % 89 <> 1 AND key % 83 = 2 AS long, {_CSV_LINE} AS line FROM amounts)
+  SELECT 'good' AS kind, claim_id, billed_amount, date, NULL::VARCHAR AS line, NULL::INT AS n_fields FROM lines WHERE NOT short AND NOT long AND amount <> 'n/a'
+  UNION ALL SELECT 'rejected', NULL, NULL, NULL, CASE WHEN short THEN regexp_replace(line, ',[^,]*$', '') WHEN long THEN line || ',more' ELSE line END,
+         (7 - short::INT + long::INT)::INT FROM lines WHERE short OR long OR amount = 'n/a'""", "bronze")

@@ -17,7 +17,8 @@ from claimlens.operators import (
 from claimlens.plans import decisions, layers, training
 from claimlens.schemas import RAW_CLAIMS, RAW_SCHEMAS
 from claimlens.session import scratch_path, stage
-from claimlens.sources import artifacts, policies, star, tables
+from claimlens.sources import artifacts, policies, quarantine, star, tables, upsert
+from claimlens.streaming import audits
 from claimlens.streaming.decisions import stream_score_claims
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -993,3 +994,57 @@ def knn_cells_recall(spark, sf):
     asked = _asked_vectors(spark, sf)
     exact = knn.knn_l2(star.table(spark, sf, "embeddings"), asked, 10, id_col="vec_id")
     return cells.recall(cells.search(index, asked, 10, probes), exact).select("neighbours", (F.col("recall") >= 0.9).alias("reached"))
+
+
+# --- growing tables ----------------------------------------------------------------------------------------
+
+
+def _claim_batches(spark, sf):
+    """Raw claims in three deliveries, in the order of the source."""
+    raw = stage(star.raw_claims(spark, sf, patient=True, position=True), "deliveries")
+    n = raw.count()
+    return [raw.where((F.col("source_position") >= n * i // 3) & (F.col("source_position") < n * (i + 1) // 3)) for i in range(3)]
+
+
+@query
+def upsert_silver(spark, sf):
+    """Clean claims delivered in three batches, the second twice: the table of a rebuild over all of them."""
+    path = scratch_path(spark, "upsert")
+    first, second, third = (clean.clean_claims(b) for b in _claim_batches(spark, sf))
+    changed = [upsert.upsert_layer(df, path, name) for df, name in ((first, "a"), (second, "b"), (second, "b"), (third, "c"), (first, "a"))]
+    if changed != [True, True, False, True, False]:
+        raise AssertionError(f"replayed batches changed the table: {changed}")
+    return upsert.read_upserted(spark, path).withColumn("claim_date", F.to_date("claim_date"))
+
+
+@query
+def quarantine_csv(spark, sf):
+    """Raw claims as CSV lines, some cut off, some with a further field, some with an amount that is no number."""
+    path = scratch_path(spark, "raw") + "/claims.csv"
+    names = RAW_CLAIMS.names
+    raw = star.raw_claims(spark, sf, patient=True).select(*names)
+    key = F.regexp_replace("claim_id", r"\D", "").cast("long")
+    amount = F.when(key % 97 == 3, F.lit("n/a")).otherwise(F.col("billed_amount").cast("string"))
+    line = F.concat_ws(",", *[F.coalesce(amount if c == "billed_amount" else F.col(c), F.lit("")) for c in names])
+    line = F.when(key % 89 == 1, F.regexp_replace(line, ",[^,]*$", "")).when(key % 83 == 2, F.concat(line, F.lit(",more"))).otherwise(line)
+    raw.select(line.alias(",".join(names))).write.option("sep", "\u0001").option("quote", "\u0000").option("header", True).csv(path)
+    good, bad = quarantine.read_with_quarantine(spark, path, RAW_CLAIMS)
+    return good.select(F.lit("good").alias("kind"), "claim_id", "billed_amount", "date", F.lit(None).cast("string").alias("line"), F.lit(None).cast("int").alias("n_fields")).unionByName(
+        bad.select(F.lit("rejected").alias("kind"), F.lit(None).cast("string").alias("claim_id"), F.lit(None).cast("double").alias("billed_amount"),
+                   F.lit(None).cast("string").alias("date"), "line", "n_fields"))
+
+
+@query
+def stream_audit_trigger(spark, sf):
+    """Validated claims delivered in five slices of time, judged as a stream: the last outcome of every provider."""
+    rows = stage(validated(spark, sf).select("provider_id", "claim_date", "validation_flags", "billed_amount", "expected_cost"), "validated")
+    folder, day = scratch_path(spark, "deliveries"), F.unix_date(F.to_date("claim_date"))
+    edges = rows.select(day.cast("double").alias("day")).approxQuantile("day", [0.2, 0.4, 0.6, 0.8], 0.01)
+    slices = [float("-inf"), *edges, float("inf")]
+    for low, high in zip(slices, slices[1:]):
+        some = (day > low) & (day <= high)
+        rows.where(some if low != slices[0] else some | day.isNull()).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    path = scratch_path(spark, "audits")
+    audits.write_audit_triggers(stream, path, scratch_path(spark, "stream-state")).awaitTermination()
+    return audits.latest_audit_triggers(spark, path).drop("open_days")
