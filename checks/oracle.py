@@ -590,3 +590,16 @@ ORACLE["quarantine_csv"] = sql(f"""
   SELECT 'good' AS kind, claim_id, billed_amount, date, NULL::VARCHAR AS line, NULL::INT AS n_fields FROM lines WHERE NOT short AND NOT long AND amount <> 'n/a'
   UNION ALL SELECT 'rejected', NULL, NULL, NULL, CASE WHEN short THEN regexp_replace(line, ',[^,]*$', '') WHEN long THEN line || ',more' ELSE line END,
          (7 - short::INT + long::INT)::INT FROM lines WHERE short OR long OR amount = 'n/a'""", "bronze")
+
+_LINE_NUMBERS = _LINEITEM[:8]
+ORACLE["profile_sketches"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(*) AS rows, count(*) - count({c}) AS missing, "
+    + (f"min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, true AS mean_fits, true AS std_fits, true AS distinct_fits, true AS ranks_fit"
+       if c in _LINE_NUMBERS else "NULL::DOUBLE AS min, NULL::DOUBLE AS max, NULL::BOOLEAN AS mean_fits, NULL::BOOLEAN AS std_fits, true AS distinct_fits, NULL::BOOLEAN AS ranks_fit")
+    + " FROM lineitem" for c in _LINEITEM)
+ORACLE["read_marked_docs"] = "SELECT doc_id, length(coalesce(text, '')) AS characters, md5(coalesce(text, '')) AS text_md5 FROM documents"
+ORACLE["cost_valid_on"] = sql("""
+  , dated AS (
+    SELECT concat('PROC', 1 + p_partkey % 6) AS procedure_code, ('1992-01-01'::DATE + (p_partkey * 37 % 2500)::INT)::DATE AS valid_from, max(p_retailprice) AS dated_cost FROM part GROUP BY 1, 2)
+  SELECT claim_id, c.procedure_code, claim_date, dated_cost
+  FROM claims c ASOF LEFT JOIN dated d ON c.procedure_code = d.procedure_code AND c.claim_date >= d.valid_from""", "claims")

@@ -12,12 +12,12 @@ from claimlens.functions.numbers import py_round
 from claimlens.functions.vector import cosine_from_l2
 from claimlens.ml import evaluate, prepare, score, train
 from claimlens.operators import (
-    audit, cells, chunking, clean, embed, enrich, features, inverted, knn, kpi, profile, quality, remediate, retrieval, rules, serving,
+    audit, cells, chunking, clean, embed, enrich, features, inverted, knn, kpi, profile, quality, remediate, retrieval, rules, serving, sketches, validity,
 )
 from claimlens.plans import decisions, layers, training
 from claimlens.schemas import RAW_CLAIMS, RAW_SCHEMAS
 from claimlens.session import scratch_path, stage
-from claimlens.sources import artifacts, policies, quarantine, star, tables, upsert
+from claimlens.sources import artifacts, documents, policies, quarantine, star, tables, upsert
 from claimlens.streaming import audits
 from claimlens.streaming.decisions import stream_score_claims
 
@@ -1048,3 +1048,46 @@ def stream_audit_trigger(spark, sf):
     path = scratch_path(spark, "audits")
     audits.write_audit_triggers(stream, path, scratch_path(spark, "stream-state")).awaitTermination()
     return audits.latest_audit_triggers(spark, path).drop("open_days")
+
+
+@query
+def profile_sketches(spark, sf):
+    """Order lines profiled in three partitions and merged: exact counts and extremes, and whether the estimates keep their bounds."""
+    lines, path = star.table(spark, sf, "lineitem"), scratch_path(spark, "profiles")
+    for k in range(3):
+        sketches.write_partition_profile(lines.where(F.col("l_orderkey") % 3 == k), path, str(k))
+    merged = stage(sketches.merged_profile(spark, path), "merged")
+    spans = sketches.rank_span(lines, merged.select("column_name", *sketches.QUARTILES))
+    wanted = F.element_at(F.create_map(*[F.lit(x) for pair in sketches.QUARTILES.items() for x in pair]), F.col("name"))
+    ranks = spans.groupBy("column_name").agg(F.bool_and((F.col("below") <= wanted + 0.01) & (F.col("upto") >= wanted - 0.01)).alias("ranks_fit"))
+    numbers = profile.numeric_columns(lines)
+    true = lines.agg(*[F.struct(F.lit(c).alias("column_name"), F.avg(F.col(c).cast("double")).alias("true_mean"), F.stddev_samp(F.col(c).cast("double")).alias("true_std")).alias(c) for c in numbers])
+    true = true.select(F.inline(F.array(*numbers)))
+    exact = profile.distinct_counts(lines).join(true, "column_name", "left")
+    near = {c: F.abs(F.col(c) - F.col(f"true_{c}")) <= 1e-9 * (1 + F.abs(F.col(f"true_{c}"))) for c in ("mean", "std")}
+    fits = F.abs(F.col("distinct_estimate") - F.col("distinct_values")) <= F.greatest(F.lit(1.0), 0.04 * F.col("distinct_values"))
+    return merged.join(exact, "column_name").join(ranks, "column_name", "left").select(
+        "column_name", "rows", "missing", "min", "max", near["mean"].alias("mean_fits"), near["std"].alias("std_fits"), fits.alias("distinct_fits"), "ranks_fit")
+
+
+@query
+def read_marked_docs(spark, sf):
+    """All documents in two large text files, read by splits."""
+    docs = star.table(spark, sf, "documents").select(F.concat_ws("\t", F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))).alias("text"))
+    path = documents.write_marked_docs(docs, scratch_path(spark, "marked"), files=2)
+    found, cut = documents.read_marked_docs(spark, path), F.split("text", "\t", 2)
+    return found.select(cut[0].cast("long").alias("doc_id"), F.length(cut[1]).cast("long").alias("characters"), F.md5(cut[1]).alias("text_md5"))
+
+
+def _dated_costs(spark, sf):
+    """Costs of procedures that change from day to day: one row per part."""
+    return star.table(spark, sf, "part").select(
+        F.concat(F.lit("PROC"), 1 + F.col("p_partkey") % 6).alias("procedure_code"), F.date_add(F.lit("1992-01-01").cast("date"), (F.col("p_partkey") * 37 % 2500).cast("int")).alias("valid_from"),
+        F.col("p_retailprice").alias("dated_cost"))
+
+
+@query
+def cost_valid_on(spark, sf):
+    """Claims with the cost that was valid on their day."""
+    rows = claims(spark, sf).select("claim_id", "procedure_code", "claim_date")
+    return validity.valid_on(rows, _dated_costs(spark, sf), "procedure_code", ["dated_cost"]).withColumn("claim_date", F.to_date("claim_date"))
