@@ -603,3 +603,70 @@ ORACLE["cost_valid_on"] = sql("""
     SELECT concat('PROC', 1 + p_partkey % 6) AS procedure_code, ('1992-01-01'::DATE + (p_partkey * 37 % 2500)::INT)::DATE AS valid_from, max(p_retailprice) AS dated_cost FROM part GROUP BY 1, 2)
   SELECT claim_id, c.procedure_code, claim_date, dated_cost
   FROM claims c ASOF LEFT JOIN dated d ON c.procedure_code = d.procedure_code AND c.claim_date >= d.valid_from""", "claims")
+
+_HIGH_NULLS = [(t, table, c) for t, table, columns in (
+    ("bronze", "bronze_claims", _CLAIM_COLUMNS[:5]), ("raw_providers", "bronze_providers", ("provider_id", "doctor_name", "specialty"))) for c in columns]
+ORACLE["layer_problems"] = sql("SELECT * FROM (" + " UNION ALL ".join([
+    "SELECT 'ING-1002' AS code, 'bronze_claims.patient_id' AS subject, 'column of type string is missing' AS detail",
+    "SELECT 'ING-1002', 'bronze_cost.region', 'column of type string is missing'",
+    *[f"SELECT 'SLV-2001', '{table}.{c}', printf('%.1f%% nulls', (count(*) - count({c}))::DOUBLE / count(*) * 100) FROM {t} HAVING (count(*) - count({c}))::DOUBLE / count(*) > 0.1" for t, table, c in _HIGH_NULLS],
+    *[f"SELECT 'SLV-2004', '{c}', printf('%d of %d keys found no row', count(*) FILTER (WHERE {k} IS NOT NULL AND {c} IS NULL), count({k})) FROM silver HAVING count(*) FILTER (WHERE {k} IS NOT NULL AND {c} IS NULL) > 0"
+      for c, k in (("doctor_name", "provider_id"), ("category", "diagnosis_code"), ("expected_cost", "procedure_code"))],
+    *[f"SELECT 'GLD-3002', '{f}', 'no value at all' FROM gold HAVING count(*) > 0 AND count({f}) = 0" for f in K.FEATURES],
+    "SELECT 'GLD-3003', 'denial_label', printf('%.1f%% denied', avg(denial_label) * 100) FROM labelled HAVING avg(denial_label) * 100 > 95 OR avg(denial_label) * 100 < 5",
+]) + ")", "bronze", "raw_providers", "silver", "gold", "labelled")
+
+# reports as text, line by line
+_REPORTED = {
+    "bronze_claims": ("bronze", _CLAIM_COLUMNS, {"billed_amount"}), "bronze_providers": ("raw_providers", ("provider_id", "doctor_name", "specialty", "location"), set()),
+    "bronze_diagnosis": ("diagnosis", ("diagnosis_code", "category", "severity"), set()),
+    "bronze_cost": ("cost", ("procedure_code", "average_cost", "expected_cost"), {"average_cost", "expected_cost"}),
+}
+# columns that the quality report expects
+_EXPECTED = {
+    "bronze_claims": ("claim_id", "patient_id", "provider_id", "diagnosis_code", "procedure_code", "billed_amount"), "bronze_providers": ("provider_id", "doctor_name", "specialty"),
+    "bronze_diagnosis": ("diagnosis_code", "category", "severity"), "bronze_cost": ("procedure_code", "average_cost", "expected_cost"),
+}
+
+
+def _lines(parts: list[str]) -> str:
+    return " UNION ALL ".join(f"SELECT unnest(string_split(text, chr(10))) AS value FROM ({part}) t(text)" for part in parts)
+
+
+def _quality_lines() -> list[str]:
+    parts, issues = ["SELECT 'DATA QUALITY SUMMARY — ALL BRONZE TABLES' || chr(10)", "SELECT '--- Issues Requiring Attention ---'"], []
+    for name, (t, columns, _) in _REPORTED.items():
+        absent = [c for c in _EXPECTED[name] if c not in columns]
+        high = " + ".join(f"((count(*) - count({c}))::DOUBLE / count(*) * 100 > 10.0)::INT" for c in _EXPECTED[name] if c in columns)
+        nulls = " + ".join(f"count(*) - count({c})" for c in columns)
+        parts.append(f"""SELECT concat('Table   : {name}', chr(10), '  Rows          : ', format('{{:,}}', count(*)), chr(10), '  Columns       : {len(columns)}', chr(10),
+          '  Total nulls   : ', format('{{:,}}', {nulls}), chr(10), '  Issues found  : ', ({high} + {len(absent)})::INT, chr(10)) FROM {t}""")
+        issues += [f"SELECT concat('  ⚠  [{name}] COLUMN MISSING: ', chr(39), '{c}', chr(39))" for c in absent]
+        issues += [f"SELECT printf('  ⚠  [{name}] HIGH NULLS in %s{c}%s: %.1f%%', chr(39), chr(39), (count(*) - count({c}))::DOUBLE / count(*) * 100) FROM {t} HAVING (count(*) - count({c}))::DOUBLE / count(*) * 100 > 10.0"
+                   for c in _EXPECTED[name] if c in columns]
+    return parts + issues
+
+
+def _profile_lines(name: str, t: str, columns, numbers) -> list[str]:
+    missing = {c: f"(count(*) - count({c}))" for c in columns}
+    parts = [f"SELECT 'PROFILING REPORT: {name}'", f"SELECT concat('Rows    : ', format('{{:,}}', count(*)), chr(10), 'Columns : {len(columns)}', chr(10), 'Names   : [{', '.join(columns)}]') FROM {t}",
+             "SELECT '--- Missing Values ---'"]
+    parts += [f"SELECT printf('  %-30s %5d missing  (%s%%)', '{c}', {m}, round_even({m}::DOUBLE / count(*) * 100, 2)::VARCHAR) FROM {t} HAVING {m} > 0" for c, m in missing.items()]
+    parts.append(f"SELECT '  No missing values' FROM {t} HAVING {' + '.join(missing.values())} = 0")
+    if "claim_id" in columns:
+        parts += ["SELECT '--- Duplicate claim_ids ---'", f"SELECT printf('  %d duplicate(s) found', count(*) - count(DISTINCT claim_id)) FROM {t}"]
+    if "date" in columns:
+        day = "strftime({}(try_strptime(date, '%Y-%m-%d')), '%Y-%m-%d %H:%M:%S')"
+        parts.append(f"""SELECT concat('--- Date Range (date) ---', chr(10), '  Min     : ', {day.format('min')}, chr(10), '  Max     : ', {day.format('max')}, chr(10),
+          printf('  Invalid : %d unparseable date(s)', count(*) FILTER (WHERE try_strptime(date, '%Y-%m-%d') IS NULL))) FROM {t}""")
+    parts += ["SELECT '--- Column Cardinality (unique values) ---'", *[f"SELECT printf('  %-30s %5d unique', '{c}', count(DISTINCT {c})) FROM {t}" for c in columns]]
+    stats = [("count", "count({c})::DOUBLE"), ("mean", "round_even(avg({c}), 2)"), ("std", "round_even(stddev_samp({c}), 2)"), ("min", "round_even(min({c})::DOUBLE, 2)"),
+             *[(f"{p}%", "round_even(quantile_cont({c}::DOUBLE, 0." + str(p) + "), 2)") for p in (25, 50, 75)], ("max", "round_even(max({c})::DOUBLE, 2)")]
+    if numbers:
+        parts.append("SELECT '--- Numeric Statistics ---'")
+        parts += [f"SELECT concat(printf('  %-30s ', '{c}'), " + ", '  ', ".join(f"'{n}=', coalesce(({f.format(c=c)})::VARCHAR, 'NaN')" for n, f in stats) + f") FROM {t}" for c in columns if c in numbers]
+    return parts
+
+
+ORACLE["write_report"] = sql(_lines(_quality_lines() + [p for name, (t, columns, numbers) in _REPORTED.items() for p in _profile_lines(name, t, columns, numbers)]),
+                             "bronze", "raw_providers", "diagnosis", "cost")

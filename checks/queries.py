@@ -111,11 +111,11 @@ def load_bronze(spark, sf):
     return tables.load_bronze(spark, base, "bronze_claims")
 
 
-def _layers(spark, sf):
+def _layers(spark, sf, patient=True, **options):
     base = scratch_path(spark, "layers")
-    for name, df in star.bronze(spark, sf, patient=True, position=True).items():
+    for name, df in star.bronze(spark, sf, patient, position=True).items():
         tables.save_bronze(df, base, name)
-    return layers.run_layers(spark, base, base)
+    return layers.run_layers(spark, base, base, **options)
 
 
 @query
@@ -1091,3 +1091,9 @@ def cost_valid_on(spark, sf):
     """Claims with the cost that was valid on their day."""
     rows = claims(spark, sf).select("claim_id", "procedure_code", "claim_date")
     return validity.valid_on(rows, _dated_costs(spark, sf), "procedure_code", ["dated_cost"]).withColumn("claim_date", F.to_date("claim_date"))
+
+
+@query
+def layer_problems(spark, sf):
+    """What the checks of all layers announce when claims come without a patient."""
+    return spark.read.parquet(_layers(spark, sf, patient=False, strict=False)["layer_problems"])

@@ -2,14 +2,19 @@
 
 # Codes shared with existing log searches.
 FILE_NOT_FOUND = "ING-1001"
+SCHEMA_MISMATCH = "ING-1002"
 BRONZE_MISSING = "ING-1004"
+HIGH_NULL_RATE = "SLV-2001"
+JOIN_NULLS = "SLV-2004"
 SILVER_MISSING = "GLD-3001"
+FEATURE_ALL_NULL = "GLD-3002"
+LABEL_IMBALANCE = "GLD-3003"
 MODEL_NOT_FOUND = "ML-4001"
 INSUFFICIENT_DATA = "ML-4005"
 NO_DOCUMENTS = "RAG-5001"
 INDEX_NOT_FOUND = "RAG-5002"
 
-_LAYERS = {"ING": "ingestion", "GLD": "features", "ML": "model", "RAG": "retrieval"}
+_LAYERS = {"ING": "ingestion", "SLV": "silver", "GLD": "features", "ML": "model", "RAG": "retrieval"}
 
 
 class ClaimLensError(Exception):

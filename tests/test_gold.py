@@ -179,3 +179,35 @@ def test_announced_checks(spark):
     assert status == {"diagnosis_code": "OK", "category": "TYPE MISMATCH", "severity": "MISSING"}
     assert tuple(quality.join_null_check(df, {"category": "diagnosis_code"}).first()) == ("category", 2, 1)
     assert {r[0]: r["all_null"] for r in quality.all_null_check(df, df.columns).collect()} == {"diagnosis_code": False, "category": False, "empty": True}
+
+
+def test_problems_of_layers_are_coded_errors(spark, tmp_path):
+    import pytest
+
+    from claimlens.errors import ClaimLensError
+    from claimlens.plans import layers
+    from claimlens.sources import tables
+
+    def bronze(folder, claims, columns="claim_id string, patient_id string, provider_id string, diagnosis_code string, procedure_code string, billed_amount double, date string"):
+        tables.save_bronze(spark.createDataFrame(claims, columns), folder, "bronze_claims")
+        tables.save_bronze(spark.createDataFrame([("P1", "Dr", "X", "Y")], "provider_id string, doctor_name string, specialty string, location string"), folder, "bronze_providers")
+        tables.save_bronze(spark.createDataFrame([("D10", "a", "High")], "diagnosis_code string, category string, severity string"), folder, "bronze_diagnosis")
+        tables.save_bronze(spark.createDataFrame([("PROC1", "1", "2", "r")], "procedure_code string, average_cost string, expected_cost string, region string"), folder, "bronze_cost")
+        return folder
+
+    full = [(f"C{i}", "p", "P1" if i % 3 else "P9", "D10" if i % 2 else None, "PROC1" if i % 2 else None, 1.0 if i % 2 else None, "2024-01-01") for i in range(40)]
+    good = bronze(str(tmp_path / "good"), full)
+    paths = layers.run_layers(spark, good, good, strict=True)
+    found = {(r["code"], r["subject"]) for r in spark.read.parquet(paths["layer_problems"]).collect()}
+    assert found == {("SLV-2001", f"bronze_claims.{c}") for c in ("diagnosis_code", "procedure_code", "billed_amount")} | {("SLV-2004", "doctor_name")}
+    assert "layer_problems" not in layers.run_layers(spark, good, good)
+    short = bronze(str(tmp_path / "short"), [(c[0], *c[2:]) for c in full], "claim_id string, provider_id string, diagnosis_code string, procedure_code string, billed_amount double, date string")
+    with pytest.raises(ClaimLensError) as info:
+        layers.run_layers(spark, short, short, strict=True)
+    assert info.value.error_code == "ING-1002" and info.value.layer == "ingestion" and "patient_id" in str(info.value)
+    alike = bronze(str(tmp_path / "alike"), [(f"C{i}", "p", "P1", None, None, None, None) for i in range(200)])
+    with pytest.raises(ClaimLensError) as info:
+        layers.run_layers(spark, alike, alike, strict=True)
+    assert info.value.error_code in ("GLD-3002", "GLD-3003")
+    codes = {r["code"] for r in spark.read.parquet(layers.run_layers(spark, alike, alike, strict=False)["layer_problems"]).collect()}
+    assert codes >= {"GLD-3002", "SLV-2001"}
