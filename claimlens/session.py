@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 _local_scratch: tempfile.TemporaryDirectory | None = None
 _staged: list[str] = []
+_tables: list[str] = []
 
 
 def get_spark(app_name: str = "claimlens", **conf: str) -> SparkSession:
@@ -51,6 +52,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def scratch_table(name: str) -> str:
+    """A table of the session's catalog that ``drop_staged`` takes out of it; its files belong under a ``scratch_path``."""
+    _tables.append(name)
+    return name
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and return a scan of it.
 
@@ -67,6 +74,8 @@ def drop_staged(spark: SparkSession) -> int:
 
     To be called when no DataFrame that reads one of them is used any more.
     """
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
     conf = spark._jsparkSession.sessionState().newHadoopConf()
     dropped = 0
     while _staged:
