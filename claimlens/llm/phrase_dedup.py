@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimlens.llm.common import by_bytes, utf8
+from claimlens.llm.common import by_bytes, total_bytes, utf8
 from claimlens.llm.phrases import LOW48, SPAN, Phrases, parse
-from claimlens.session import scratch_path, stage
+from claimlens.session import scratch_path, scratch_table, stage
 
 BLOCK_BYTES = 2 << 20
 RANGE_BYTES = 32 << 20  # text whose phrases meet in one range
+BUCKET_BYTES = 128 << 20  # text in a bucket of blocks
+MOST_BUCKETS = 100_000  # as many as Spark's tables have by default; beyond, buckets hold more text
 # Different phrases of a block under one trigger, up to which they are compared as phrases; beyond, as windows at once.
 PHRASES_PER_TRIGGER = 16
 REPEATED, OPEN = 1, 2
@@ -36,8 +38,11 @@ _STATES = T.StructType([T.StructField("blk", T.LongType()), T.StructField("range
 
 
 def _blocks(rows: DataFrame, block_bytes: int) -> tuple[DataFrame, int, int]:
-    """Blocks (blk, ids, sizes, data) of documents in order, bucketed by blk; their number of buckets, and all bytes."""
-    spark = rows.sparkSession
+    """Blocks (blk, ids, sizes, data) of documents in order, bucketed by blk; their number of buckets, and all bytes.
+
+    The number of buckets follows from the bytes of text, so that a task that reads one reads as much at every size.
+    """
+    spark, size = rows.sparkSession, total_bytes(rows, "text")
     kind = rows.schema["doc_id"].dataType
     schema = T.StructType([
         T.StructField("blk", T.LongType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("sizes", T.ArrayType(T.LongType())),
@@ -69,11 +74,11 @@ def _blocks(rows: DataFrame, block_bytes: int) -> tuple[DataFrame, int, int]:
     order = F.col("doc_id").asc_nulls_last()
     ranged = rows.select("doc_id", "text").repartitionByRange(order).sortWithinPartitions(order)
     packed = ranged.withColumn("part", F.spark_partition_id().cast("long")).mapInArrow(pack, schema)
-    name, buckets = f"phrase_blocks_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = scratch_table(f"phrase_blocks_{uuid.uuid4().hex}")
+    buckets = min(MOST_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES)))
     writer = packed.write.bucketBy(buckets, "blk").option("path", scratch_path(spark, "phrase-blocks")).option("compression", "zstd")
     writer.saveAsTable(name)
-    table = spark.table(name)
-    return table, buckets, table.agg(F.sum("n_bytes")).first()[0] or 0
+    return spark.table(name), buckets, size
 
 
 def _pack48(values: np.ndarray) -> bytes:
@@ -89,13 +94,13 @@ def _unpack48(raw: list[bytes]) -> np.ndarray:
 
 def _keys(blk: int, one: np.ndarray, two: np.ndarray, ranges: int) -> pa.RecordBatch:
     """Keys in ascending order of ``one``, dealt out by its highest bits."""
-    target = ((one >> np.uint64(48)) * np.uint64(ranges) >> np.uint64(16)).astype(np.int32)
+    target = ((one >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
     cuts = np.flatnonzero(np.r_[True, target[1:] != target[:-1], True]) if len(target) else np.zeros(1, np.int64)
     spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
-    one, two = one & LOW48, two & LOW48
+    one, two = one & LOW48, two.astype("<u8")
     return pa.RecordBatch.from_arrays([
         pa.array([blk] * len(spans), pa.int64()), pa.array([int(target[a]) for a, _ in spans], pa.int32()),
-        pa.array([_pack48(one[a:b]) for a, b in spans], pa.binary()), pa.array([_pack48(two[a:b]) for a, b in spans], pa.binary()),
+        pa.array([_pack48(one[a:b]) for a, b in spans], pa.binary()), pa.array([two[a:b].tobytes() for a, b in spans], pa.binary()),
     ], names=_KEYS.names)
 
 
@@ -104,7 +109,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def settle(number: int, blks: list[int], ones: list[bytes], twos: list[bytes]) -> pa.RecordBatch:
         sizes = [len(x) // 6 for x in ones]
-        one, two = _unpack48(ones), _unpack48(twos)
+        one, two = _unpack48(ones), np.frombuffer(b"".join(twos), "<u8")
         order = np.lexsort((two, one))  # stable: blocks stay in order
         one, two = one[order], two[order]
         new_one = np.r_[True, one[1:] != one[:-1]]
@@ -173,7 +178,7 @@ class _Block:
         rank = self.rank[phrase]
         order = np.argsort(one, kind="stable")  # windows stay in order of the text
         place, one, two, rank = place[order], one[order], two[order], rank[order]
-        new = np.r_[True, (one[1:] != one[:-1]) | (two[1:] & LOW48 != two[:-1] & LOW48)][: len(one)]
+        new = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])][: len(one)]
         heads = np.flatnonzero(new)
         key = np.cumsum(new) - 1
         earlier = rank > rank[heads][key] if len(heads) else np.zeros(0, bool)
@@ -205,7 +210,8 @@ def dedup_spans(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     those of the input, as UTF-8, and never cross documents. ``spans`` are the maximal removed runs as (begin, end) in
     bytes, ``kept`` the other bytes. A null text is empty; a null doc_id is larger than any other. Rows with the same
     doc_id remove nothing from each other; they are handled in one task. An empty table gives no rows; other columns
-    are ignored. Strings count as equal if hashes of 102 bits and more are.
+    are ignored. Strings count as equal if two hashes are: 63 bits for phrases that share a trigger
+    of 48 bits in one range, 64 bits for windows that share another of 48 bits.
     """
     blocks, buckets, size = _blocks(docs, block_bytes)
     ranges = max(buckets, -(-size // RANGE_BYTES))
