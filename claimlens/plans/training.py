@@ -25,6 +25,7 @@ class Trained:
     best_f1: float
     auc: float
     report: DataFrame
+    trials: DataFrame | None  # the search, if there was one
 
 
 def with_score(prepared: DataFrame, model: Forest) -> DataFrame:
@@ -43,14 +44,15 @@ def train_model(
     prepared = stage(prepare.prepare_features(gold, medians), "prepared")
     split = stage(prepare.stratified_split(prepared), "split")
     fit_rows, test_rows = split.where(~F.col("is_test")), split.where("is_test")
+    found = None
     if settings is None:
-        settings, _ = train.tune_random_cv(fit_rows, trials=trials, **tuning)
+        settings, found = train.tune_random_cv(fit_rows, trials=trials, **tuning)
     model = train.train_gbt(fit_rows, settings)
     best = evaluate.best_f1_threshold(with_score(fit_rows, model)).first()
     tested = stage(with_score(test_rows, model), "test-scores")
     auc = evaluate.score_auc(tested).first()["auc"]
     predicted = tested.withColumn("prediction", (F.col("score") >= best["best_threshold"]).cast("int"))
-    trained = Trained(model, settings, medians, best["best_threshold"], best["best_f1"], auc, evaluate.classification_report(predicted))
+    trained = Trained(model, settings, medians, best["best_threshold"], best["best_f1"], auc, evaluate.classification_report(predicted), found)
     if out_dir:
         write_artifacts(spark, out_dir, model, medians, trained.threshold, trained.best_f1, auc,
                         train.feature_importance(model, spark))
