@@ -31,7 +31,7 @@ END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 # Units a Python worker remembers the ids of, twice over. It changes time and memory, not results.
-REMEMBERED = 800_000
+REMEMBERED = 500_000
 # Text encoded at once.
 BATCH_BYTES = 4 << 20
 # Marks that a tokenizer of words cuts off behind letters, whatever they are.
