@@ -892,8 +892,10 @@ def evaluate_claims(spark, sf):
 
 @query
 def evaluate_claims_model(spark, sf):
-    t = _trained(spark, sf)
-    scorer = decisions.model_scorer(artifacts.Artifacts(t.model, t.medians, t.threshold))
+    """Decisions by a model directory and an index that were written before and are loaded here."""
+    t, path = _trained(spark, sf), scratch_path(spark, "model")
+    artifacts.write_artifacts(spark, path, t.model, t.medians, t.threshold, t.best_f1, t.auc, train.feature_importance(t.model, spark))
+    scorer = decisions.model_scorer(artifacts.read_artifacts(spark, path))
     return _decision_output(decisions.evaluate_claims(_batch(spark, sf), scorer, _retrieved(spark, sf)))
 
 
