@@ -21,7 +21,8 @@ LONG_TOKEN, PIECE = 64, 16
 K = 3
 COMPONENTS = 64
 RANGES = 2 * COMPONENTS
-TASK_BYTES = 4 << 20  # text whose k-mers one task sorts
+SHARE = 4  # one task sorts the k-mers of so small a part of the text that a scan's task may read
+MOST_PARTS = 100_000  # beyond, tasks hold more text and sort it in spills
 _KEY = ["id", "hash"]
 _ORDER = ["missing", "id", "hash"]
 _PLACES = (1 << 30) - 1  # a text of 2 GB has fewer tokens
@@ -163,7 +164,14 @@ def likeness(a: str, b: str) -> Column:
     return F.expr(f"if({some} = 0, 1D, cast({same} as double) / {some})")
 
 
-def fingerprints(docs: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
+def _parts(docs: DataFrame, task_bytes: int | None) -> int:
+    """Partitions by bytes of text: ``spark.sql.files.maxPartitionBytes`` over SHARE in each, unless given."""
+    each = task_bytes or docs.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes() // SHARE
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(MOST_PARTS, -(-total_bytes(docs, "text") // each)))
+
+
+def fingerprints(docs: DataFrame, task_bytes: int | None = None) -> DataFrame:
     """Fingerprints of every row of (doc_id, text), of its edited text, and how alike they are.
 
     The edited text has the last half of the code points (rounded down) replaced by as many first ones of the next
@@ -176,7 +184,7 @@ def fingerprints(docs: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
     One document is its own next. An empty table gives no rows; other columns are ignored.
     """
     keyed = _keyed(docs)
-    n_parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total_bytes(docs, "text") // task_bytes))
+    n_parts = _parts(docs, task_bytes)
     order = _following(keyed)
     texts = keyed.repartition(n_parts, *_KEY).groupBy(*_KEY).agg(F.first("text").alias("text"))
     given = order.select(*[F.col(f"next.{c}").alias(c) for c in _KEY], *[F.col(c).alias(f"to_{c}") for c in _KEY], F.expr("n_chars div 2").cast("int").alias("half"))

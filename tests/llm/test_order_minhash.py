@@ -1,8 +1,10 @@
 import hashlib
 import random
 import re
+import struct
 
 import pytest
+import xxhash
 
 from claimlens.llm import order_minhash as om
 from claimlens.llm.order_minhash import fingerprints
@@ -49,6 +51,48 @@ def test_edited_texts_and_fingerprints(spark, make_docs):
     assert sum(r.near_edited for r in long) > 4 * sum(r.near_next for r in long) > 0 or all(r.near_next == 0 for r in long)
 
 
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def chained(*values):
+    """Hash of whole numbers one after the other: each starts from the hash of those before."""
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64(struct.pack("<q", v), seed).intdigest()
+    return signed(seed)
+
+
+def plain_fingerprint(text):
+    """All 64 pairs, component by component."""
+    tokens = [p for t in re.split("[\x20\x09-\x0d]+", text or "") if t for p in (re.findall("(?s).{1,16}", t) if len(t.encode()) > 64 else [t])]
+    hashes = [signed(xxhash.xxh64(t.encode(), 42).intdigest()) for t in tokens]
+    hashes += [0] * (3 - len(hashes)) if 0 < len(hashes) < 3 else []
+    seen, ranges, low = {}, {}, (1 << 30) - 1
+    for place in range(len(hashes) - 2):
+        kmer = chained(*hashes[place : place + 3])
+        seen[kmer] = seen.get(kmer, 0) + 1
+        drawn = chained(kmer, seen[kmer])
+        ranges[drawn % 128] = min(ranges.get(drawn % 128, 1 << 64), drawn & ~low | place)
+    codes = []
+    for c, order in enumerate(om._orders()):
+        pair = [ranges[r] for r in order if r in ranges][:2] if not {2 * c, 2 * c + 1} <= ranges.keys() else [ranges[2 * c], ranges[2 * c + 1]]
+        pair = [x >> 30 for x in sorted(pair, key=lambda x: x & low)]
+        codes.append(chained(*pair) % 65535 + 1 if pair else 0)
+    return "".join("".join(f"{codes[4 * w + n]:04x}" for n in (3, 2, 1, 0)) for w in range(16))
+
+
+def test_signature_equals_the_pairs_written_out(make_docs):
+    rng = random.Random(11)
+    words = ["the", "of", "日本語", "é", "x" * 90, "ÿ" * 40, "a"] + [f"w{i}" for i in range(60)]
+    rows = [(i, rng.choice([" ", "\n\t", "  "]).join(rng.choice(words) for _ in range(rng.choice([0, 1, 2, 3, 4, 9, 30, 200])))) for i in range(80)] + [(90, None), (91, " \n ")]
+    got = {r.doc_id: r for r in fingerprints(make_docs(rows)).collect()}
+    edited = {d: e for (d, _), (e, _) in edited_of(rows).items()}
+    for d, text in rows:
+        assert got[d].fingerprint == plain_fingerprint(text), text
+        assert got[d].edited_fingerprint == plain_fingerprint(edited[d])
+
+
 def test_order_matters(make_docs):
     rng = random.Random(8)
     words = [f"w{i}" for i in range(600)]
