@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimlens.llm.common import by_bytes, total_bytes, utf8
-from claimlens.llm.phrases import LOW48, SPAN, Phrases, parse
+from claimlens.llm.phrases import SPAN, Phrases, parse
 from claimlens.session import scratch_path, scratch_table, stage
 
 BLOCK_BYTES = 2 << 20
@@ -81,14 +81,15 @@ def _blocks(rows: DataFrame, block_bytes: int) -> tuple[DataFrame, int, int]:
     return spark.table(name), buckets, size
 
 
-def _pack48(values: np.ndarray) -> bytes:
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _pack(values: np.ndarray, size: int) -> bytes:
+    """The lowest ``size`` bytes of each value."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
 
 
-def _unpack48(raw: list[bytes]) -> np.ndarray:
-    joined = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 6)
+def _unpack(raw: list[bytes], size: int) -> np.ndarray:
+    joined = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, size)
     out = np.zeros((len(joined), 8), np.uint8)
-    out[:, :6] = joined
+    out[:, :size] = joined
     return out.view("<u8").ravel()
 
 
@@ -97,10 +98,10 @@ def _keys(blk: int, one: np.ndarray, two: np.ndarray, ranges: int) -> pa.RecordB
     target = ((one >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
     cuts = np.flatnonzero(np.r_[True, target[1:] != target[:-1], True]) if len(target) else np.zeros(1, np.int64)
     spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
-    one, two = one & LOW48, two.astype("<u8")
+    two = two >> np.uint64(8)  # the lowest bit of a phrase's content is always set
     return pa.RecordBatch.from_arrays([
         pa.array([blk] * len(spans), pa.int64()), pa.array([int(target[a]) for a, _ in spans], pa.int32()),
-        pa.array([_pack48(one[a:b]) for a, b in spans], pa.binary()), pa.array([two[a:b].tobytes() for a, b in spans], pa.binary()),
+        pa.array([_pack(one[a:b], 6) for a, b in spans], pa.binary()), pa.array([_pack(two[a:b], 7) for a, b in spans], pa.binary()),
     ], names=_KEYS.names)
 
 
@@ -109,7 +110,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def settle(number: int, blks: list[int], ones: list[bytes], twos: list[bytes]) -> pa.RecordBatch:
         sizes = [len(x) // 6 for x in ones]
-        one, two = _unpack48(ones), np.frombuffer(b"".join(twos), "<u8")
+        one, two = _unpack(ones, 6), _unpack(twos, 7)
         order = np.lexsort((two, one))  # stable: blocks stay in order
         one, two = one[order], two[order]
         new_one = np.r_[True, one[1:] != one[:-1]]
@@ -210,8 +211,8 @@ def dedup_spans(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     those of the input, as UTF-8, and never cross documents. ``spans`` are the maximal removed runs as (begin, end) in
     bytes, ``kept`` the other bytes. A null text is empty; a null doc_id is larger than any other. Rows with the same
     doc_id remove nothing from each other; they are handled in one task. An empty table gives no rows; other columns
-    are ignored. Strings count as equal if two hashes are: 63 bits for phrases that share a trigger
-    of 48 bits in one range, 64 bits for windows that share another of 48 bits.
+    are ignored. Strings count as equal if two hashes are: 56 bits of one, and of another 48 bits and the
+    range that its highest bits fall into.
     """
     blocks, buckets, size = _blocks(docs, block_bytes)
     ranges = max(buckets, -(-size // RANGE_BYTES))

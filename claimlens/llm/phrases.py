@@ -14,7 +14,6 @@ import numpy as np
 
 SPAN, GRAM = 50, 24
 SEGMENT = 2 << 20  # windows parsed at once; a phrase that is cut there is compared window by window
-LOW48 = np.uint64((1 << 48) - 1)
 _PLACE = np.uint64((1 << 24) - 1)
 
 # Two rolling hashes modulo 2^64: a random value for each byte and an odd base with its inverse.
