@@ -1,4 +1,8 @@
-"""The registered queries as DuckDB SQL over the same tables, written independently of the library."""
+"""The registered queries as DuckDB SQL over the same tables.
+
+Logic is written independently of the library; fixed values (codes, reference rows, texts) are shared with it and pinned against
+literals in tests/test_audit.py.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 
 from claimlens import constants as K
 from claimlens.operators import audit
@@ -47,3 +48,19 @@ def test_fixed_values():
     assert (K.OVERRIDE_ONE_MISSING, K.OVERRIDE_OTHER, K.OVERRIDE_HIGH_BILLER_FLOOR, K.CONTRIBUTION_FALLBACK_ABOVE) == (0.88, 0.95, 0.92, 0.15)
     assert [c[2] for c in K.CONTRIBUTIONS] == ["+5.01", "+4.85", "+3.15", "+1.05"]
     assert set(K.ACTION_STEPS) >= {"WARN_HIGH_BILLING"} and K.DEFAULT_QUERY_PREFIX == "healthcare claim validation rule remediation "
+    assert K.FEATURES == ("claim_amount_ratio", "provider_claim_count", "provider_denial_rate", "diagnosis_severity_flag", "missing_fields_count", "is_high_biller", "claim_month")
+    assert K.GOLD_COLUMNS == (
+        "claim_id", "patient_id", "provider_id", "diagnosis_code", "procedure_code", "billed_amount", "claim_date", "specialty", "location", "category", "severity",
+        "expected_cost", "average_cost", *K.FEATURES, "validation_flags", "risk_score", "denial_label")
+    assert [flag for flag, _, _ in K.RULES] == [
+        "flag_missing_diagnosis", "flag_missing_procedure", "flag_missing_amount", "flag_high_billing", "flag_invalid_diagnosis", "flag_incomplete_claim"]
+    assert K.DIAGNOSIS_ROWS == (("D10", "Heart", "High"), ("D20", "Bone", "High"), ("D30", "Fever", "Low"), ("D40", "Skin", "Low"), ("D50", "Diabetes", "High"), ("D60", "Cold", "Low"))
+    assert K.COST_ROWS == (("PROC1", 4000.0, 5000.0), ("PROC2", 12000.0, 15000.0), ("PROC3", 7000.0, 9000.0), ("PROC4", 6000.0, 8000.0), ("PROC5", 20000.0, 25000.0), ("PROC6", 800.0, 1200.0))
+    assert K.EXPECTED_COLUMNS["bronze_claims"] == ("claim_id", "patient_id", "provider_id", "diagnosis_code", "procedure_code", "billed_amount")
+    assert list(K.FLAG_QUERIES) == ["WARN_HIGH_BILLING", "ERR_INCOMPLETE_CLAIM", "WARN_MISSING_DIAGNOSIS", "WARN_MISSING_PROCEDURE", "WARN_MISSING_AMOUNT", "WARN_INVALID_DIAGNOSIS"]
+    assert K.FLAG_QUERIES["WARN_HIGH_BILLING"].startswith("high billing flag billed amount exceeds expected cost") and len(K.WHITESPACE) == 29
+    # long texts by digest: a change of one sign shows
+    digests = {name: hashlib.md5(repr(getattr(K, name)).encode()).hexdigest() for name in ("FLAG_QUERIES", "ACTION_STEPS", "EVIDENCE_TEMPLATE", "PLAN_TEMPLATE", "CONTRIBUTIONS")}
+    assert digests == {
+        "FLAG_QUERIES": "52ae60cea7b586ce665988970fe953dc", "ACTION_STEPS": "ef40deecdeb0a56e7e037a404726a3ef", "EVIDENCE_TEMPLATE": "77d527e382ef51261e9f727d18afa59a",
+        "PLAN_TEMPLATE": "44d307496dcd2c38828f2cfb2f218cce", "CONTRIBUTIONS": "1f211976240835b923a717a16f0008d9"}
