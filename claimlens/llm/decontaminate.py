@@ -90,7 +90,8 @@ def contaminated(
     inwards; a shorter document is one window. ``text_key`` tells texts under the same doc_id apart.
 
     Null and empty texts hold nothing and items without words are not looked for. Null doc_ids are kept as they are.
-    Empty tables give no rows. Windows with the same words are looked up and verified once, whatever their number.
+    Empty tables give no rows. Windows with the same words are looked up and verified once, whatever their number. A text
+    of any length is searched whole; its words are one row, as are each window's and item's.
     """
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words_of("text").alias("words"))
     items = stage(_items(benchmark, words), "benchmark")

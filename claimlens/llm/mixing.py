@@ -82,7 +82,8 @@ def mixture(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most_epochs: in
     """The documents of the mixture with the columns of ``docs``: a document taken in n epochs appears n times.
 
     The document at a source's cut appears once more with the words that still fit, joined by blanks (``n_chars``, if
-    there is such a column, follows). Documents that the mixture takes no word of are left out.
+    there is such a column, follows). Documents that the mixture takes no word of are left out; a very
+    long text is cut at its source's budget like any other, inside one row.
     """
     rows = stage(pack_row(docs, "doc_id", "source", "text").withColumn("row_id", F.monotonically_increasing_id()), "mix-documents")
     decided = mix_sources(rows, weights, most_epochs, seed, keep=["row_id"]).where("taken > 0").select("row_id", "size", "taken")

@@ -62,6 +62,21 @@ def test_against_all_windows(spark, make_docs):
     assert not any(r.doc_id == 3 and r.text == items[5][1] for r in kept.collect())
 
 
+def test_long_texts_and_ties(spark, make_docs):
+    """A text of 60,000 words is one row like others; of windows as alike the first counts."""
+    rng = random.Random(5)
+    item = " ".join(f"i{k}" for k in range(30))
+    filler = lambda n: " ".join(f"f{rng.randrange(5000)}" for _ in range(n))
+    docs = [(1, f"{filler(40_000)} {item} {filler(20_000)} {item}"), (2, filler(60_000)), (3, f"{item} {item}"), (4, f"x {item.replace('i3 ', 'y ')} {item.replace('i9 ', 'z ')}")]
+    bench = spark.createDataFrame([(7, item), (8, item)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.start, r.similarity) for r in contaminated(make_docs(docs), bench).collect()}
+    want = brute(docs[2:], [(7, item)])
+    assert set(got) == {(d, i) for d in ({1, 3} | {d for d, _ in want}) for i in (7, 8)}
+    assert got[1, 7] == got[1, 8] == (40_000, 1.0) and got[3, 7] == (0, 1.0)
+    assert all(got[d, 7] == (at, score) for (d, _), (score, at) in want.items())
+    assert sorted(r.doc_id for r in without_contaminated(make_docs(docs), bench).collect()) == sorted({1, 2, 3, 4} - {d for d, _ in got})
+
+
 def test_empty(spark, make_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert contaminated(make_docs([(1, "a b c")]), none).count() == 0

@@ -53,6 +53,19 @@ def test_mixture_has_the_words_it_takes(make_docs):
     assert words == {k: v for k, v in taken.items() if v}
 
 
+def test_a_very_long_text_is_cut_at_the_budget(make_docs):
+    """One text has nearly all words of its source: whole epochs and the words that still fit are taken."""
+    rows = [(1, "long " * 300_000, "a"), (2, "one two", "a"), (3, "w " * 50_000, "b"), (4, "w " * 1000, "c")]
+    docs = make_docs(rows)
+    want = water_level({"a": 300_002, "b": 50_000, "c": 1000})
+    got = {r.doc_id: r for r in mix_sources(docs).collect()}
+    assert got[1].taken + got[2].taken == int(want["a"] + 1e-9) and got[3].taken == int(want["b"] + 1e-9) and got[4].taken == 3000 == want["c"]
+    words = {}
+    for r in mixture(docs).collect():
+        words[r.doc_id] = words.get(r.doc_id, 0) + len(WORD.findall(r.text))
+    assert words == {d: r.taken for d, r in got.items() if r.taken}
+
+
 def test_empty(make_docs):
     assert mix_sources(make_docs([])).count() == 0
     assert mixture(make_docs([(1, None), (2, "")])).count() == 0
