@@ -166,3 +166,11 @@ def test_vectors_without_a_distance(spark, tmp_path):
         cells.search(index, spark.createDataFrame([("q", [1.0])], "query_id string, embedding array<double>"), 1, 2).collect()
     with pytest.raises(ClaimLensError):
         cells.fit_centers(df.where("vec_id = 4"), 2, "vec_id")
+
+
+def test_postings_measure_a_vector_once_and_not_once_per_element(spark):
+    rows = [("a", [0.0, 3.0, None, 4.0]), ("b", [0.0, 0.0, 0.0, 0.0]), ("c", None), ("d", [1.0, 0.0, 2.0, 0.0])]
+    built = inverted.build_postings(spark.createDataFrame(rows, "chunk_id string, embedding array<float>"))
+    above = built._jdf.queryExecution().optimizedPlan().toString().split("Generate ")[0]
+    assert "aggregate(" not in above and "embedding" not in above
+    assert sorted(map(tuple, built.collect()), key=str) == [(0, 1.0, "d", 5.0), (1, 3.0, "a", None), (2, 2.0, "d", 5.0), (3, 4.0, "a", None)]
