@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimlens import constants as K
+from claimlens import session
 from claimlens.errors import ClaimLensError
 from claimlens.ml import boost, evaluate, forest, prepare, score, train
 from claimlens.ml.boost import Settings
@@ -325,3 +326,21 @@ def test_folds_have_like_shares_of_every_label(spark):
     assert set(counts) == {(label, fold) for label in (0, 1) for fold in range(3)}
     assert max(counts[1, f] for f in range(3)) - min(counts[1, f] for f in range(3)) < 25
     assert max(counts[0, f] for f in range(3)) - min(counts[0, f] for f in range(3)) < 250
+
+
+def test_only_the_newest_margins_stay_on_disk(spark):
+    rows = [(i % 7, i % 5, float(i % 2), 1.0, 0, i * 7919) for i in range(400)]
+    df = spark.createDataFrame(rows, "a int, b int, label double, weight double, fold int, hash long")
+    before = len(session._staged)
+    grown = boost.boost(boost.pack(df.repartition(2), ("a", "b"), 1), [boost.Model(Settings(depth=2, trees=4, row_share=1.0, column_share=1.0), 1)], [7, 5])
+    assert len(session._staged) == before + 1
+    assert sum(r["n"] for r in grown.select("n").collect()) == 400
+
+
+def test_a_level_adds_no_more_than_its_own_tree(spark, monkeypatch):
+    """Each level of a tree would otherwise pass the finished trees again."""
+    seen, histograms = [], boost._histograms
+    monkeypatch.setattr(boost, "_histograms", lambda tasks, offsets: seen.extend(len(t.pending) for t in tasks) or histograms(tasks, offsets))
+    df = spark.createDataFrame([(i % 7, float(i % 2), 1.0, 0, i * 7919) for i in range(200)], "a int, label double, weight double, fold int, hash long")
+    boost.boost(boost.pack(df, ("a",), 1), [boost.Model(Settings(depth=2, trees=4, row_share=1.0), 1)], [7])
+    assert seen and set(seen) == {0}
