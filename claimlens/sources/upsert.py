@@ -39,7 +39,8 @@ def _digest(df: DataFrame) -> tuple[int, str]:
 
 def _rank(key: str, keep: str) -> Column:
     order = F.asc(SEQUENCE) if keep == "first" else F.desc(SEQUENCE)
-    return F.row_number().over(Window.partitionBy(key).orderBy(order))
+    # rows dealt by bucket lie right for this: a key has one bucket
+    return F.row_number().over(Window.partitionBy(BUCKET, key).orderBy(order))
 
 
 def upsert_layer(df: DataFrame, path: str, batch: str, key: str = "claim_id", keep: str = "first", buckets: int = BUCKETS) -> bool:
@@ -53,9 +54,11 @@ def upsert_layer(df: DataFrame, path: str, batch: str, key: str = "claim_id", ke
     if keep not in ("first", "last"):
         raise ValueError(f"keep must be first or last, not {keep}")
     names = [c for c in df.columns if c not in (BUCKET, SEQUENCE)]
-    new = stage(df.select(*names, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias(BUCKET)), "upsert-batch")
-    rows, digest = _digest(new)
+    new = df.select(*names, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias(BUCKET))
     done = manifest(spark, path).collect()  # one row per batch
+    # a batch that is in the table is only compared, so it is not written
+    new = new if any(old["batch"] == batch for old in done) else stage(new, "upsert-batch")
+    rows, digest = _digest(new)
     for old in done:
         if (old["key"], old["buckets"], old["keep"]) != (key, buckets, keep):
             raise errors.ClaimLensError(errors.SILVER_MISSING, f"table has key {old['key']}, {old['buckets']} buckets and keeps the {old['keep']}: {path}")
@@ -72,12 +75,14 @@ def upsert_layer(df: DataFrame, path: str, batch: str, key: str = "claim_id", ke
         old = spark.read.parquet(f"{path}/data").where(F.col(BUCKET).isin(touched) & (F.col(SEQUENCE) != sequence))
         if sorted(old.columns) != sorted(merged.columns):
             raise errors.ClaimLensError(errors.SILVER_MISSING, f"batch {batch} has other columns than the table: {path}")
-        both = old.unionByName(merged)
+        # one shuffle serves the rank and the folders
+        both = old.unionByName(merged).repartition(buckets, BUCKET)
         merged = both.withColumn("_rank", _rank(key, keep)).where("_rank = 1").drop("_rank")
-    # written aside first: the buckets that are read are those that are overwritten
-    merged = stage(merged, "upsert-merged")
-    if rows:
+        # written aside first: the buckets that are read are those that are overwritten
+        dealt = stage(merged, "upsert-merged")
+    else:
         dealt = merged.repartition(buckets, BUCKET)
+    if rows:
         dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(f"{path}/data")
     entry = spark.createDataFrame([(batch, sequence, rows, digest, key, buckets, keep)], _MANIFEST)
     entry.coalesce(1).write.mode("append").json(f"{path}/manifest")
