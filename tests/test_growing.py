@@ -9,7 +9,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from checks import queries
 from claimlens import constants as K
+from claimlens import session
 from claimlens.errors import ClaimLensError
 from claimlens.operators import audit
 from claimlens.schemas import RAW_CLAIMS
@@ -185,3 +187,32 @@ def test_state_does_not_depend_on_how_rows_arrive():
     on_time = audits.advance(None, rows[rows["day"] > 120], 120)
     assert whole[1][5] == int((rows["day"] <= 120).sum()) and on_time[1][5] == 0
     assert whole[1][:4] == on_time[1][:4] and len(state[0]) == len([d for d in rows["day"] if d > 120 - 89])
+
+
+def test_a_replayed_batch_is_compared_and_not_written(spark, tmp_path):
+    df = spark.createDataFrame([(f"C{i}", i) for i in range(50)], "claim_id string, x int")
+    assert upsert.upsert_layer(df, str(tmp_path), "a")
+    before = len(session._staged)
+    assert not upsert.upsert_layer(df, str(tmp_path), "a")
+    assert len(session._staged) == before
+
+
+def test_marked_files_grow_with_the_tasks(spark, tmp_path, monkeypatch):
+    for i in range(4):
+        spark.createDataFrame([(10 * i + j, f"text {i} {j}") for j in range(5)], "doc_id long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    written, write = [], queries.documents.write_marked_docs
+    monkeypatch.setattr(queries.documents, "write_marked_docs", lambda *a, **k: written.append(write(*a, **k)) or written[-1])
+    assert queries.REGISTRY["read_marked_docs"](spark, str(tmp_path)).count() == 20
+    assert len(spark.read.text(written[0]).inputFiles()) == 4
+
+
+def test_a_delivery_of_several_files_is_one_micro_batch(spark, tmp_path, monkeypatch):
+    lines = [(i, 1, i % 40, i % 3, 100.0 + i, dt.date(1994, 1, 1) + dt.timedelta(days=i % 700)) for i in range(400)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_shipdate date").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    paths, write = [], queries.audits.write_audit_triggers
+    monkeypatch.setattr(queries.audits, "write_audit_triggers", lambda stream, path, state: paths.append(path) or write(stream, path, state))
+    found = queries.REGISTRY["stream_audit_trigger"](spark, str(tmp_path))
+    assert len(paths) == 5
+    assert sorted(r["batch_id"] for r in spark.read.parquet(paths[0]).select("batch_id").distinct().collect()) == [0, 1, 2, 3, 4]
+    want = {r["provider_id"]: r["triggered"] for r in queries.REGISTRY["audit_trigger"](spark, str(tmp_path)).collect()}
+    assert {r["provider_id"]: r["triggered"] for r in found.collect()} == want
