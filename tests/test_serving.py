@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from claimlens import constants as K
 from claimlens.errors import ClaimLensError
-from claimlens.operators import kpi, serving
+from claimlens.operators import kpi, rules, serving
 from claimlens.plans import decisions, layers
 from claimlens.schemas import HISTORY, RAW_CLAIMS, RAW_SCHEMAS
 from claimlens.sources import star, tables
@@ -73,6 +73,20 @@ def test_decision_needs_no_shuffle(spark):
     assert "Exchange" not in plan
 
 
+def test_history_rows_stay_in_generated_code(spark, tmp_path):
+    """Every set of rules that can fire, by rows without a lambda: with one, each row left generated code and came back."""
+    requests(spark).write.parquet(str(tmp_path / "requests"))
+    rows = serving.history_rows(decisions.decide_claims(spark.read.parquet(str(tmp_path / "requests")), scorer), "ann")
+    assert "lambda" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    cases = [(d, p, a) for d in (None, "", "D10") for p in (None, "", "PROC1") for a in (None, 1.0, 1e9)]
+    got = rules.request_flags(spark.createDataFrame(cases, "diagnosis_code string, procedure_code string, billed_amount double")).collect()
+    for r in got:
+        d, p, a = not r["diagnosis_code"], not r["procedure_code"], r["billed_amount"]
+        fired = (d, p, a is None, (a or 0) > K.SERVING_HIGH_AMOUNT, d and p)
+        assert r["flags"] == [rule.label for rule, hit in zip(rules.REQUEST_RULES, fired) if hit]
+    assert len(got) == 27
+
+
 def test_evaluation_reports_every_claim(spark):
     out = {r["claim_id"]: r for r in decisions.evaluate_claims(requests(spark), scorer).collect()}
     assert len(out) == 7 and K.OFFLINE_TEXT in out["one"]["full_report"] and "Claim is clean" in out["clean"]["full_report"]
