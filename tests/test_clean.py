@@ -192,3 +192,18 @@ def test_first_row_by_file_and_place(spark, tmp_path):
     starts = {"part 2": 0, "part-1": 1, "part=0": 2}
     assert kept == {f"C{j}": next(f"{n} {j} 0" for n in order if starts[n] <= j) for j in range(3)}
     assert dict(df.dtypes)["source_position"] == "bigint"
+
+
+def test_plain_text_is_neither_trimmed_nor_parsed(spark):
+    """What is visible at both ends and a day in plain form take the cheap way; the results are those of the full one."""
+    ends = ["", "a", " ", "!", "~", "\x7f", "\x1f", "\u00a0", "é", "\u3000", "😀"]
+    samples = [a + m + b for a in ends for m in ("", "x y", "\n") for b in ends] + [None]
+    df = spark.createDataFrame([(s,) for s in samples], "s string")
+    full = F.btrim("s", F.lit(WHITESPACE))
+    assert df.where(~text.strip("s").eqNullSafe(full)).count() == 0
+    days = [None, "", "2000-02-30", "2000-02-29", "2000-2-3", "2000-01-01\n", " 2000-01-01", "0000-01-01", "12000-01-01", "2024-13-01", "2018-11-04", "unknown"]
+    df = spark.createDataFrame([(s,) for s in days], "s string")
+    for zone in ("America/Sao_Paulo", "UTC"):  # the first has days without a midnight
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        assert df.where(~numbers.to_timestamp("s").eqNullSafe(F.try_to_timestamp("s", F.lit("yyyy-MM-dd")))).count() == 0
+    assert "WHEN" in text.strip("s")._jc.toString() and "WHEN" in numbers.to_timestamp("s")._jc.toString()
