@@ -301,6 +301,7 @@ def test_path_values_equal_all_subsets(trained):
     assert np.allclose(got.sum(axis=1), t.model.margins(bins) - t.model.expected)
 
 
+
 def test_paths_that_use_a_feature_twice():
     """Splits of one feature on one way are one condition, with the product of their shares."""
     model = forest.Forest(("a", "b"), ((), ()), np.array([[0, 0, 1, -1, -1, -1, -1]]), np.array([[3, 1, 2, 0, 0, 0, 0]]),
@@ -344,3 +345,36 @@ def test_a_level_adds_no_more_than_its_own_tree(spark, monkeypatch):
     df = spark.createDataFrame([(i % 7, float(i % 2), 1.0, 0, i * 7919) for i in range(200)], "a int, label double, weight double, fold int, hash long")
     boost.boost(boost.pack(df, ("a",), 1), [boost.Model(Settings(depth=2, trees=4, row_share=1.0), 1)], [7])
     assert seen and set(seen) == {0}
+
+
+def test_a_task_for_each_model_grows_the_same_trees_as_a_job_for_each_level(spark):
+    """With samples, folds, rows that stand for several claims, and trees that stop early."""
+    rng = np.random.default_rng(8)
+    sizes = [64, 2, 12, 64, 3]
+    bins = np.stack([rng.integers(0, n, 900) for n in sizes], axis=1)
+    y = ((bins[:, 0] >= 30) ^ (bins[:, 2] < 4) ^ (rng.random(900) < 0.1)).astype(float)
+    claims = rng.integers(1, 5, 900)
+    names = [f"f{i}" for i in range(5)]
+    rows = [(*map(int, b), float(a), float(c) * 1.5, i % 3, i * 7919 + 1, int(c)) for i, (b, a, c) in enumerate(zip(bins, y, claims))]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} int" for c in names) + ", label double, weight double, fold int, hash long, claims long")
+    settings = [Settings(6, 0.2, 5, 0.7, 0.7), Settings(3, 0.1, 8, 1.0, 1.0), Settings(4, 0.3, 3, 0.6, 0.6)]
+    make = lambda: [boost.Model(s, 1, fold) for s, fold in zip(settings, (-1, 1, 2))]
+    by_level = make()
+    blocks = boost.boost(boost.pack(df.repartition(3), names, 3), by_level, sizes)
+    table = boost.gather(boost.pack(df.repartition(2), names, 0), sizes)
+    each = boost.grow_each(table, make(), sizes)
+    for a, b in zip(by_level, each):
+        assert np.array_equal(a.feature, b.feature) and np.array_equal(a.cut, b.cut) and len(a.feature) == a.settings.trees
+        assert np.allclose(a.value, b.value) and np.allclose(a.cover, b.cover) and a.gain.keys() == b.gain.keys()
+    order = lambda df: sorted((r["model"], r["label"], r["weight"], round(r["margin"], 9)) for r in df.collect())
+    scores = order(boost.held_out_each(table, make(), sizes))
+    assert scores == order(boost.held_out(blocks, by_level)) and len(scores) == 600
+
+
+def test_samples_take_the_share_of_equal_claims():
+    """Of n equal claims the mean of what is taken is n times the share, to the nearest whole number below or above."""
+    hashes = np.random.default_rng(1).integers(-2**62, 2**62, 20_000)
+    for n, share in ((1, 0.7), (3, 0.6), (10, 0.95), (1, 1.0)):
+        taken = boost._sampled(hashes, np.full(20_000, n), 7, 3, share) * n
+        assert set(np.round(taken, 9)) <= {float(math.floor(n * share)), float(math.ceil(n * share))}
+        assert abs(taken.mean() - n * share) < 0.02
