@@ -378,3 +378,15 @@ def test_samples_take_the_share_of_equal_claims():
         taken = boost._sampled(hashes, np.full(20_000, n), 7, 3, share) * n
         assert set(np.round(taken, 9)) <= {float(math.floor(n * share)), float(math.ceil(n * share))}
         assert abs(taken.mean() - n * share) < 0.02
+
+
+def test_registered_model_is_tuned_in_the_full_ranges(monkeypatch, spark):
+    """100 to 300 trees a trial, as the library's search has them."""
+    from checks import queries
+
+    asked = {}
+    monkeypatch.setattr(queries.training, "train_model", lambda gold, **tuning: asked.update(tuning))
+    monkeypatch.setattr(queries, "gold", lambda spark, sf: spark.range(1))
+    monkeypatch.setattr(queries, "_MODELS", {})
+    queries._shared(spark, "nowhere")
+    assert asked.get("trees", train.TREES) == (100, 300) and asked.get("trials", 10) == 10
