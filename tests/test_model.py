@@ -301,6 +301,16 @@ def test_path_values_equal_all_subsets(trained):
     assert np.allclose(got.sum(axis=1), t.model.margins(bins) - t.model.expected)
 
 
+def test_path_values_of_many_rows_equal_those_of_few(trained):
+    """Many rows are looked up by the kinds that a tree can tell apart; a few at a time go along its paths."""
+    t, _ = trained
+    rng = np.random.default_rng(6)
+    bins = np.stack([rng.integers(0, len(e) + 1, 3000) for e in t.model.edges], axis=1).astype(np.int16)
+    few = np.concatenate([forest.path_values(t.model, bins[at : at + 1]) for at in range(0, 3000, 10)])
+    whole = forest.path_values(t.model, bins)
+    assert whole.shape == (3000, 7) and np.allclose(whole[::10], few)
+    assert np.allclose(whole.sum(axis=1), t.model.margins(bins) - t.model.expected)
+
 
 def test_paths_that_use_a_feature_twice():
     """Splits of one feature on one way are one condition, with the product of their shares."""
