@@ -216,3 +216,18 @@ def test_a_delivery_of_several_files_is_one_micro_batch(spark, tmp_path, monkeyp
     assert sorted(r["batch_id"] for r in spark.read.parquet(paths[0]).select("batch_id").distinct().collect()) == [0, 1, 2, 3, 4]
     want = {r["provider_id"]: r["triggered"] for r in queries.REGISTRY["audit_trigger"](spark, str(tmp_path)).collect()}
     assert {r["provider_id"]: r["triggered"] for r in found.collect()} == want
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_deliveries_hold_the_rows_of_all_files(spark, tmp_path, parts):
+    """Places count rows within a file; with the table's rows as the bound, only the first file was delivered."""
+    lines = [(i // 3, 1 + i % 3, i * 7 % 40, i % 5, 10.0 * i, dt.date(1995, 1, 1 + i % 28)) for i in range(300)]
+    frame = spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_shipdate date")
+    frame.repartition(parts).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, k % 7) for k in range(100)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    batches = [b.collect() for b in queries._claim_batches(spark, str(tmp_path))]
+    assert sorted(r["claim_id"] for b in batches for r in b) == sorted(f"C{i // 3}-{1 + i % 3}" for i in range(300))
+    assert all(60 < len(b) < 140 for b in batches)
+    places = [sorted(r["source_position"] for r in b) for b in batches]
+    assert places[0][-1] < places[1][0] and places[1][-1] < places[2][0]
+    assert queries.REGISTRY["upsert_silver"](spark, str(tmp_path)).count() == 300
