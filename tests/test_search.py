@@ -1,5 +1,6 @@
 """Inverted index and cell index against the dense, exact search."""
 
+import os
 import random
 
 import numpy as np
@@ -190,3 +191,12 @@ def test_postings_are_not_shuffled_and_keep_the_vectors_type(spark, tmp_path, mo
     assert all(f.endswith(".zstd.parquet") for f in whole.inputFiles())
     doubles = inverted.build_postings(spark.createDataFrame([("a", [0.1])], "chunk_id string, embedding array<double>"))
     assert doubles.first()["weight"] == 0.1
+
+
+def test_hashed_chunks_go_when_the_index_is_written(spark, monkeypatch):
+    monkeypatch.setattr(queries, "_INDEXES", {})
+    dropped, drop = [], queries.drop_table
+    monkeypatch.setattr(queries, "drop_table", lambda table: (dropped.append(table), drop(table)))
+    index, _, postings = queries._lexical_index(spark, SF)
+    assert len(dropped) == 1 and index.count() > 0 and postings[1].count() > 0
+    assert not os.path.exists(dropped[0].inputFiles()[0].removeprefix("file://"))
